@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from ravelin.llm import quality_ranker
+from ravelin.llm import divergence_rules, language_id, mixture, near_duplicates, quality_ranker
 
 
 def queries() -> dict:
     return {
         "op1_quality_ranking": quality_ranker.op1_quality_ranking,
+        "op4_language_id": language_id.op4_language_id,
+        "op7_divergence_rules": divergence_rules.op7_divergence_rules,
+        "op9_near_duplicates": near_duplicates.op9_near_duplicates,
+        "op10_mixture": mixture.op10_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixture": mixture.OP10_SQL}
