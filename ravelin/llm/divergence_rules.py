@@ -120,13 +120,11 @@ def measures(texts: pa.Array, refs: References) -> dict[str, np.ndarray]:
         counts = class_counts(data, off)
         chars = np.concatenate([[0], np.cumsum(_FIRST_BYTE[data])])
         exact = V.hashes(data, starts, ends)
-        shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        low, low_starts, low_first = _content_words(data, off)
+        low, low_first = _content_words(data, off)
         row = V.rows_of(low_first)
         total = np.maximum(np.diff(low_first), 1)[:, None]
-        by_class, by_word = np.zeros((n, 0)), np.zeros((n, 0))
+        by_word = np.zeros((n, 0))
         for i in range(len(refs.languages)):
-            by_class = np.concatenate([by_class, divergence(shares, refs.classes[i])[:, None]], 1)
             values, at = lists[i]
             k = len(values)
             pos = np.minimum(np.searchsorted(values, low), max(k - 1, 0))
@@ -140,21 +138,35 @@ def measures(texts: pa.Array, refs: References) -> dict[str, np.ndarray]:
             "n_dup_lines": repeated_lines(data, off),
             "n_repeat_words": repeated_words(exact, first),
             "n_chars": counts.sum(1),
-            "class_distance": by_class.min(1) if by_class.size else np.zeros(n),
+            "class_distance": nearest_class(counts, refs),
             "word_distance": by_word.min(1) if by_word.size else np.zeros(n),
         })
     return {k: np.concatenate([x[k] for x in out]) for k in out[0]} if out else {}
 
 
-def _content_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the folded words without their marks."""
+def _content_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the folded words without their marks, and the first of each text."""
     low = V.fold(data)
     starts, ends, first = V.spans(low, off, V.NOT_WORD)
-    return V.hashes(low, starts, ends), starts, first
+    return V.hashes(low, starts, ends), first
 
 
-def references(docs: DataFrame, *, common: int = 200, most_languages: int = 64) -> References:
-    """The histograms of all documents with a text, by lang. The ``most_languages`` with the most documents have references."""
+def references(docs: DataFrame, *, common: int = 200, most_languages: int = 64, trim: float = 0.18) -> References:
+    """The histograms of all documents with a text, by lang. The ``most_languages`` with the most documents have references.
+
+    They are summed twice: the second time without the documents whose character classes are more than ``trim`` from
+    the first references, so that junk does not set the norm.
+    """
+    return _summed(docs, common, most_languages, _summed(docs, common, most_languages, None, trim), trim)
+
+
+def nearest_class(counts: np.ndarray, refs: References) -> np.ndarray:
+    shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return np.min([divergence(shares, c) for c in refs.classes], axis=0) if len(refs.classes) else np.zeros(len(counts))
+
+
+def _summed(docs: DataFrame, common: int, most_languages: int, first: References | None, trim: float) -> References:
+    sent = docs.sparkSession.sparkContext.broadcast(first)  # most_languages lists of ``common`` words
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch and language: the sum of the class shares, and each word's share of its document, summed."""
@@ -165,17 +177,19 @@ def references(docs: DataFrame, *, common: int = 200, most_languages: int = 64)
                 lang = np.array([names.index(x) for x in langs[at:end]])
                 counts = class_counts(data, off)
                 some = counts.sum(1) > 0
+                if sent.value is not None:
+                    some &= nearest_class(counts, sent.value) <= trim
                 classes = np.zeros((len(names), N_CLASSES))
                 np.add.at(classes, lang[some], counts[some] / counts[some].sum(1, keepdims=True))
-                h, _, first = _content_words(data, off)
+                h, first = _content_words(data, off)
                 row = V.rows_of(first)
-                each = 1.0 / np.maximum(np.diff(first), 1)[row]
+                each = some[row] / np.maximum(np.diff(first), 1)[row]
                 u, back = np.unique(h, return_inverse=True)
                 words = np.bincount(lang[row] * len(u) + back, each, len(names) * len(u)).reshape(len(names), len(u))
                 for i, name in enumerate(names):
                     n = int((some & (lang == i)).sum())
                     if n:
-                        seen = np.flatnonzero(words[i])
+                        seen = np.flatnonzero(words[i])  # a word of documents that are left out has weight 0
                         size = len(seen) + N_CLASSES
                         yield pa.record_batch([
                             pa.array([name] * size, pa.string()),
@@ -208,7 +222,7 @@ def references(docs: DataFrame, *, common: int = 200, most_languages: int = 64)
     return References(langs, np.array(classes).reshape(-1, N_CLASSES), words, shares)
 
 
-def judged(docs: DataFrame, refs: References, *, most_class: float = 0.25, most_word: float = 0.6, least_words: int = 50, least_chars: int = 200) -> DataFrame:
+def judged(docs: DataFrame, refs: References, *, most_class: float = 0.195, most_word: float = 0.6, least_words: int = 50, least_chars: int = 200) -> DataFrame:
     """All columns of ``docs``, the counts, both distances, base_failed and kept."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
     added = [*counts, "class_distance", "word_distance"]

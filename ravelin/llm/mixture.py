@@ -57,9 +57,35 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs
 
 def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: float = 3.0, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source)."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _cut(slim, weights, most_epochs, seed)
+
+
+def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: float = 3.0, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, each as often as its words taken over its words, rounded half up; rows without words never.
+
+    Whole texts stand in the result, so a source's words come as near to its target as its documents at the cut
+    allow. Rows are joined back by doc_id, source and a hash of the text; equal rows are counted together and get
+    equal shares, the first ones more.
+    """
+    keyed = docs.withColumn("own_key", F.xxhash64("text"))
+    slim = keyed.select("doc_id", "source", "own_key", word_count(F.col("text")).alias("size"))
+    cut = _cut(slim, weights, most_epochs, seed, "own_key").where("taken > 0")
+    copies = cut.groupBy("doc_id", "source", "own_key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("long").alias("copies"), F.count("*").alias("equal"))
+    copies = stored(copies.where("copies > 0"), "copies")
+    # rows that are equal in all three are one row here, standing for all of them
+    same = keyed["doc_id"].eqNullSafe(copies["doc_id"]) & keyed["source"].eqNullSafe(copies["source"]) & (keyed["own_key"] == copies["own_key"])
+    once = Window.partitionBy(*(keyed[c] for c in ("doc_id", "source", "own_key"))).orderBy(F.lit(0))
+    rows = keyed.join(copies, same).select(*(keyed[c] for c in docs.columns), "copies", "equal", F.when(F.col("equal") > 1, F.row_number().over(once)).otherwise(1).alias("place"))
+    each = F.floor(F.col("copies") / F.col("equal")) + (F.col("place") <= F.col("copies") % F.col("equal")).cast("long")
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(0), each))).where("_again > 0").select(*docs.columns)
+
+
+def _cut(slim: DataFrame, weights: tuple[int, ...], most_epochs: float, seed: int, *more: str) -> DataFrame:
+    """``slim``: doc_id, source, size and what else is to be kept."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    slim = slim.withColumn("key", key)
+    n = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = stored(
         slim.repartitionByRange(n, F.col("source").asc_nulls_last(), "key", "size").withColumn("part", F.spark_partition_id()),
         "mixture",
@@ -76,7 +102,8 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: f
     size, budget = rows["size"], F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - (F.col("skipped") + F.col("run"))
-    return both.select("doc_id", rows["source"], size.alias("size"), "source_size", "target", (epochs * size + F.greatest(F.lit(0), F.least(rest, size))).cast("long").alias("taken"))
+    taken = (epochs * size + F.greatest(F.lit(0), F.least(rest, size))).cast("long")
+    return both.select("doc_id", rows["source"], *(rows[c] for c in more), size.alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
