@@ -1,17 +1,25 @@
-"""The named queries, each with the SQL that gives the same rows."""
+"""The named queries, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.operators import sessions
+#: The modules with queries, and their names; the SQL of a query is the module's constant NAME_SQL, if it has one.
+QUERIES = {
+    "ravelin.operators.sessions": ("chat_history_pairs", "asof_prev_user", "last_messages", "transcript_export", "session_sort_pinned", "session_merge", "session_mutations"),
+    "ravelin.operators.library": ("library_items", "library_search_sort", "library_totals", "readiness", "doc_harvest", "attach_lookup"),
+    "ravelin.operators.texts": ("speech_clean", "copy_clean", "sanitize_stream", "slug_title", "suggestion_rank", "html_escape", "provider_detect", "url_validate", "date_labels", "html_text", "size_labels", "word_wrap"),
+    "ravelin.operators.citations": ("page_extract", "citation_normalize", "marker_join", "citation_dedup"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"chat_history_pairs": sessions.chat_history_pairs}
+    return {n: getattr(importlib.import_module(m), n) for m, names in QUERIES.items() for n in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"chat_history_pairs": sessions.CHAT_HISTORY_PAIRS_SQL}
+    sql = {n: getattr(importlib.import_module(m), f"{n.upper()}_SQL", None) for m, names in QUERIES.items() for n in names}
+    return {n: s for n, s in sql.items() if s}
