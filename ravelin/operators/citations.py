@@ -28,11 +28,20 @@ def string_page(value: Column) -> Column:
     return _first_number(value, STRING_PAGES)
 
 
+def first_positive(fields: list[Column]) -> Column:
+    """The first positive number that one of the fields begins with."""
+    numbers = [F.nullif(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int") for c in fields]
+    return F.coalesce(*(F.when(n > 0, n) for n in numbers))
+
+
+def preferred(*pages: Column) -> Column:
+    """The first page above 1, else the first."""
+    return F.coalesce(*(F.when(x > 1, x) for x in pages), *pages)
+
+
 def page(chunk_id: Column, heading: Column, explicit: list[Column]) -> Column:
     """Pages above 1 of the chunk's id, of the heading, of the fields; then pages of 1 in the same order; else null."""
-    numbers = [F.nullif(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int") for c in explicit]
-    three = (_first_number(chunk_id, CHUNK_PAGES), _first_number(heading, HEADING_PAGES), F.coalesce(*(F.when(n > 0, n) for n in numbers)))
-    return F.coalesce(*(F.when(x > 1, x) for x in three), *three)
+    return preferred(_first_number(chunk_id, CHUNK_PAGES), _first_number(heading, HEADING_PAGES), first_positive(explicit))
 
 
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +86,13 @@ def normalized(raw: DataFrame, default_name: str | None = None) -> DataFrame:
     name = F.when(kind == "object", trim(F.coalesce(first(*own(*FILE_ALIASES), *meta(*FILE_ALIASES)), last))).when(kind == "string", F.coalesce(first(shown), last)).otherwise(last)
     chunk = first(*own("chunk_id", "id"), *meta("chunk_id"))
     fields = [*own(*PAGE_ALIASES), *meta(*PAGE_ALIASES)] or [F.lit(None).cast("string")]
-    object_page = page(F.coalesce(first(*own("chunk_id", "id"), *meta("chunk_id", "id")), F.lit("")), F.coalesce(first(*own("heading", "title"), *meta("heading", "title")), F.lit("")), fields)
+    # in steps, each a projection of its own: one expression for all would be too long to be compiled
+    raw = raw.withColumns({
+        "_chunk": F.coalesce(first(*own("chunk_id", "id"), *meta("chunk_id", "id")), F.lit("")), "_heading": F.coalesce(first(*own("heading", "title"), *meta("heading", "title")), F.lit("")),
+        "_field": first_positive(fields), "_index": index, "_name": name,
+    })
+    raw = raw.withColumns({"_chunk": _first_number(F.col("_chunk"), CHUNK_PAGES), "_heading": _first_number(F.col("_heading"), HEADING_PAGES), "_string": string_page(trim(F.col("raw_text")))})
+    object_page, index, name = preferred(F.col("_chunk"), F.col("_heading"), F.col("_field")), F.col("_index"), F.col("_name")
     only = lambda c: F.when(kind == "object", F.coalesce(c, F.lit(""))).otherwise("")
     similarity = F.col("similarity") if "similarity" in has else F.lit(None).cast("double")
     keys = [c for c in raw.columns if c in ("answer_id", "position")]
@@ -85,7 +100,7 @@ def normalized(raw: DataFrame, default_name: str | None = None) -> DataFrame:
         *keys, index.cast("int").alias("out_index"),
         F.when(kind == "object", F.coalesce(chunk, F.concat(F.lit("chk-"), index.cast("string")))).otherwise(F.concat(F.lit("cit-"), F.col("position").cast("string"))).alias("out_chunk"),
         F.when(kind == "object", F.coalesce(first(*own("document_id", "doc_id"), *meta("doc_id")), name)).otherwise(name).alias("out_document"),
-        name.alias("out_file"), F.when(kind == "object", object_page).when(kind == "string", string_page(trim(F.col("raw_text")))).alias("out_page"),
+        name.alias("out_file"), F.when(kind == "object", object_page).when(kind == "string", F.col("_string")).alias("out_page"),
         only(first(*own("heading"), *meta("heading"), *own("title"))).alias("out_heading"), only(first(*own("plain_text", "text", "content", "snippet"))).alias("out_text"),
         F.when(kind == "object", F.coalesce(similarity, F.lit(0.9))).when(kind == "string", 0.95).otherwise(0.9).alias("out_similarity"),
     )

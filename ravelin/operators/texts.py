@@ -144,11 +144,11 @@ def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DATE_LABELS_SQL = r"""
-WITH e AS (SELECT event_id, ts AS own, CASE WHEN event_id % 52 = 0 THEN CAST(replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), '2024-', '2023-') AS TIMESTAMP) ELSE date_trunc('second', ts) END AS at, TIMESTAMP '2024-01-30 12:00:00' AS now FROM events),
-a AS (SELECT *, epoch(now) - epoch(at) AS age, CAST(floor((epoch_ms(now) - epoch_ms(own)) / 60000) AS BIGINT) AS m FROM e)
+WITH e AS (SELECT event_id, ts AS own, CASE WHEN event_id % 52 = 0 THEN CAST(replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), '2024-', '2023-') AS TIMESTAMP) ELSE date_trunc('second', ts) END AS ts1, TIMESTAMP '2024-01-30 12:00:00' AS ref FROM events),
+a AS (SELECT *, epoch(ref) - epoch(ts1) AS age, CAST(floor((epoch_ms(ref) - epoch_ms(own)) / 60000) AS BIGINT) AS m FROM e)
 SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'Just now' WHEN event_id % 51 = 0 THEN 'soon' WHEN age < 60 THEN 'Just now'
-    WHEN CAST(at AS DATE) = CAST(now AS DATE) THEN 'Today, ' || strftime(at, '%-I:%M %p') WHEN CAST(at AS DATE) = CAST(now AS DATE) - 1 THEN 'Yesterday, ' || strftime(at, '%-I:%M %p')
-    WHEN year(at) = year(now) THEN strftime(at, '%b %-d') ELSE strftime(at, '%b %-d, %Y') END AS label,
+    WHEN CAST(ts1 AS DATE) = CAST(ref AS DATE) THEN 'Today, ' || strftime(ts1, '%-I:%M %p') WHEN CAST(ts1 AS DATE) = CAST(ref AS DATE) - 1 THEN 'Yesterday, ' || strftime(ts1, '%-I:%M %p')
+    WHEN year(ts1) = year(ref) THEN strftime(ts1, '%b %-d') ELSE strftime(ts1, '%b %-d, %Y') END AS label,
   'Last connected: ' || CASE WHEN event_id % 10 = 0 THEN 'Just now' WHEN event_id % 9 = 0 THEN 'Never' WHEN m < 1 THEN 'Just now'
     WHEN m < 60 THEN m || ' minute' || CASE WHEN m = 1 THEN '' ELSE 's' END || ' ago' WHEN m // 60 < 24 THEN m // 60 || ' hour' || CASE WHEN m // 60 = 1 THEN '' ELSE 's' END || ' ago'
     ELSE m // 1440 || ' day' || CASE WHEN m // 1440 = 1 THEN '' ELSE 's' END || ' ago' END AS connected FROM a"""

@@ -13,6 +13,11 @@ QUERIES = {
     "ravelin.operators.library": ("library_items", "library_search_sort", "library_totals", "readiness", "doc_harvest", "attach_lookup"),
     "ravelin.operators.texts": ("speech_clean", "copy_clean", "sanitize_stream", "slug_title", "suggestion_rank", "html_escape", "provider_detect", "url_validate", "date_labels", "html_text", "size_labels", "word_wrap"),
     "ravelin.operators.citations": ("page_extract", "citation_normalize", "marker_join", "citation_dedup"),
+    "ravelin.operators.retrieval": ("vector_topk", "bm25_topk", "rrf_fusion", "khop_1", "khop_2", "khop_3", "chunk_docs"),
+    "ravelin.operators.verification": ("claim_verify", "quality_gate", "feedback_stats"),
+    "ravelin.operators.streams": ("stream_fold", "ingestion_progress"),
+    "ravelin.operators.answers": ("rag_clean", "markdown_blocks"),
+    "ravelin.operators.reports": ("markdown_report", "developer_export", "html_report", "pdf_report"),
 }
 
 
