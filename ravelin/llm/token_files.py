@@ -2,15 +2,16 @@
 
 Every document is encoded once, by the tokenizers library; an end id follows it. The ids of all documents are counted,
 and an id is written as its rank, so that the most frequent 256 ids take one byte. A block has, for its documents in
-order, the ids' control bytes (two bits for each id: bytes less one, four ids in a byte) and apart from them the data
-bytes. Readers look up the control bytes in a table and gather the data bytes with numpy.
+order, the ids' control bytes (two bits for each id: bytes less one, four ids in a byte, a new byte for each document)
+and apart from them the data bytes. Readers look up the control bytes in a table and gather the data bytes with numpy.
+Documents are coded before they are dealt out, so that the shuffle moves what the files will hold.
 
 Files are in ascending order of doc_id: documents are dealt out by ranges of doc_id and sorted, a file holds documents
 of one range, and ``part`` and ``seq`` of the manifest order the files. Tasks write under names that are never used
 again; only the files in the rows that a task has returned count.
 
-A null or empty text has the end id alone. Documents with equal doc_id follow each other, in the order of their ids'
-bytes; a null doc_id comes first. An empty table gives no files and no rows.
+A null or empty text has the end id alone. Documents with equal doc_id follow each other, in the order of their
+lengths and bytes; a null doc_id comes first. An empty table gives no files and no rows.
 
 The counts are one row for each id of the vocabulary, whose size is fixed by the tokenizer's file; the ranks are
 broadcast.
@@ -18,24 +19,27 @@ broadcast.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.llm import vectext as V
 from ravelin.llm.shared import drop_path, new_path, open_fs, stored, table
 
 MAGIC = b"RVLN\x01\0\0\0"
-#: Words kept with their ids in a task; what is in neither of two such tables is encoded again.
-MEMO = 150_000
-#: A word begins at a blank before a character that is no white space: the tokenizer never joins across that place.
-_CUT = re.compile(r"(?= \S)")
+#: Words whose ids a task keeps, twice over; what is not among them is encoded again.
+MEMO = 300_000
+#: Two texts on either side of such a place are encoded as they are alone: a blank or a single line feed between characters that are no white space.
+_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: For each control byte, the bytes of its four ids.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).astype(np.int64) + 1
 
@@ -52,8 +56,11 @@ def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].reshape(-1)[:n]
+def decode(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of documents of ``sizes`` values, whose control bytes and data bytes follow each other."""
+    places = 4 * -(-sizes // 4)
+    size = LENGTHS[control].reshape(-1)
+    size = size[np.arange(len(size)) - np.repeat(np.cumsum(places) - places, places) < np.repeat(sizes, places)]
     at = np.cumsum(size) - size
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
     out = padded[at].astype(np.uint32)
@@ -63,6 +70,13 @@ def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _plain(x: str) -> bool:
+    """Only single blanks and single line feeds part the words of ``x``, and none stands at its ends."""
+    if not x or "\0" in x or "  " in x or "\n\n" in x or " \n" in x or "\n " in x or x[0].isspace() or x[-1].isspace():
+        return False
+    return len("".join(x.split())) == len(x) - x.count(" ") - x.count("\n")
+
+
 class Encoder:
     """Ids of texts. Words that come again are not encoded again; that changes no id, as words are encoded apart from each other."""
 
@@ -71,49 +85,93 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)  # a character for each byte, in a byte-level vocabulary
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
-        words = [_CUT.split(x) if x else [] for x in texts]
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def after_blanks(self, words: list[str], run: int = 2000) -> list[bytes]:
+        """Ids of each word with a blank before it; the words of a run are encoded as one text, and parted by their bytes."""
+        out: list[bytes] = []
+        for i in range(0, len(words), run):
+            some = words[i : i + run]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in some])
+            at = np.searchsorted(ends, wanted)
+            if len(ends) != at[-1] + 1 or (ends[at] != wanted).any():  # no byte-level vocabulary
+                out += self.alone([" " + w for w in some])
+                continue
+            raw, cut = ids.tobytes(), ((at + 1) * self.kind.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Words without a mark are those after a blank, those with a line feed at the start follow it, those with a zero begin a text."""
         new = []
-        for w in set().union(*words):
-            if w not in self.young:
-                if (ids := self.old.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.young[w] = ids
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, "<u4").tobytes() if e.ids else b""
-        get = self.young.__getitem__
-        out = [b"".join([*map(get, x), end]) for x in words]
+        for w in words:
+            ids = self.old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.young[w] = ids
+        plain = [w for w in new if w[0] not in "\n\0"]
+        self.young.update(zip(plain, self.after_blanks(plain), strict=True))
+        first = [w for w in new if w[0] in "\n\0"]
+        feed = self.alone(["\n"])[0]
+        for w, ids in zip(first, self.alone([w[1:] for w in first]), strict=True):
+            self.young[w] = feed + ids if w[0] == "\n" else ids
+
+    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        return out
+        words: list[list[str] | None] = []
+        for x in texts:
+            words.append(("\0" + x).replace("\n", " \n").split(" ") if _plain(x) else None)
+        get = self.young.get
+        ids = [x and list(map(get, x)) for x in words]
+        missing = {w for x, y in zip(words, ids, strict=True) if y and None in y for w, i in zip(x, y, strict=True) if i is None}
+        if missing:
+            self.learn(missing)
+            ids = [y if not y or None not in y else list(map(get, x)) for x, y in zip(words, ids, strict=True)]
+        odd = [_CUT.split(x) if x and y is None else [] for x, y in zip(texts, words, strict=True)]
+        parts = iter(self.alone([p for x in odd for p in x]))
+        return [b"".join([*(y or [next(parts) for _ in o]), end]) for y, o in zip(ids, odd, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, *, tokenizer: str, end_id: int, batch: int = 400) -> DataFrame:
-    """doc_id and ids (the end id included, as little-endian unsigned 32-bit integers) of each row of ``docs`` (doc_id, text)."""
+    """doc_id and ids (the end id included; little-endian unsigned integers of 16 bits, or 32 for a vocabulary above 65,536) of each row of ``docs`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        end = struct.pack("<I", end_id)
+        encode_all = encoder(tokenizer)
+        end = np.array([end_id], encode_all.kind).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 part = b.slice(i, batch)
-                ids = encoder([x or "" for x in part.column("text").to_pylist()], end)
+                ids = encode_all([x or "" for x in part.column("text").to_pylist()], end)
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, ids binary")
 
 
-def counted(tokens: DataFrame) -> np.ndarray:
+def counted(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
     """How often each id comes in all documents."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            n = np.bincount(np.frombuffer(V.buffers(b.column("ids"))[0], kind), minlength=len(total))
             n[: len(total)] += total
             total = n
         some = np.flatnonzero(total)
@@ -125,18 +183,30 @@ def counted(tokens: DataFrame) -> np.ndarray:
     return out
 
 
+def coded(tokens: DataFrame, kind: np.dtype, sent) -> DataFrame:
+    """doc_id, n, control, data: the ids of each document as coded ranks. ``sent``: the broadcast ranks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = sent.value
+        for b in batches:
+            both = [encode(rank[np.frombuffer(x.as_buffer(), kind)]) for x in b.column("ids")]
+            sizes = pa.array([x.as_buffer().size // kind.itemsize for x in b.column("ids")], pa.int64())
+            yield pa.record_batch([b.column("doc_id"), sizes, *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))], ["doc_id", "n", "control", "data"])
+
+    return tokens.mapInArrow(of, "doc_id long, n long, control binary, data binary")
+
+
 class Files:
     """Writes documents in blocks of about ``block`` ids to files of about ``roll`` bytes."""
 
     def __init__(self, folder: str, rank: np.ndarray, block: int, roll: int):
         self.folder, self.rank, self.block, self.roll = folder, rank, block, roll
-        self.out, self.done, self.docs, self.ids = None, [], [], []
+        self.out, self.done, self.docs = None, [], []
         self.waiting = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append(doc_id)
-        self.ids.append(ids)
-        self.waiting += len(ids) // 4
+    def add(self, doc_id: int | None, n: int, control: bytes, data: bytes) -> None:
+        self.docs.append((doc_id, n, control, data))
+        self.waiting += n
         if self.waiting >= self.block:
             self.flush()
 
@@ -151,13 +221,13 @@ class Files:
             # the file can be read alone: the ids in the order of their ranks stand at its beginning
             order = zlib.compress(np.argsort(self.rank).astype("<u4").tobytes())
             self._put(MAGIC + struct.pack("<I", len(order)) + order)
-        control, data = encode(self.rank[np.frombuffer(b"".join(self.ids), "<u4")])
-        sizes = np.array([len(x) // 4 for x in self.ids], "<u4").tobytes()
-        docs = np.array([x or 0 for x in self.docs], "<i8").tobytes() + np.array([x is None for x in self.docs], np.uint8).tobytes()
-        self._put(struct.pack("<IQQ", len(self.docs), self.waiting, len(data)) + docs + sizes + control + data)
-        self.n_docs += len(self.docs)
+        ids, sizes, controls, data = zip(*self.docs, strict=True)
+        control, data = b"".join(controls), b"".join(data)
+        docs = np.array([x or 0 for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], np.uint8).tobytes()
+        self._put(struct.pack("<IQQ", len(ids), len(control), len(data)) + docs + np.array(sizes, "<u4").tobytes() + control + data)
+        self.n_docs += len(ids)
         self.n_ids += self.waiting
-        self.docs, self.ids, self.waiting = [], [], 0
+        self.docs, self.waiting = [], 0
         if self.size >= self.roll:
             self.close()
 
@@ -179,11 +249,11 @@ def read_blocks(stream) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
         raise ValueError("not a file of token ids")
     order = np.frombuffer(zlib.decompress(stream.read(struct.unpack("<I", stream.read(4))[0])), "<u4")
     while head := stream.read(20):
-        n, ids, size = struct.unpack("<IQQ", head)
+        n, controls, size = struct.unpack("<IQQ", head)
         docs, null = np.frombuffer(stream.read(8 * n), "<i8"), np.frombuffer(stream.read(n), np.uint8)
         sizes = np.frombuffer(stream.read(4 * n), "<u4").astype(np.int64)
-        control = np.frombuffer(stream.read(-(-ids // 4)), np.uint8)
-        values = decode(control, np.frombuffer(stream.read(size), np.uint8), ids)
+        control = np.frombuffer(stream.read(controls), np.uint8)
+        values = decode(control, np.frombuffer(stream.read(size), np.uint8), sizes)
         yield [None if z else d for d, z in zip(docs.tolist(), null, strict=True)], sizes, order[values]
 
 
@@ -193,7 +263,8 @@ def write_files(docs: DataFrame, *, tokenizer: str, end_id: int = 2, block: int
     path = new_path(spark, "tokens")
     tokenized(docs, tokenizer=tokenizer, end_id=end_id).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema("doc_id long, ids binary").parquet(path)
-    n = counted(tokens)
+    kind = encoder(tokenizer).kind
+    n = counted(tokens, kind)
     rank = np.empty(len(n), np.uint32)
     rank[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank)
@@ -203,16 +274,17 @@ def write_files(docs: DataFrame, *, tokenizer: str, end_id: int = 2, block: int
         files = Files(folder, sent.value, block, roll)
         part = 0
         for b in batches:
-            for d, ids, p in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("part"), strict=True):
-                files.add(d, ids.as_py())
-                part = p.as_py()
+            for d, size, control, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")), strict=True):
+                files.add(d, size, control, data)
+            part = b.column("part")[0].as_py() if b.num_rows else part
         files.close()
         columns = zip(*files.done, strict=True) if files.done else [[]] * 5
         types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array([part] * len(files.done), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["part", "file", "seq", "docs", "ids", "bytes"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    first = F.col("doc_id").asc_nulls_first()
+    ranged = coded(tokens, kind, sent).repartitionByRange(parts, first).sortWithinPartitions(first, "n", "data")
     files = stored(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(of, "part int, file string, seq long, docs long, ids long, bytes long"), "files")
     drop_path(spark, path)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
