@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import decontamination, mixture, near_duplicates, quality_ranker, token_files
-from ravelin.llm.shared import stored, table
+from ravelin.llm.shared import packed, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold that the labels give; all labels are learned from."""
     ranker = quality_ranker.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality_ranker.scored(docs, ranker).where(F.col("quality_score") >= ranker.cut)
-    return kept.select(*docs.columns)
+    rows = quality_ranker.scored(docs.select(packed(docs), "text"), ranker)
+    return rows.where(F.col("quality_score") >= ranker.cut).select("row.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import vectext as V
-from ravelin.llm.shared import stored, table
+from ravelin.llm.shared import packed, stored, table
 
 WINDOW = 32
 STEP = WINDOW // 2
@@ -38,6 +38,7 @@ ANSWERS = 6
 _BITS = 18
 #: Bytes of text at a time: the vectors of their words stay in the processor's cache.
 PIECE = 1 << 16
+MATCHES = "doc_id long, item_id long, cosine double, lcs double"
 
 
 @dataclass
@@ -213,8 +214,10 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.45, lcs:
 
 
 def _matched_block(docs: DataFrame, block: Block, cosine: float, lcs: float, answer: float) -> DataFrame:
-    seen, words, z = corpus_statistics(docs, block)
     t = len(block.terms)
+    if not t:
+        return docs.sparkSession.createDataFrame([], MATCHES)
+    seen, words, z = corpus_statistics(docs, block)
     test = gaussian(t)
     idf = np.log((1 + words) / (1 + seen))
     edges = np.concatenate([[0], np.cumsum([len(w) for w in block.words])]).astype(np.int64)
@@ -272,14 +275,14 @@ def _matched_block(docs: DataFrame, block: Block, cosine: float, lcs: float, ans
             items = pa.array(b.ids, pa.int64()).take(pa.array(got["item"], pa.int64()))
             yield pa.record_batch([ids.take(pa.array(got["row"], pa.int64())), items, pa.array(got["cosine"], pa.float64()), pa.array(got["lcs"], pa.float64())], ["doc_id", "item_id", "cosine", "lcs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, item_id long, cosine double, lcs double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, MATCHES)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that match no item; rows with null doc_id go by their text, as all do here."""
-    keyed = docs.withColumn("own_key", F.xxhash64("text"))
-    found = matched(keyed.select(F.col("own_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("own_key")).distinct()
-    return keyed.join(stored(found, "matched"), "own_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(packed(docs), "text", F.xxhash64("text").alias("key"))
+    found = matched(keyed.select(F.col("key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(stored(found, "matched"), "key", "left_anti").select("row.*")
 
 
 def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

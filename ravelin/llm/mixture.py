@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import stored, table
+from ravelin.llm.shared import packed, stored, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -68,17 +68,18 @@ def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs
     allow. Rows are joined back by doc_id, source and a hash of the text; equal rows are counted together and get
     equal shares, the first ones more.
     """
-    keyed = docs.withColumn("own_key", F.xxhash64("text"))
-    slim = keyed.select("doc_id", "source", "own_key", word_count(F.col("text")).alias("size"))
-    cut = _cut(slim, weights, most_epochs, seed, "own_key").where("taken > 0")
+    keyed = docs.select(packed(docs), "doc_id", "source", F.xxhash64("text").alias("own_key"), word_count(F.col("text")).alias("size"))
+    cut = _cut(keyed.drop("row"), weights, most_epochs, seed, "own_key").where("taken > 0")
     copies = cut.groupBy("doc_id", "source", "own_key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("long").alias("copies"), F.count("*").alias("equal"))
-    copies = stored(copies.where("copies > 0"), "copies")
-    # rows that are equal in all three are one row here, standing for all of them
-    same = keyed["doc_id"].eqNullSafe(copies["doc_id"]) & keyed["source"].eqNullSafe(copies["source"]) & (keyed["own_key"] == copies["own_key"])
-    once = Window.partitionBy(*(keyed[c] for c in ("doc_id", "source", "own_key"))).orderBy(F.lit(0))
-    rows = keyed.join(copies, same).select(*(keyed[c] for c in docs.columns), "copies", "equal", F.when(F.col("equal") > 1, F.row_number().over(once)).otherwise(1).alias("place"))
+    c = stored(copies.where("copies > 0"), "copies").alias("c")
+    k = keyed.alias("k")
+    same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.own_key") == F.col("c.own_key"))
+    # rows that are equal in all three are one row there, standing for all of them
+    rows = k.join(c, same).select("row", "k.doc_id", "k.source", "k.own_key", "copies", "equal")
+    once = Window.partitionBy("doc_id", "source", "own_key").orderBy(F.lit(0))
+    rows = rows.withColumn("place", F.row_number().over(once))
     each = F.floor(F.col("copies") / F.col("equal")) + (F.col("place") <= F.col("copies") % F.col("equal")).cast("long")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(0), each))).where("_again > 0").select(*docs.columns)
+    return rows.withColumn("again", F.explode(F.sequence(F.lit(0), each))).where("again > 0").select("row.*")
 
 
 def _cut(slim: DataFrame, weights: tuple[int, ...], most_epochs: float, seed: int, *more: str) -> DataFrame:

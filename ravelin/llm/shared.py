@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,5 +58,10 @@ def open_fs(path: str):
     return fs.LocalFileSystem(), path
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, ``row``: ``select("row.*")`` gives them back, whatever their names are."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
