@@ -11,7 +11,7 @@ kind ``random`` if the mean log-likelihood ratio of its transitions exceeds ``le
 span of a fixed pattern.
 
 The samples of the query come from the documents: the values of the fixed patterns are secrets, other words are
-ordinary. They are bounded by hash (``most_samples`` documents), so the models are a table of fixed size,
+ordinary. They are bounded (``most_samples``, by hash). The models are a table of fixed size,
 ``len(ALPHABET) ** 2`` numbers, that goes into the plan as one constant.
 
 Null and empty texts have no spans. No samples of a kind: that model is uniform. Repeated rows are scanned alike.
@@ -102,16 +102,17 @@ def scanned(docs: DataFrame, model: np.ndarray, *, least_token: int = 20, least_
 
 
 def samples_of(docs: DataFrame, *, most_samples: int = 5000) -> DataFrame:
-    """Labelled samples from ``most_samples`` documents with a match of a fixed pattern and as many others, by hash."""
+    """Labelled samples: ``most_samples`` values of fixed patterns, by hash, and the words of about ``most_samples`` documents without any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     any_fixed = F.rlike(text, F.lit("|".join([ASSIGN, *LONG.values()])))
-    few = lambda d: d.orderBy(F.xxhash64("text")).limit(most_samples)
     fixed = fixed_spans(F.col("text"))
     values = F.concat(F.transform(fixed["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), *(F.transform(fixed[k], lambda s: s["value"]) for k in LONG))
-    secret = few(docs.select("text").where(any_fixed)).select(F.explode(values).alias("token"), F.lit(True).alias("secret"))
+    secret = docs.select("text").where(any_fixed).select(F.explode(values).alias("token"))
+    secret = secret.orderBy(F.xxhash64("token"), "token").limit(most_samples).withColumn("secret", F.lit(True))
+    chance = most_samples / max(docs.count(), 1)
     words = F.filter(F.split(F.col("text"), f"[^{TOKEN[1:-1]}]+"), lambda w: F.length(w) > 1)
-    ordinary = few(docs.select("text").where(~any_fixed & (text != ""))).select(F.explode(words).alias("token"), F.lit(False).alias("secret"))
-    return secret.unionByName(ordinary)
+    few = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(chance * (1 << 20)) + 1)).where(~any_fixed)
+    return secret.unionByName(few.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC archives compressed record by record with one Zstandard dictionary.
 
-The dictionary is trained on a bounded sample of the records (``samples`` pages, by hash, of at most ``sample_bytes``
-each); every file begins with it, in a skippable frame (magic 0x184D2A5D), and has each record in a frame of its own,
+The dictionary is trained on a bounded sample of the records (about ``samples`` pages, by hash, of at most
+``sample_bytes`` each); every file begins with it, in a skippable frame (magic 0x184D2A5D), and has each record in a frame of its own,
 so that a record can be read with the dictionary and its offset alone.
 
 Of pages with equal payloads, that with the largest page_id is a response record and the others are revisit records
@@ -147,7 +147,9 @@ def write_archives(pages: DataFrame, *, samples: int = 500, sample_bytes: int =
     """Writes ``pages`` (page_id, url, html) and returns the files: file, records, bytes."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    few = pages.where(F.octet_length("html") <= sample_bytes).select("page_id", "url", "html").orderBy(F.xxhash64("html", "page_id")).limit(samples).collect()
+    share = samples * (1 << 20) // max(pages.count(), 1) + 1  # of 2**20 hash values
+    few = pages.where(F.octet_length("html") <= sample_bytes).where(F.pmod(F.xxhash64("html", "page_id"), F.lit(1 << 20)) < share)
+    few = few.select("page_id", "url", "html").limit(2 * samples).collect()
     payloads = [(r["html"] or "").encode() for r in few]
     dictionary = trained([record(r["page_id"], r["url"], p, base32_sha1(p), None, date) for r, p in zip(few, payloads, strict=True)], dictionary_bytes)
 
