@@ -4,8 +4,8 @@ Fixed patterns give spans of three kinds: assign, access and hex. Positions come
 into when it is split by a pattern: the lengths of the pieces and of the matches between them add up to offsets in
 code points.
 
-The models are first-order Markov chains over character classes: one of random strings, one of ordinary
-identifiers, both with one added to every count, learned from labelled samples (token, secret). A candidate token, a
+The models are first-order Markov chains over characters: one of random strings, one of ordinary identifiers,
+smoothed with the shares of single characters, learned from labelled samples (token, secret). A candidate token, a
 run of ``least_token`` or more of the characters that keys are made of, with at least one digit, is a span of the
 kind ``random`` if the mean log-likelihood ratio of its transitions exceeds ``least_ratio`` and it does not overlap a
 span of a fixed pattern.
@@ -74,15 +74,19 @@ def _numbers(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def train(samples: DataFrame) -> np.ndarray:
-    """Log-likelihood ratios of the transitions, secret against ordinary. ``samples``: token, secret (boolean)."""
+def train(samples: DataFrame, *, weight: float = 20.0) -> np.ndarray:
+    """Log-likelihood ratios of the transitions, secret against ordinary. ``samples``: token, secret (boolean).
+
+    A transition's count is smoothed with ``weight`` times the share of its second character, which has one added.
+    """
     n = len(ALPHABET)
     numbers = samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull()).select("secret", _numbers(F.col("token")).alias("c"))
     steps = numbers.select("secret", F.explode(F.zip_with(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", 2, F.size("c")), lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * n + b - 1))).alias("step"))
-    counts = np.ones((2, n * n))
+    counts = np.zeros((2, n, n))
     for r in steps.where("step IS NOT NULL").groupBy("secret", "step").count().collect():  # 2 * n * n rows at most
-        counts[int(r["secret"]), r["step"]] += r["count"]
-    p = np.log(counts.reshape(2, n, n) / counts.reshape(2, n, n).sum(2, keepdims=True))
+        counts[int(r["secret"]), r["step"] // n, r["step"] % n] += r["count"]
+    single = (counts.sum(1) + 1) / (counts.sum((1, 2)) + n)[:, None]
+    p = np.log((counts + weight * single[:, None, :]) / (counts.sum(2) + weight)[:, :, None])
     return (p[1] - p[0]).ravel()
 
 
