@@ -35,6 +35,8 @@ WINDOW = 32
 STEP = WINDOW // 2
 RANK = 192
 ANSWERS = 6
+#: Terms counted in a dense table of a piece's passages, the most frequent of the benchmark; the rest are gathered one by one.
+COMMON = 64
 _BITS = 18
 #: Bytes of text at a time: the vectors of their words stay in the processor's cache.
 PIECE = 1 << 16
@@ -72,11 +74,15 @@ def block_of(ids: list, texts: pa.Array, least: int) -> Block:
     h, first = words_of(*V.buffers(texts))
     long = [i for i in range(len(ids)) if first[i + 1] - first[i] >= least]
     words = [h[first[i] : first[i + 1]] for i in long]
-    terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+    terms, back, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # the most frequent have the lowest numbers
+    terms, place = terms[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     low = (terms & np.uint64((1 << _BITS) - 1)).astype(np.int64)
     look = np.full(1 << _BITS, -1, np.int64)
     look[low] = np.arange(len(terms))
-    return Block([ids[i] for i in long], [np.searchsorted(terms, w) for w in words], terms, look, np.flatnonzero(look[low] != np.arange(len(terms))))
+    parts = np.split(place[back], np.cumsum([len(w) for w in words])[:-1]) if words else []
+    return Block([ids[i] for i in long], parts, terms, look, np.flatnonzero(look[low] != np.arange(len(terms))))
 
 
 def halves(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +93,22 @@ def halves(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(edges[:-1], n) + place // STEP, edges
 
 
+def counts_of_common(numbers: np.ndarray, of: np.ndarray, count: int, terms: int) -> np.ndarray:
+    """For each of ``count`` passages, how often each of the ``COMMON`` first terms is in it; ``of``: the passage of each word."""
+    c = min(COMMON, terms)
+    some = (numbers >= 0) & (numbers < c)
+    return np.bincount(of[some] * c + numbers[some], minlength=count * c).reshape(count, c).astype(np.float32)
+
+
 def half_sums(numbers: np.ndarray, half: np.ndarray, count: int, rows: np.ndarray) -> np.ndarray:
     """For each half passage the sum of the rows of its terms; words that are no term add nothing."""
-    out = np.zeros((count, rows.shape[1]), np.float32)
-    some = np.flatnonzero(numbers >= 0)
+    common = counts_of_common(numbers, half, count, len(rows))
+    out = common @ rows[: common.shape[1]]
+    some = np.flatnonzero(numbers >= common.shape[1])
     if len(some):
         of = half[some]
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out[of[starts]] = np.add.reduceat(rows[numbers[some]], starts, axis=0)
+        out[of[starts]] += np.add.reduceat(rows[numbers[some]], starts, axis=0)
     return out
 
 
@@ -115,17 +129,19 @@ def energy(numbers: np.ndarray, first: np.ndarray, test: np.ndarray, z: np.ndarr
     half, edges = halves(first)
     m = np.diff(edges)
     pair = np.repeat(np.concatenate([[0], np.cumsum(-(-m // 2))])[:-1], m) + (np.arange(edges[-1]) - np.repeat(edges[:-1], m)) // 2
-    some = np.flatnonzero(numbers >= 0)
-    if not len(some):
+    if not len(numbers):
         return
-    t, of = numbers[some], pair[half[some]]
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    y = np.zeros((of[-1] + 1, test.shape[1]), np.float32)
-    y[of[starts]] = np.add.reduceat(test[t], starts, axis=0)
-    order = np.argsort(t.astype(np.uint16) if len(z) < 1 << 16 else t, kind="stable")
-    t = t[order]
-    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    z[t[starts]] += np.add.reduceat(y[of[order]], starts, axis=0)
+    whole = pair[half]
+    y = half_sums(numbers, whole, int(whole[-1]) + 1, test)
+    common = counts_of_common(numbers, whole, len(y), len(test))
+    z[: common.shape[1]] += common.T @ y
+    some = np.flatnonzero(numbers >= common.shape[1])
+    if len(some):
+        t = numbers[some]
+        order = np.argsort(t.astype(np.uint16) if len(z) < 1 << 16 else t, kind="stable")
+        t = t[order]
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        z[t[starts]] += np.add.reduceat(y[whole[some][order]], starts, axis=0)
 
 
 def latent(z: np.ndarray, test: np.ndarray) -> np.ndarray:
