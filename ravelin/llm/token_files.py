@@ -37,7 +37,7 @@ from ravelin.llm.shared import drop_path, new_path, open_fs, stored, table
 
 MAGIC = b"RVLN\x01\0\0\0"
 #: Words whose ids a task keeps, twice over; what is not among them is encoded again.
-MEMO = 300_000
+MEMO = 800_000
 #: Two texts on either side of such a place are encoded as they are alone: a blank or a single line feed between characters that are no white space.
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: For each control byte, the bytes of its four ids.
@@ -134,10 +134,11 @@ class Encoder:
             words.append(("\0" + x).replace("\n", " \n").split(" ") if _plain(x) else None)
         get = self.young.get
         ids = [x and list(map(get, x)) for x in words]
-        missing = {w for x, y in zip(words, ids, strict=True) if y and None in y for w, i in zip(x, y, strict=True) if i is None}
-        if missing:
-            self.learn(missing)
-            ids = [y if not y or None not in y else list(map(get, x)) for x, y in zip(words, ids, strict=True)]
+        gaps = [y and None in y and [i for i, k in enumerate(y) if k is None] for y in ids]
+        self.learn({x[i] for x, g in zip(words, gaps, strict=True) if g for i in g})
+        for x, y, g in zip(words, ids, gaps, strict=True):
+            for i in g or ():
+                y[i] = get(x[i])
         odd = [_CUT.split(x) if x and y is None else [] for x, y in zip(texts, words, strict=True)]
         parts = iter(self.alone([p for x in odd for p in x]))
         return [b"".join([*(y or [next(parts) for _ in o]), end]) for y, o in zip(ids, odd, strict=True)]
