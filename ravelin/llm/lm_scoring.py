@@ -160,5 +160,6 @@ def op2_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     shared = vocabulary(docs)
-    marked = docs.join(stored(good, "targets"), "doc_id", "left").select("text", "target")
+    # the size of the labels is not bounded, so they are not broadcast at any size
+    marked = docs.join(stored(good, "targets").hint("merge"), "doc_id", "left").select("text", "target")
     return scored(docs, shared, *counted(marked, shared)).drop("text")
