@@ -157,3 +157,71 @@ def upload_report(replies: DataFrame) -> DataFrame:
     """Replies to an upload with what the contract asks for: name, counts of 0 and the status ready where they are missing."""
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("pages", "chunks", "facts", "triples")}
     return replies.withColumns(zero | {"status": F.coalesce(F.nullif("status", F.lit("")), F.lit("ready")), "filename": F.coalesce(F.nullif("filename", F.lit("")), "sent_name")})
+
+
+def session_rows(remote: DataFrame) -> DataFrame:
+    """Rows of a session list (thread_id, session_id, id, title, attached_docs, sources) with one id, a title, and sources whose selection follows the attached names; where there are names only, placeholders stand for the sources."""
+    names = F.coalesce("attached_docs", F.array().cast("array<string>"))
+    own = F.transform("sources", lambda s: F.struct(s["name"].alias("name"), F.array_contains(names, s["name"]).alias("selected")))
+    made = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(True).alias("selected")))
+    return remote.select(
+        F.coalesce(*(F.nullif(c, F.lit("")) for c in ("thread_id", "session_id", "id"))).alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("New Chat")).alias("title"),
+        F.when(F.size(F.coalesce("sources", F.array().cast(remote.schema["sources"].dataType))) > 0, own).otherwise(made).alias("sources"),
+    )
+
+
+def toggled(sources: DataFrame, picked: DataFrame) -> DataFrame:
+    """Sources (session, id, name, selected) after ``picked`` (session, id, name): a source with that name in any case, or that id, changes its mark; one that is not there is added, selected."""
+    low = picked.select("session", F.lower("name").alias("low")).distinct().withColumn("by_name", F.lit(True))
+    ids = picked.select("session", "id").distinct().withColumn("by_id", F.lit(True))
+    s = sources.withColumn("low", F.lower("name")).join(low, ["session", "low"], "left").join(ids, ["session", "id"], "left")
+    hit = F.col("by_name").isNotNull() | F.col("by_id").isNotNull()
+    changed = s.select("session", "id", "name", F.when(hit, ~F.col("selected")).otherwise(F.col("selected")).alias("selected"))
+    new = picked.withColumn("low", F.lower("name")).join(sources.select("session", F.lower("name").alias("low")), ["session", "low"], "left_anti").join(sources.select("session", "id"), ["session", "id"], "left_anti")
+    return changed.unionByName(new.select("session", "id", "name", F.lit(True).alias("selected")))
+
+
+def source_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources of a nation's session."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k, session = F.col("s_suppkey"), F.col("s_nationkey").alias("session")
+    sources = s.where("s_suppkey % 4 > 0").select(session, k.alias("id"), F.col("s_name").alias("name"), (k % 2 == 0).alias("selected"))
+    picked = s.where("s_suppkey % 3 = 0").select(session, F.when(k % 6 == 0, k).otherwise(-k).alias("id"), F.when(k % 6 == 0, F.lit("?")).otherwise(F.upper("s_name")).alias("name"))
+    return toggled(sources, picked)
+
+
+SOURCE_TOGGLE_SQL = """
+WITH s AS (SELECT s_nationkey AS session, s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 AS selected FROM supplier WHERE s_suppkey % 4 > 0),
+p AS (SELECT s_nationkey AS session, CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey ELSE -s_suppkey END AS id, CASE WHEN s_suppkey % 6 = 0 THEN '?' ELSE upper(s_name) END AS name FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT session, id, name, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.session = s.session AND (p.id = s.id OR lower(p.name) = lower(s.name))) THEN NOT selected ELSE selected END AS selected FROM s
+UNION ALL SELECT session, id, name, true FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE p.session = s.session AND (p.id = s.id OR lower(p.name) = lower(s.name)))"""
+
+
+def suggestions(replies: DataFrame) -> DataFrame:
+    """Replies (active_docs, items: JSON texts of strings or objects with query, title or prompt) as lists of queries; none without active documents."""
+
+    def query(item: Column) -> Column:
+        v = F.try_parse_json(item)
+        keys = [F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("query", "title", "prompt")]
+        return F.coalesce(F.when(F.startswith(F.ltrim(item), F.lit('"')), F.nullif(F.try_variant_get(v, "$", "string"), F.lit(""))), *keys)
+
+    return replies.withColumn("queries", F.when(F.size("active_docs") > 0, F.array_compact(F.transform("items", query))).otherwise(F.array().cast("array<string>")))
+
+
+def configured(saved: DataFrame, defaults: dict, stale_url: str) -> DataFrame:
+    """Saved settings over defaults, without an address that is no longer valid."""
+    kept = saved.withColumn("url", F.when(F.col("url") != stale_url, F.col("url"))) if "url" in saved.columns else saved
+    return kept.select(*(F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in kept.columns))
+
+
+def listed_models(found: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The models that were found, or the fixed ones if there are none."""
+    none = found.agg((F.count("*") == 0).alias("none"))  # one row
+    return found.unionByName(fallback.where(none.scalar()))
+
+
+def abort_request(calls: DataFrame) -> DataFrame:
+    """Calls (body: a thread id, or JSON with thread_id or session_id) as thread ids."""
+    v = F.try_parse_json("body")
+    ids = [F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("thread_id", "session_id")]
+    return calls.withColumn("thread_id", F.coalesce(*ids, F.when(~F.startswith(F.ltrim("body"), F.lit("{")), F.col("body"))))

@@ -18,7 +18,7 @@ QUERIES = {
     "ravelin.operators.streams": ("stream_fold", "ingestion_progress"),
     "ravelin.operators.answers": ("rag_clean", "markdown_blocks"),
     "ravelin.operators.reports": ("markdown_report", "developer_export", "html_report", "pdf_report"),
-    "ravelin.operators.workspace": ("voice_pick", "resource_footprint", "version_pointers"),
+    "ravelin.operators.workspace": ("voice_pick", "resource_footprint", "version_pointers", "source_toggle"),
 }
 
 
