@@ -123,13 +123,17 @@ SELECT * FROM r WHERE rank <= 4"""
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Node, hop: the nodes within ``hops`` (1 to 3) of a seed with the least number of hops; every hop visits a node once."""
+    """Node, hop: the nodes within ``hops`` (1 to 3) of a seed with the least number of hops.
+
+    The nodes of a hop are the different neighbours of those of the hop before; a node's hop is the least of those it
+    is in. The edges are dealt out once and that exchange is used for every hop.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        reached = both.join(seen.where(F.col("hop") == hop - 1), both.a == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
-        seen = seen.unionByName(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
-    return seen
+    reached = [seeds.select("node").distinct()]
+    for _ in range(hops):
+        reached.append(both.join(reached[-1], both.a == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct())
+    every = reduce(DataFrame.unionByName, [r.withColumn("hop", F.lit(i)) for i, r in enumerate(reached)])
+    return every.groupBy("node").agg(F.min("hop").alias("hop"))
 
 
 def _khop(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:

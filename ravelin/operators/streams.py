@@ -22,7 +22,7 @@ def classified(lines: DataFrame) -> DataFrame:
     payload = F.when(data, F.regexp_replace(F.substr(line, F.lit(6)), r"^[ \t]", "")).otherwise(line)
     core = F.regexp_replace(F.regexp_replace(payload, r"^\s+", ""), r"\s+$", "")
     braces = core.startswith("{") & core.endswith("}")
-    parsed = F.try_parse_json(core)
+    parsed = F.try_parse_json(F.when(braces, core))
     token = F.coalesce(*(F.try_variant_get(parsed, f"$.{k}", "string") for k in TOKEN_KEYS))
     is_string = F.coalesce(*(F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING", True) for k in TOKEN_KEYS), F.lit(False))
     has = lambda k: F.coalesce(F.get_json_object(core, f"$.{k}"), F.lit("false")).isin("false", "0", "") == F.lit(False)
