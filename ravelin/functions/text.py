@@ -24,6 +24,14 @@ PDF_FOLDS = (("\u2019", "'"), ("\u2018", "'"), ("\u201c", '"'), ("\u201d", '"'),
 PLATFORMS = (("mac|darwin|apple|os x", "macos"), ("win", "windows"), ("android", "android"), ("ipad|iphone|ios", "ios"), ("linux", "linux"))
 
 
+#: Patterns with what stands for their matches, in the order in which they apply: for reading aloud, the clipboard, streams, slugs, names and suggestions.
+SPEECH = ((r"```[\s\S]*?```", "Code block omitted."), (r"`([^`]+)`", "$1"), (r"\[\^?\d+\]", ""), (r"[#*_~>]", ""), (r"(?U)\s+", " "))
+COPY = ((r"\s*\[\d+(?:\s*,\s*\d+)*\]", ""), (r"\s+([.,;:!?])", "$1"), (r"[ \t]{2,}", " "), (r"(?m)[^\S\n]+$", ""))
+STREAM = ((r"(?m)^data:\s*", ""), (r"(?m)^:\s*keepalive\s*$", ""), (r"\[DONE\]", ""), (CONTROLS, ""), (ESCAPED_CONTROLS, ""), ("([^\\n])\\s*•\\s*", "$1\n\n• "), (r"\n{3,}", "\n\n"))
+NAME = ((r"\.[^/.]+$", ""), (r"[_-]", " "))
+SUGGESTION = ((r"(?U)\s+", " "), (r"[.?]+$", ""))
+
+
 def replaced(text: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
@@ -40,7 +48,7 @@ def truthy(*columns: Column) -> Column:
 
 def speech(text: Column) -> Column:
     """T5: what is read aloud: no code blocks, markers or marks of formatting."""
-    return trim(replaced(text, (r"```[\s\S]*?```", "Code block omitted."), (r"`([^`]+)`", "$1"), (r"\[\^?\d+\]", ""), (r"[#*_~>]", ""), (r"(?U)\s+", " ")))
+    return trim(replaced(text, *SPEECH))
 
 
 _FILE = r"[^()\n]*?\.(?:pdf|docx?|txt|md|xlsx?)[^()\n]*?"
@@ -54,16 +62,12 @@ VERBOSE = rf"(?iU)(?:{_NAMED}\s*(?:{_MARK})?|{_MARK}\s*{_NAMED}|\({_FILE}\)\s*{_
 def copied(text: Column, verbose: bool = True) -> Column:
     """T4: text for the clipboard, without citations."""
     steps = [(VERBOSE, "")] if verbose else []
-    return trim(replaced(text, *steps, (rf"\s*{_MARK}", ""), (r"\s+([.,;:!?])", "$1"), (r"[ \t]{2,}", " "), (r"(?m)[^\S\n]+$", "")))
+    return trim(replaced(text, *steps, *COPY))
 
 
 def sanitized(text: Column) -> Column:
     """T1 without the unwrapping of JSON tokens: stream remains, control characters, spacing of bullets and blank lines."""
-    return replaced(
-        text,
-        (r"(?m)^data:\s*", ""), (r"(?m)^:\s*keepalive\s*$", ""), (r"\[DONE\]", ""), (CONTROLS, ""), (ESCAPED_CONTROLS, ""),
-        ("([^\\n])\\s*•\\s*", "$1\n\n• "), (r"\n{3,}", "\n\n"),
-    )
+    return replaced(text, *STREAM)
 
 
 def deduplicated_markers(text: Column) -> Column:
@@ -82,12 +86,12 @@ def deduplicated_markers(text: Column) -> Column:
 
 def doc_name(name: Column) -> Column:
     """A file name without its extension, marks as blanks."""
-    return trim(replaced(name, (r"\.[^/.]+$", ""), (r"[_-]", " ")))
+    return trim(replaced(name, *NAME))
 
 
 def suggestion(text: Column) -> Column:
     """One line without the marks at its end."""
-    return trim(replaced(text, (r"(?U)\s+", " "), (r"[.?]+$", "")))
+    return trim(replaced(text, *SUGGESTION))
 
 
 def title(text: Column, most: int = 42) -> Column:
