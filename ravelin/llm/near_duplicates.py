@@ -8,13 +8,17 @@ entries, texts with the same words in another order do not.
 1. Equal texts become one node (grouped by hash with partial minima).
 2. Every node is compared with the least node of each of its buckets, and links join the nodes to components.
 3. Where a bucket still holds nodes of several components, these are compared with each other: all of them in a
-   bucket of up to ``SMALL`` nodes; in larger ones, one for each component, dealt again by a second entry.
-   Each pair of similar texts meets in many tables, the more of them the more similar it is.
-4. A pair is a link if its word edit distance, computed in a widening band, is at most ``1 - similarity`` of the
+   bucket of up to ``SMALL`` nodes; in larger ones first the ends of each component, dealt again by a second entry,
+   which joins most of what belongs together. Each pair of similar texts meets in many tables, the more of them the
+   more similar it is.
+4. What is left of larger buckets is compared in full: their nodes are dealt into blocks, and every two blocks of a
+   bucket are compared, but for pairs that are in one component by then. So any two texts that share a bucket have
+   been compared or are in one class without it.
+5. A pair is a link if its word edit distance, computed in a widening band, is at most ``1 - similarity`` of the
    longer text's words. Bounds on the distance from lengths and word counts come first.
 
-All of it is joins and grouped minima; no group is collected and no bucket of more than ``SMALL`` nodes is paired
-with itself. Rounds are written to the shared folder.
+Buckets of more than ``SMALL`` nodes are never paired as a whole: a task holds two blocks of about ``BLOCK`` nodes.
+Rounds are written to the shared folder.
 
 Null and empty texts are each their own class, also if repeated; texts without words, only if equal. Rows that are
 equal in doc_id and text are one member. Class ids are the least doc_id of the class (null ids aside).
@@ -36,6 +40,7 @@ from ravelin.llm.shared import drop_table, packed, stored, table
 WORDS = 5
 TABLES = 16
 SMALL = 32
+BLOCK = 256
 SIMILARITY = 0.8
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (TABLES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MOST = np.uint64((1 << 64) - 1)
@@ -220,11 +225,71 @@ def _pairs_in_small(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.col("node").alias("a"), "b"), large
 
 
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of each two blocks of a bucket that have several components between them. ``rows``: bucket, node, component.
+
+    Blocks are of about ``BLOCK`` nodes; a component with more than that in a bucket has blocks of its own.
+    """
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("every"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("mixed"))
+    several = several.where((F.col("parts") > 1) & (F.col("every") > SMALL)).select("bucket", "mixed")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    mixed = F.pmod(F.xxhash64("node"), F.ceil(F.greatest("mixed", F.lit(1)) / BLOCK))
+    dealt = rows.join(parts.join(several, "bucket"), ["bucket", "component"]).withColumn("block", F.when(F.col("size") > BLOCK, own).otherwise(mixed))
+    dealt = stored(dealt.drop("size", "mixed"), "blocks")
+    blocks = dealt.groupBy("bucket", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+    other = blocks.select("bucket", F.col("block").alias("hi"), F.col("c").alias("e"), F.col("d").alias("f"))
+    both = blocks.withColumnRenamed("block", "lo").join(other, "bucket").where((F.col("lo") <= F.col("hi")) & (F.least("c", "e") != F.greatest("d", "f")))
+    sides = both.select("bucket", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    return dealt.join(sides, ["bucket", "block"])
+
+
+def links_of_blocks(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (greater, less) of nodes of the blocks ``lo`` and ``hi`` that are links; pairs in one component, also by links found here, are passed over.
+
+    A pair is compared in the first table in which it agrees.
+    """
+    node, n, t, block = (rows.column(c).to_numpy() for c in ("node", "n_words", "t", "block"))
+    label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+    entries = np.array(rows.column("entries").to_pylist(), np.int64).reshape(-1, TABLES)
+    words = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("words")]
+    bins = np.array([np.bincount(w & 63, minlength=64) for w in words])
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    out = []
+    for i in np.flatnonzero(block == lo):
+        j = np.flatnonzero((block == hi) & (label != label[i]))
+        if lo == hi:
+            j = j[j > i]
+        longest = np.maximum(n[j], n[i])
+        most = np.floor((1 - similarity) * longest + 1e-9)
+        near = (longest - np.minimum(n[j], n[i]) <= most) & ~(entries[j, : t[i]] == entries[i, : t[i]]).any(1)
+        j, longest, most = j[near], longest[near], most[near]
+        j = j[longest - np.minimum(bins[j], bins[i]).sum(1) <= most]
+        if not len(j):
+            continue
+        for k in j[similar([(words[i], words[k]) for k in j], similarity) > 0]:
+            out.append((max(node[i], node[k]), min(node[i], node[k])))
+            label[label == label[k]] = label[i]
+    return out
+
+
+def links_in_large(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between components in buckets of more than ``SMALL`` nodes. ``labels``: node, component."""
+    labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = _pairs_of_blocks(labelled).join(nodes, "node")
+
+    def of(group: pa.Table) -> pa.Table:
+        found = links_of_blocks(group, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
+
+
 def links(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(links (a, b) between nodes, components (node, component) of the linked nodes)."""
     nodes = stored(sketches.groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("entries").alias("entries"), F.first("words").alias("words")), "nodes")
     filled = nodes.where(F.col("n_words") > 0)
-    buckets = filled.select("node", F.posexplode("entries").alias("t", "entry")).select("node", F.xxhash64("t", "entry").alias("bucket"))
+    buckets = filled.select("node", F.posexplode("entries").alias("t", "entry")).select("node", F.col("t").cast("long").alias("t"), F.xxhash64("t", "entry").alias("bucket"))
     words = filled.select("node", "words")
     tried = stored(_pairs_with_least(buckets), "pairs")
     found = stored(verified(tried, words, similarity), "links")
@@ -241,13 +306,19 @@ def links(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFram
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stored(verified(stored(pairs, "pairs"), words, similarity), "links")
     every = found.unionByName(more)
-    if more.isEmpty():
+    if not more.isEmpty():
+        joined = stored(components(every), "components")
+    last = stored(links_in_large(buckets, joined, filled, similarity), "links")
+    if last.isEmpty():
         return every, joined
+    every = every.unionByName(last)
     return every, stored(components(every), "components")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, class_id, n_links for each different (doc_id, text); n_links counts the different texts that the text is linked to.
+    """doc_id, node, class_id, n_links for each different (doc_id, text); n_links counts the different texts that the text was found linked to.
+
+    It is no count of all similar texts: two texts that are in one component already are not compared.
 
     Rows without a text are left out here; ``near_duplicates`` adds them.
     """

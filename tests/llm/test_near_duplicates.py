@@ -51,6 +51,30 @@ def test_planted_copies(spark):
     assert got[1]["n_links"] > 0 and got[2]["n_links"] == 0
 
 
+def test_only_partner_inside_a_large_family(spark):
+    r = random.Random(8)
+    base = [f"w{r.getrandbits(60)}" for _ in range(100)]
+    rows = [(0, " ".join(base[:79]), "en", "s", None), (1, " ".join(base[:90]), "en", "s", None)]  # 0 is near to 1 alone
+    for i in range(120):
+        at = r.randint(0, 90)
+        rows.append((2 + i, " ".join(base[:at] + [f"w{r.getrandbits(60)}" for _ in range(10)] + base[at + 10 :]), "en", "s", None))
+    near = {i for i in range(122) if i and distance(rows[0][1].split(), rows[i][1].split()) <= 0.2 * len(rows[i][1].split())}
+    assert near == {1} and distance(rows[1][1].split(), rows[2][1].split()) <= 20
+    got = N.near_duplicates(spark.createDataFrame(rows, fixtures.SCHEMA)).collect()
+    assert {x["class_id"] for x in got} == {0}
+
+
+def test_large_buckets_are_compared_in_full(spark):
+    r = random.Random(9)
+    line = " ".join(f"w{r.getrandbits(60)}" for _ in range(30))
+    rows = []
+    for i in range(300):  # one passage in all; pairs of neighbours are near copies of each other, all others are not
+        own = [f"x{r.getrandbits(60)}" for _ in range(20)] if i % 2 == 0 else [*own[:15], *(f"x{r.getrandbits(60)}" for _ in range(5))]
+        rows.append((i, line + " " + " ".join(own), "en", "s", None))
+    got = N.near_duplicates(spark.createDataFrame(rows, fixtures.SCHEMA)).collect()
+    assert all(x["class_id"] == x["doc_id"] // 2 * 2 for x in got)
+
+
 def test_common_passage_does_not_join(spark):
     line = fixtures.prose(999, 14)
     rows = [(i, line + "\n" + fixtures.prose(1000 + i, 40), "en", "s", None) for i in range(120)]
