@@ -316,10 +316,11 @@ def links(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFram
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, class_id, n_links for each different (doc_id, text); n_links counts the different texts that the text was found linked to.
+    """doc_id, node, component, class_id, n_links for each different (doc_id, text); n_links counts the different texts that the text was found linked to.
 
     It is no count of all similar texts: two texts that are in one component already are not compared.
 
+    A class is a component: class_id, its least doc_id, is the same for several classes where ids are null or repeated.
     Rows without a text are left out here; ``near_duplicates`` adds them.
     """
     sketches = stored(sketched(docs), "sketches")
@@ -331,7 +332,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids = stored(with_component.groupBy("component").agg(F.min("doc_id").alias("class_id")), "ids")
     degree = stored(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")), "degrees")
     out = with_component.join(ids, "component").join(degree, "node", "left")
-    out = stored(out.select("doc_id", "node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    out = stored(out.select("doc_id", "node", "component", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     drop_table(sketches)
     return out
 
@@ -339,15 +340,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links for each row of ``docs`` (doc_id, text)."""
     empty = docs.where(F.coalesce(F.col("text"), F.lit("")) == "").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return classes(docs, similarity).drop("node").unionByName(empty)
+    return classes(docs, similarity).drop("node", "component").unionByName(empty)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class; rows equal in doc_id and text stay once, rows without a text all stay."""
-    kept = classes(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "class_id")
+    kept = classes(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "component")
     # of two texts with one doc_id in a class, one stays
-    kept = kept.groupBy("kept_id", "class_id").agg(F.min("kept_node").alias("kept_node")).drop("class_id")
-    kept = kept.select("kept_id", "kept_node")
+    kept = kept.groupBy("kept_id", "component").agg(F.min("kept_node").alias("kept_node")).drop("component")
     rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_node"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("empty"))
     full = rows.where(~F.col("empty"))
     some = full.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_node") == F.col("kept_node")), "left_semi").dropDuplicates(["own_id", "own_node"])

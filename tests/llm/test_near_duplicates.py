@@ -95,6 +95,14 @@ def test_odd_rows_and_empty_tables(spark):
     assert N.deduplicated(fixtures.empty(spark)).count() == 0
 
 
+def test_unrelated_texts_with_null_or_equal_ids_stay(spark):
+    texts = [fixtures.prose(i) for i in range(2000, 2012)]
+    rows = [(None if i < 6 else 9, t, "en", "s", None) for i, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "s", None), (9, texts[6], "en", "s", None)]  # repeated rows
+    kept = N.deduplicated(spark.createDataFrame(rows, fixtures.SCHEMA)).collect()
+    assert sorted(x["text"] for x in kept) == sorted(texts)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 1)]
