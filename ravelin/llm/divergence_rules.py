@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -151,13 +152,13 @@ def _content_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return V.hashes(low, starts, ends), first
 
 
-def references(docs: DataFrame, *, common: int = 200, most_languages: int = 64, trim: float = 0.18) -> References:
-    """The histograms of all documents with a text, by lang. The ``most_languages`` with the most documents have references.
+def references(docs: DataFrame, *, common: int = 200, trim: float = 0.18) -> References:
+    """The histograms of all documents with a text, by lang. Every language has references, however many there are.
 
     They are summed twice: the second time without the documents whose character classes are more than ``trim`` from
     the first references, so that junk does not set the norm.
     """
-    return _summed(docs, common, most_languages, _summed(docs, common, most_languages, None, trim), trim)
+    return _summed(docs, common, _summed(docs, common, None, trim), trim)
 
 
 def nearest_class(counts: np.ndarray, refs: References) -> np.ndarray:
@@ -165,8 +166,8 @@ def nearest_class(counts: np.ndarray, refs: References) -> np.ndarray:
     return np.min([divergence(shares, c) for c in refs.classes], axis=0) if len(refs.classes) else np.zeros(len(counts))
 
 
-def _summed(docs: DataFrame, common: int, most_languages: int, first: References | None, trim: float) -> References:
-    sent = docs.sparkSession.sparkContext.broadcast(first)  # most_languages lists of ``common`` words
+def _summed(docs: DataFrame, common: int, first: References | None, trim: float) -> References:
+    sent = docs.sparkSession.sparkContext.broadcast(first)  # a list of ``common`` words for each language
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per batch and language: the sum of the class shares, and each word's share of its document, summed."""
@@ -208,11 +209,14 @@ def _summed(docs: DataFrame, common: int, most_languages: int, first: References
     top = top.withColumn("place", F.row_number().over(place)).where(F.col("place") <= common)
     got = top.select("lang", "is_class", "key", "weight", "docs").toPandas()
     got["lang"] = got["lang"].where(got["lang"].notna(), None)
-    n = {x: int(got[[y == x for y in got["lang"]]]["docs"].sum()) for x in set(got["lang"])}
-    langs = sorted(n, key=lambda x: (-n[x], x is None, x or ""))[:most_languages]
+    # -1 is the null language: one pass over the rows, however many languages there are
+    code, names = pd.factorize(got["lang"])
+    groups = {None if i < 0 else names[i]: rows for i, rows in got.groupby(code)}
+    n = {x: int(rows["docs"].sum()) for x, rows in groups.items()}
+    langs = sorted(n, key=lambda x: (-n[x], x is None, x or ""))
     classes, words, shares = [], [], []
     for x in langs:
-        own = got[[y == x for y in got["lang"]]]
+        own = groups[x]
         c = own[own["is_class"]].sort_values("key")["weight"].to_numpy()
         w = own[~own["is_class"]].sort_values(["weight", "key"], ascending=[False, True])
         classes.append(c / max(c.sum(), 1e-12))
@@ -228,7 +232,7 @@ def judged(docs: DataFrame, refs: References, *, most_class: float = 0.195, most
     added = [*counts, "class_distance", "word_distance"]
     plain = docs.drop(*added)
     schema = plain.withColumns({n: F.lit(0).cast("long") for n in counts} | {n: F.lit(0.0) for n in added[6:]}).schema
-    sent = docs.sparkSession.sparkContext.broadcast(refs)  # most_languages lists of ``common`` words
+    sent = docs.sparkSession.sparkContext.broadcast(refs)  # a list of ``common`` words for each language
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -40,6 +41,18 @@ def test_distance(spark):
     assert not got[1000] and all(got[i] for i in range(40))
 
 
+def test_every_language_has_references(spark):
+    rows = []
+    for i in range(70):  # each language has words of its own
+        r = random.Random(i)
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)]
+        rows += [(2 * i + k, " ".join(r.sample(words, 80)), None if i == 69 else f"l{i:02}") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = R.references(docs)
+    assert len(refs.languages) == 70 and None in refs.languages
+    assert all(r["kept"] for r in R.judged(docs, refs).collect())
+
+
 def test_rules_on_odd_rows(spark):
     docs = fixtures.odd(spark)
     assert R.judged(docs, R.references(docs)).count() == docs.count()
