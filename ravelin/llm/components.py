@@ -14,15 +14,17 @@ from ravelin.llm.shared import drop_table, stored
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """``edges``: a > b, distinct. Joins every larger neighbour to the least one, then every node's smaller neighbours."""
+    """``edges``: a > b, distinct. Joins every larger neighbour to the least one, then every node's smaller neighbours. Written."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written, so that the join is of plain tables: Spark splits the many neighbours of one node among tasks then
-    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    first = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    large = both.join(first, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     own = least.select("a", F.col("m").alias("b"))
     others = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return own.unionByName(others).distinct()
+    out = stored(own.unionByName(others).distinct(), "edges")
+    drop_table(first)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     sign = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = sign(e)
     while seen[0]:
-        after = stored(_round(e), "edges")
+        after = _round(e)
         drop_table(e)
         e, before, seen = after, seen, sign(after)
         if before == seen:

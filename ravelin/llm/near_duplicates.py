@@ -3,25 +3,28 @@
 A text is the sequence of its folded words without marks; its k-mers are the runs of five words, each labelled
 with how often the same run came before. Each of ``TABLES`` hash functions orders the labelled k-mers; a table's
 entry is the two least ones, kept in the order they have in the text. Texts of high edit similarity agree in many
-entries, texts with the same words in another order do not.
-
-1. Equal texts become one node (grouped by hash with partial minima).
-2. Every node is compared with the least node of each of its buckets, and links join the nodes to components.
-3. Where a bucket still holds nodes of several components, these are compared with each other: all of them in a
-   bucket of up to ``SMALL`` nodes; in larger ones first the ends of each component, dealt again by a second entry,
-   which joins most of what belongs together. Each pair of similar texts meets in many tables, the more of them the
-   more similar it is.
-4. What is left of larger buckets is compared in full: their nodes are dealt into blocks, and every two blocks of a
-   bucket are compared, but for pairs that are in one component by then. So any two texts that share a bucket have
-   been compared or are in one class without it.
-5. A pair is a link if its word edit distance, computed in a widening band, is at most ``1 - similarity`` of the
-   longer text's words. Bounds on the distance from lengths and word counts come first.
-
-Buckets of more than ``SMALL`` nodes are never paired as a whole: a task holds two blocks of about ``BLOCK`` nodes.
+entries, texts with the same words in another order do not. A text's entries put it into ``TABLES`` buckets; two texts
+at the very threshold, with edits scattered over single words, share one with a chance of about 0.9, more similar
+ones nearly always.
+
+1. Equal texts become one node (grouped by hash). Buckets with one node are left out at once.
+2. Every node is compared with two of the least nodes of its buckets; links join the nodes to components.
+3. Where a bucket still holds nodes of several components, all pairs of nodes of different components in it are
+   compared: by a join where it has up to ``SMALL`` nodes; else its nodes are dealt into blocks of about ``BLOCK``,
+   and every two blocks are compared in a task. So any two texts that share a bucket have been compared, or are in
+   one class without it, whatever the size of the bucket.
+4. A pair is a link if its word edit distance, computed in a widening band, is at most ``1 - similarity`` of the
+   longer text's words. Bounds on the distance from lengths and word counts come first. Two very long texts that
+   pass these bounds cost time in proportion to their words times their distance, a fifth of the words at most.
+
 Rounds are written to the shared folder.
 
-Null and empty texts are each their own class, also if repeated; texts without words, only if equal. Rows that are
-equal in doc_id and text are one member. Class ids are the least doc_id of the class (null ids aside).
+Null and empty texts are each their own class, also if repeated; texts without words, only if equal. Every row of the
+input has a row in the result. ``class_id`` is the least doc_id of the class (null only if all are); ``component``
+names the class uniquely where ids are null or repeated, and is null for rows without a text.
+
+Texts are one node, and words equal, by 64-bit hashes; in the alignment, by 16 bits of them, where a chance match (of
+two given words, one in 65,536) makes the distance one less.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm import vectext as V
@@ -38,12 +41,14 @@ from ravelin.llm.components import components
 from ravelin.llm.shared import drop_table, packed, stored, table
 
 WORDS = 5
-TABLES = 16
+TABLES = 64
 SMALL = 32
 BLOCK = 256
 SIMILARITY = 0.8
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (TABLES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MOST = np.uint64((1 << 64) - 1)
+#: Bytes of text at a time: the hashes of their k-mers stay in the processor's cache.
+PIECE = 1 << 18
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,37 +80,36 @@ def order_minhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(some):
         return out
     x = V.mix(k + occurrences(k, kf) * np.uint64(0xD6E8FEB86659FD93))
-    starts, count = kf[:-1][some], n[some]
+    starts = kf[:-1][some]
+    # the low bits of a value are the k-mer's place, so that the least value also says where it is
+    low = np.uint64((1 << max(24, len(x).bit_length())) - 1)
+    place, v = np.arange(len(x), dtype=np.uint64), np.empty_like(x)
     for t in range(TABLES):
-        v = (x ^ _SEEDS[t, 0]) * _SEEDS[t, 1]
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0x9FB21C651E98DF25)
-        places = []
-        for _ in range(2):
-            least = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero(v == np.repeat(least, count))
-            at = hit[np.searchsorted(hit, starts)]  # the first in each text
-            places.append(at)
-            v[at] = _MOST
-        a, b = np.minimum(*places), np.maximum(*places)
-        out[some, t] = V.mix(V.mix(x[a] + np.uint64(t)) * np.uint64(31) + x[b])
+        np.multiply(x, _FACTORS[t], out=v)
+        v &= ~low
+        v |= place
+        a = (np.minimum.reduceat(v, starts) & low).astype(np.int64)
+        v[a] = _MOST
+        b = np.minimum.reduceat(v, starts)
+        b = np.where(b == _MOST, a, (b & low).astype(np.int64))
+        out[some, t] = V.mix(V.mix(x[np.minimum(a, b)] + np.uint64(t)) * np.uint64(31) + x[np.maximum(a, b)])
     return out
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the text), n_words, entries (TABLES longs), words (16-bit hashes) of each row with a text."""
+    """node (hash of the text), n_words, entries (TABLES longs), words (16-bit hashes) of each different text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, end, data, off in V.pieces(b.column("text")):
+            for at, end, data, off in V.pieces(b.column("text"), PIECE):
                 h, first = _words(data, off)
                 low = (h >> np.uint64(48)).astype("<u2").tobytes()
                 entries = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * TABLES), pa.array(order_minhash(h, first).view(np.int64).ravel()))
                 words = pa.array([low[2 * i : 2 * j] for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.record_batch([b.column("doc_id").slice(at, end - at), b.column("node").slice(at, end - at), pa.array(np.diff(first)), entries, words], ["doc_id", "node", "n_words", "entries", "words"])
+                yield pa.record_batch([b.column("node").slice(at, end - at), pa.array(np.diff(first)), entries, words], ["node", "n_words", "entries", "words"])
 
-    rows = docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("node"), "text")
-    return rows.mapInArrow(of, "doc_id long, node long, n_words long, entries array<long>, words binary")
+    rows = docs.where(F.coalesce(F.col("text"), F.lit("")) != "").select(F.xxhash64("text").alias("node"), "text")
+    return rows.mapInArrow(of, "node long, n_words long, entries array<long>, words binary").dropDuplicates(["node"])
 
 
 def _rounds(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, half: int, most: np.ndarray) -> np.ndarray:
@@ -211,18 +215,21 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 
 
 def _pairs_with_least(buckets: DataFrame) -> DataFrame:
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("c")).where(F.col("b") != F.col("c")).drop("c")
-    return buckets.join(least, "bucket").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+    """Each node with two of the least nodes of its buckets. ``buckets``: bucket, node, least."""
+    of = buckets.groupBy("node").agg(F.min("least").alias("x"), F.max("least").alias("y"))
+    return of.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a != b")
+
 
+def _with_several(buckets: DataFrame) -> DataFrame:
+    """The buckets with several components, and the number of their nodes. ``buckets``: bucket, node, component."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
+    return stored(sizes.select("bucket", "size"), "sizes")
 
-def _pairs_in_small(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of different components in buckets of up to SMALL rows, the rows of larger buckets). ``buckets``: bucket, node, component."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") != F.col("d"))
-    rows = buckets.join(sizes.select("bucket", "size"), "bucket")
-    small, large = rows.where(F.col("size") <= SMALL).drop("size"), rows.where(F.col("size") > SMALL).drop("size")
-    other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("d"))
-    pairs = small.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("component") != F.col("d")))
-    return pairs.select(F.col("node").alias("a"), "b"), large
+
+def _pairs_of_small(rows: DataFrame) -> DataFrame:
+    """The pairs of nodes of different components in the same bucket. ``rows``: bucket, node, component; up to SMALL rows a bucket."""
+    other = rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("d"))
+    return rows.join(other, "bucket").where((F.col("node") > F.col("b")) & (F.col("component") != F.col("d"))).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
@@ -231,11 +238,10 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
     Blocks are of about ``BLOCK`` nodes; a component with more than that in a bucket has blocks of its own.
     """
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("every"), F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("mixed"))
-    several = several.where((F.col("parts") > 1) & (F.col("every") > SMALL)).select("bucket", "mixed")
+    mixed = parts.groupBy("bucket").agg(F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("mixed"))
     own = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    mixed = F.pmod(F.xxhash64("node"), F.ceil(F.greatest("mixed", F.lit(1)) / BLOCK))
-    dealt = rows.join(parts.join(several, "bucket"), ["bucket", "component"]).withColumn("block", F.when(F.col("size") > BLOCK, own).otherwise(mixed))
+    shared = F.pmod(F.xxhash64("node"), F.ceil(F.greatest("mixed", F.lit(1)) / BLOCK))
+    dealt = rows.join(parts.join(mixed, "bucket"), ["bucket", "component"]).withColumn("block", F.when(F.col("size") > BLOCK, own).otherwise(shared))
     dealt = stored(dealt.drop("size", "mixed"), "blocks")
     blocks = dealt.groupBy("bucket", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
     other = blocks.select("bucket", F.col("block").alias("hi"), F.col("c").alias("e"), F.col("d").alias("f"))
@@ -245,15 +251,11 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
 
 
 def links_of_blocks(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
-    """Pairs (greater, less) of nodes of the blocks ``lo`` and ``hi`` that are links; pairs in one component, also by links found here, are passed over.
-
-    A pair is compared in the first table in which it agrees.
-    """
-    node, n, t, block = (rows.column(c).to_numpy() for c in ("node", "n_words", "t", "block"))
+    """Pairs (greater, less) of nodes of the blocks ``lo`` and ``hi`` that are links; pairs in one component, also by links found here, are passed over."""
+    node, n, block = (rows.column(c).to_numpy() for c in ("node", "n_words", "block"))
     label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
-    entries = np.array(rows.column("entries").to_pylist(), np.int64).reshape(-1, TABLES)
     words = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("words")]
-    bins = np.array([np.bincount(w & 63, minlength=64) for w in words])
+    bins = np.array([np.bincount(w & 127, minlength=128) for w in words])
     lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
     out = []
     for i in np.flatnonzero(block == lo):
@@ -262,7 +264,7 @@ def links_of_blocks(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
             j = j[j > i]
         longest = np.maximum(n[j], n[i])
         most = np.floor((1 - similarity) * longest + 1e-9)
-        near = (longest - np.minimum(n[j], n[i]) <= most) & ~(entries[j, : t[i]] == entries[i, : t[i]]).any(1)
+        near = longest - np.minimum(n[j], n[i]) <= most
         j, longest, most = j[near], longest[near], most[near]
         j = j[longest - np.minimum(bins[j], bins[i]).sum(1) <= most]
         if not len(j):
@@ -273,84 +275,73 @@ def links_of_blocks(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def links_in_large(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) between components in buckets of more than ``SMALL`` nodes. ``labels``: node, component."""
-    labelled = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = _pairs_of_blocks(labelled).join(nodes, "node")
+def _links_in_large(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, component."""
 
     def of(group: pa.Table) -> pa.Table:
         found = links_of_blocks(group, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
+    return _pairs_of_blocks(rows).join(words, "node").groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
 
 
-def links(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b) between nodes, components (node, component) of the linked nodes)."""
-    nodes = stored(sketches.groupBy("node").agg(F.first("n_words").alias("n_words"), F.first("entries").alias("entries"), F.first("words").alias("words")), "nodes")
-    filled = nodes.where(F.col("n_words") > 0)
-    buckets = filled.select("node", F.posexplode("entries").alias("t", "entry")).select("node", F.col("t").cast("long").alias("t"), F.xxhash64("t", "entry").alias("bucket"))
-    words = filled.select("node", "words")
+def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the nodes that are linked to others. ``nodes``: as from ``sketched``."""
+    entries = nodes.where("n_words > 0").select("node", F.explode("entries").alias("bucket"))
+    every = Window.partitionBy("bucket")
+    buckets = entries.withColumns({"least": F.min("node").over(every), "greatest": F.max("node").over(every)})
+    buckets = stored(buckets.where("least != greatest").drop("greatest"), "buckets")
+    words = stored(nodes.select("node", "n_words", "words").join(buckets.select("node").distinct(), "node", "left_semi"), "words")
     tried = stored(_pairs_with_least(buckets), "pairs")
     found = stored(verified(tried, words, similarity), "links")
     joined = stored(components(found), "components")
 
     labelled = buckets.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    pairs, large = _pairs_in_small(labelled)
-    # larger buckets: the least and the greatest node of each component, dealt again by each of their entries
-    ends = large.groupBy("bucket", "component").agg(F.min("node").alias("x"), F.max("node").alias("y")).select("bucket", "component", F.explode(F.array_distinct(F.array("x", "y"))).alias("node"))
-    again = ends.join(filled.select("node", "entries"), "node").select("node", "component", "bucket", F.posexplode("entries").alias("t", "entry"))
-    again = stored(again.select("node", "component", F.xxhash64("bucket", "t", "entry").alias("bucket")), "again")
-    fine, coarse = _pairs_in_small(again)
-    pairs = pairs.unionByName(fine).unionByName(_pairs_with_least(coarse)).distinct()
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(verified(stored(pairs, "pairs"), words, similarity), "links")
-    every = found.unionByName(more)
+    sizes = _with_several(labelled)
+    rows = stored(labelled.join(sizes, "bucket"), "rows")
+    pairs = stored(_pairs_of_small(rows.where(F.col("size") <= SMALL).drop("size")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = verified(pairs, words, similarity).unionByName(_links_in_large(rows.where(F.col("size") > SMALL).drop("size"), words, similarity))
+    more = stored(more, "links")
     if not more.isEmpty():
-        joined = stored(components(every), "components")
-    last = stored(links_in_large(buckets, joined, filled, similarity), "links")
-    if last.isEmpty():
-        return every, joined
-    every = every.unionByName(last)
-    return every, stored(components(every), "components")
+        again = stored(components(found.unionByName(more)), "components")
+        drop_table(joined)
+        joined = again
+    for t in (buckets, words, tried, found, sizes, rows, pairs, more):
+        drop_table(t)
+    return joined
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, component, class_id, n_links for each different (doc_id, text); n_links counts the different texts that the text was found linked to.
-
-    It is no count of all similar texts: two texts that are in one component already are not compared.
-
-    A class is a component: class_id, its least doc_id, is the same for several classes where ids are null or repeated.
-    Rows without a text are left out here; ``near_duplicates`` adds them.
-    """
-    sketches = stored(sketched(docs), "sketches")
-    found, joined = links(sketches, similarity)
-    members = sketches.select("doc_id", "node").distinct()
-    with_component = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    with_component = stored(with_component, "members")
+    """doc_id, node, component, class_id for each row of ``docs`` (doc_id, text) with a text."""
+    nodes = stored(sketched(docs), "nodes")
+    joined = linked(nodes, similarity)
+    drop_table(nodes)
+    full = docs.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    members = full.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"))
+    members = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = stored(members, "members")
     # written, so that the join below is of plain tables: Spark splits a large class among tasks then
-    ids = stored(with_component.groupBy("component").agg(F.min("doc_id").alias("class_id")), "ids")
-    degree = stored(found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")), "degrees")
-    out = with_component.join(ids, "component").join(degree, "node", "left")
-    out = stored(out.select("doc_id", "node", "component", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    drop_table(sketches)
+    ids = stored(members.groupBy("component").agg(F.min("doc_id").alias("class_id")), "ids")
+    out = stored(members.join(ids, "component").select("doc_id", "node", "component", "class_id"), "classes")
+    for t in (joined, members, ids):
+        drop_table(t)
     return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links for each row of ``docs`` (doc_id, text)."""
-    empty = docs.where(F.coalesce(F.col("text"), F.lit("")) == "").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return classes(docs, similarity).drop("node", "component").unionByName(empty)
+    """doc_id, class_id, component for each row of ``docs`` (doc_id, text)."""
+    own = F.col("doc_id").cast("long")
+    empty = docs.where(F.coalesce(F.col("text"), F.lit("")) == "").select(own.alias("doc_id"), own.alias("class_id"), F.lit(None).cast("long").alias("component"))
+    return classes(docs, similarity).drop("node").unionByName(empty)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; rows equal in doc_id and text stay once, rows without a text all stay."""
-    kept = classes(docs, similarity).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "component")
-    # of two texts with one doc_id in a class, one stays
-    kept = kept.groupBy("kept_id", "component").agg(F.min("kept_node").alias("kept_node")).drop("component")
-    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_node"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("empty"))
-    full = rows.where(~F.col("empty"))
-    some = full.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_node") == F.col("kept_node")), "left_semi").dropDuplicates(["own_id", "own_node"])
+    """One row of ``docs`` for each class: of those with its least doc_id, one with the least hash of its text. Rows without a text all stay."""
+    key = lambda i, node: F.xxhash64(i.isNull(), i, node)
+    of = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = classes(docs, similarity).groupBy("component").agg(F.min(of).alias("kept")).select(key(F.col("kept.doc_id"), F.col("kept.node")).alias("key"))
+    rows = docs.select(packed(docs), key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), (F.coalesce(F.col("text"), F.lit("")) == "").alias("empty"))
+    some = rows.where(~F.col("empty")).join(stored(kept, "kept"), "key", "left_semi").dropDuplicates(["key"])
     return some.unionByName(rows.where("empty")).select("row.*")
 
 

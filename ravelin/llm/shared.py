@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset and driver and tasks are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="ravelin-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
