@@ -60,40 +60,80 @@ def test_rules_on_odd_rows(spark):
     assert R.references(fixtures.empty(spark)).languages == []
 
 
+def plain_losses(rows, kept, prior=100.0):
+    """(target, background) loss of each row (doc_id, text, target), by counting all other rows for each."""
+    texts = {i: (t or "").lower().split() for i, (_, t, _) in enumerate(rows)}
+    every = Counter(w for t in texts.values() for w in t)
+    top = [w for w, _ in every.most_common(kept)]
+    assert len(every) == kept or every.most_common(kept)[-1][1] > every.most_common(kept + 1)[-1][1]  # no tie at the cut
+    top, others = set(top), len(every) - len(top)
+    out = {}
+    for i in texts:
+        both = []
+        for of in ([j for j in texts if rows[j][2]], list(texts)):
+            one, n = Counter(w for j in of for w in texts[j]), sum(len(texts[j]) for j in of)
+            share = {w: (one[w] + 1) / (n + len(top) + 1) for w in top}
+            rest = 1 - sum(share.values())
+            if not others:
+                share = {w: p / (1 - rest) for w, p in share.items()}
+            two, follows = Counter(), Counter()
+            for j in of:
+                if j != i:
+                    for v, w in zip([None, *texts[j]], texts[j], strict=False):
+                        if w in top and (v is None or v in top):
+                            two[v, w] += 1
+                            follows[v] += 1
+            p = lambda v, w: ((two[v, w] if w in top and (v is None or v in top) else 0) + prior * share.get(w, rest / max(others, 1))) / ((follows[v] if v is None or v in top else 0) + prior)  # noqa: E731, B023
+            for v in [None, *list(every)[:5]]:  # a probability model: all words that may follow add up to 1
+                assert np.isclose(sum(p(v, w) for w in every), 1)
+            both.append(-sum(np.log(p(v, w)) for v, w in zip([None, *texts[i]], texts[i], strict=False)) / max(len(texts[i]), 1))
+        out[i] = tuple(both)
+    return out
+
+
 def test_losses_are_those_of_plain_counts(spark):
-    rows = [(0, "a b a b c", True), (1, "a c c", False), (2, "", True), (3, None, None), (4, "b b", True)]
+    r = random.Random(3)
+    words = ["a", "b", "c", *(f"w{i}" for i in range(40))]
+    texts = [" ".join(r.choices(words, [30, 20, 12, *([1] * 40)], k=r.randint(1, 60))) for _ in range(25)]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)] + [(100, "", True), (101, None, False), (102, texts[0], False), (103, "a a a a b a", True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    shared = M.vocabulary(docs, vocabulary=100, classes=7, buckets=1 << 16)
-    target, background = M.counted(docs, shared)
-    got = {r["doc_id"]: r for r in M.scored(docs, shared, target, background).collect()}
-    size = 3 + 7
-
-    def loss(text, chosen):
-        texts = [r[1].split() for r in chosen if r[1]]
-        one, two, before = Counter(w for t in texts for w in t), Counter(), Counter()
-        for t in texts:
-            for v, w in zip([None, *t], t, strict=False):
-                two[v, w] += 1
-                before[v] += 1
-        total, words = 0.0, text.split()
-        for v, w in zip([None, *words], words, strict=False):
-            low = (one[w] + 1) / (sum(one.values()) + size)
-            total -= np.log(0.6 * two[v, w] / before[v] + 0.4 * low if before[v] else low)
-        return total / max(len(words), 1)
-
-    for r in rows:
-        text = r[1] or ""
-        assert np.isclose(got[r[0]]["target_loss"], loss(text, [x for x in rows if x[2]]))
-        assert np.isclose(got[r[0]]["background_loss"], loss(text, rows))
-        assert got[r[0]]["n_tokens"] == len(text.split())
+    counts = sorted(Counter(w for _, t, _ in rows for w in (t or "").split()).values(), reverse=True)
+    cut = next(k for k in range(8, 30) if counts[k - 1] > counts[k])
+    for kept in (cut, len(counts)):
+        wanted = plain_losses(rows, kept)
+        for head in (2, 2048):  # most bigrams through the shuffle, then most through the head
+            shared = M.vocabulary(docs, vocabulary=kept)
+            got = {x["doc_id"]: x for x in M.scored(docs, shared, M.counted(docs, shared, head=head)).collect()}
+            assert len(got) == len(rows)
+            for i, (doc, text, _) in enumerate(rows):
+                assert np.isclose(got[doc]["target_loss"], wanted[i][0]) and np.isclose(got[doc]["background_loss"], wanted[i][1])
+                assert got[doc]["n_tokens"] == len((text or "").split()) and got[doc]["background_loss"] >= 0
+
+
+def test_bigrams_are_exact_however_many(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=2000)), i == 0) for i in range(40)]  # some 80,000 different bigrams, nearly all of them once
+    rows.append((40, rows[5][1], False))
+    got = {x["doc_id"]: x for x in M.loss_difference(spark.createDataFrame(rows, "doc_id long, text string, target boolean").drop("target"), spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    alone = [got[i]["background_loss"] for i in range(40) if i != 5]
+    assert min(alone) > 7.5 and max(got[5]["background_loss"], got[40]["background_loss"]) < 5.5  # a copy is seen, a document itself is not
+    assert abs(got[0]["target_loss"] - np.log(3000)) < 0.5  # the only target document is no stranger to its words and does not know itself by heart
 
 
 def test_losses_on_odd_rows(spark):
-    from pyspark.sql import functions as F
-
-    docs = fixtures.odd(spark).withColumn("target", F.col("doc_id") < 5)
-    shared = M.vocabulary(docs)
-    assert M.scored(docs, shared, *M.counted(docs, shared)).count() == docs.count()
-    none = fixtures.empty(spark).withColumn("target", F.lit(True))
-    shared = M.vocabulary(none)
-    assert M.scored(docs, shared, *M.counted(none, shared)).where("loss_difference != 0").count() == 0
+    docs = fixtures.odd(spark)
+    targets = spark.createDataFrame([(i,) for i in (0, 1, 104, None, 104, 999)], "doc_id long")
+    got = M.loss_difference(docs.select("doc_id", "text"), targets).collect()
+    ids = sorted((x["doc_id"] is None, x["doc_id"]) for x in got)
+    assert ids == sorted((x["doc_id"] is None, x["doc_id"]) for x in docs.select("doc_id").collect())
+    by = {}
+    for x in got:
+        by.setdefault(x["doc_id"], set()).add((x["n_tokens"], x["target_loss"], x["background_loss"]))
+    assert len(by[104]) == 1  # equal rows, equal scores
+    assert by[100] == by[101] == by[102] == {(0, 0.0, 0.0)}
+    assert all(x["background_loss"] >= 0 and np.isfinite(x["loss_difference"]) for x in got)
+    assert M.loss_difference(docs.select("doc_id", "text"), targets.where("doc_id < 0")).count() == docs.count()
+    assert M.loss_difference(fixtures.empty(spark).select("doc_id", "text"), targets).count() == 0
+    named = docs.withColumnRenamed("source", "target").withColumn("every", docs.score)
+    assert M.marked(named.select("doc_id", "text"), targets).columns == ["doc_id", "text", "target"]
