@@ -5,14 +5,16 @@ into when it is split by a pattern: the lengths of the pieces and of the matches
 code points.
 
 The models are first-order Markov chains over characters: one of random strings, one of ordinary identifiers,
-smoothed with the shares of single characters, learned from labelled samples (token, secret). A candidate token, a
-run of ``least_token`` or more of the characters that keys are made of, with at least one digit, is a span of the
-kind ``random`` if the mean log-likelihood ratio of its transitions exceeds ``least_ratio`` and it does not overlap a
-span of a fixed pattern.
+smoothed with the shares of single characters, learned from labelled samples (token, secret). A candidate is a run of
+``LEAST`` or more of the characters that keys are made of, with a letter or digit at both ends. It is a span of the
+kind ``random`` if the mean log-likelihood ratio of its transitions is above a threshold for its length and it does not
+overlap a span of a fixed pattern. Tokens of capitals alone are taken in lower case. The threshold lies ``deviations`` standard deviations above the mean of ordinary
+tokens of that length, both measured on labelled tokens that the models have not seen; it is never below 0.
 
-The samples of the query come from the documents: the values of the fixed patterns are secrets, other words are
-ordinary. They are bounded (``most_samples``, by hash). The models are a table of fixed size,
-``len(ALPHABET) ** 2`` numbers, that goes into the plan as one constant.
+The samples of the query: secrets are random strings of several alphabets, made from hashes, and the values of the
+fixed patterns in the documents; ordinary are the words of documents without such values. They are bounded
+(``most_samples`` of each kind and ``most_texts``, by hash). The models are a table of fixed size, 128 * 128 numbers, that goes into the plan as one
+constant.
 
 Null and empty texts have no spans. No samples of a kind: that model is uniform. Repeated rows are scanned alike.
 """
@@ -20,6 +22,7 @@ Null and empty texts have no spans. No samples of a kind: that model is uniform.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,27 +38,45 @@ PATTERNS = {"assign": (ASSIGN, 6), "access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-
 #: Runs of the least length are as good as all runs of which the short ones are dropped, where a pattern is one run.
 LONG = {"access": "AKIA[A-Z0-9]{16,}", "hex": "(?<![0-9a-f])[0-9a-f]{24,}"}
 #: A text without any of these, in lower case, has no match of the pattern: that is seen faster than by the pattern.
-HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",)}
+HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",)}
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=.-"
 TOKEN = r"[A-Za-z0-9+/_=.-]"
+#: Characters of the shortest candidate: below, a random string cannot be told from a name.
+LEAST = 8
+CANDIDATE = rf"[A-Za-z0-9]{TOKEN}{{{LEAST - 2},}}[A-Za-z0-9]"
+SPANS = "array<struct<start:int,kind:string,end:int,value:string>>"
+#: Running sums are taken in pieces of this many numbers, so that their cost stays near linear.
+CHUNK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """array<int>: the sum of each number and those before it. An empty array gives an empty one."""
+    start = lambda: F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+
+    def local(c: Column) -> Column:
+        return F.aggregate(c, start(), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out")), lambda a: a["out"])
+
+    def parts(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CHUNK).cast("int")), lambda k: F.slice(c, k * CHUNK + 1, F.lit(CHUNK)))
+
+    sums = F.transform(parts(numbers), local)
+    before = local(F.transform(sums, lambda c: F.coalesce(F.element_at(c, -1), F.lit(0))))
+    moved = F.zip_with(sums, F.concat(F.array(F.lit(0)), before), lambda c, s: F.transform(c, lambda x: x + s))
+    return F.when(F.size(numbers) <= CHUNK, local(numbers)).otherwise(F.flatten(F.filter(moved, lambda c: c.isNotNull())))
 
 
 def _spans(kind: str, text: Column, pattern: str) -> Column:
     """array<struct<start, kind, end, value>> of the matches, leftmost and not overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>").alias("spans"))
+    # each step is an array of one element, whose element the next step reads as often as it needs to
+    both = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+    ends = F.transform(both, lambda s: F.struct(s["found"].alias("found"), running_sums(F.zip_with(F.slice(s["gaps"], F.lit(1), F.size(s["found"])), s["found"], lambda g, m: F.length(g) + F.length(m))).alias("ends")))
+    one = lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value"))
+    return F.flatten(F.transform(ends, lambda s: F.zip_with(s["found"], s["ends"], one))).cast(SPANS)
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    none = F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>")
-    return F.when(_likely(kind, text) & F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda a: a["spans"])).otherwise(none)
+def _fixed(kind: str, text: Column, pattern: str) -> Column:
+    return F.when(_likely(kind, text) & F.rlike(text, F.lit(pattern)), _spans(kind, text, pattern)).otherwise(F.array().cast(SPANS))
 
 
 def _likely(kind: str, text: Column) -> Column:
@@ -65,64 +86,110 @@ def _likely(kind: str, text: Column) -> Column:
 
 def fixed_spans(text: Column) -> dict[str, Column]:
     """The spans of each fixed kind."""
-    assign = F.filter(_spans("assign", text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= PATTERNS["assign"][1])
-    return {"assign": assign} | {k: _spans(k, text, LONG[k]) for k in LONG}
+    assign = F.filter(_fixed("assign", text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= PATTERNS["assign"][1])
+    return {"assign": assign} | {k: _fixed(k, text, LONG[k]) for k in LONG}
 
 
-def _numbers(token: Column) -> Column:
-    """The place in the alphabet, from 1, of each character."""
-    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+def folded(token: Column) -> Column:
+    """A token of capitals alone in lower case: it is compared with words as they are mostly written."""
+    return F.when(F.rlike(token, F.lit("[a-z0-9]")), token).otherwise(F.lower(token))
 
 
-def train(samples: DataFrame, *, weight: float = 20.0) -> np.ndarray:
-    """Log-likelihood ratios of the transitions, secret against ordinary. ``samples``: token, secret (boolean).
+@dataclass
+class Model:
+    """Log-likelihood ratios of the transitions, secret against ordinary, at 128 * first + second code; mean and variance of those of ordinary tokens."""
 
-    A transition's count is smoothed with ``weight`` times the share of its second character, which has one added.
-    """
-    n = len(ALPHABET)
-    numbers = samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull()).select("secret", _numbers(F.col("token")).alias("c"))
-    steps = numbers.select("secret", F.explode(F.zip_with(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", 2, F.size("c")), lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * n + b - 1))).alias("step"))
-    counts = np.zeros((2, n, n))
-    for r in steps.where("step IS NOT NULL").groupBy("secret", "step").count().collect():  # 2 * n * n rows at most
-        counts[int(r["secret"]), r["step"] // n, r["step"] % n] += r["count"]
-    single = (counts.sum(1) + 1) / (counts.sum((1, 2)) + n)[:, None]
-    p = np.log((counts + weight * single[:, None, :]) / (counts.sum(2) + weight)[:, :, None])
-    return (p[1] - p[0]).ravel()
+    ratios: np.ndarray
+    mean: float
+    variance: float
+
+    def column(self) -> Column:
+        return F.from_json(F.lit(json.dumps([round(float(x), 6) for x in self.ratios])), "array<double>")
+
+    def threshold(self, steps: Column, deviations: float) -> Column:
+        return F.greatest(F.lit(0.0), self.mean + deviations * F.sqrt(F.lit(self.variance) / steps))
 
 
 def ratio(token: Column, model: Column) -> Column:
-    """The mean log-likelihood ratio of a token's transitions. ``model``: the table as an array."""
-    n = len(ALPHABET)
-    c = _numbers(token)
-    steps = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.element_at(model, ((a - 1) * n + b).cast("int")))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1)
+    """The mean log-likelihood ratio of a token's transitions. ``token``: a column or variable, as it is read for each; ``model``: the ratios."""
+    start = F.lit(0.0)
+    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
+    short = F.aggregate(F.sequence(F.lit(2), F.length(token)), start, lambda s, i: s + F.get(model, code(i - 1) * 128 + code(i)))
+    # finding the i-th character takes longer the longer the token is, so long ones are taken apart first
+    chars = F.array(F.transform(F.split(token, ""), F.ascii))
+    long = F.aggregate(chars, start, lambda s, c: s + F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), start, lambda t, i: t + F.get(model, F.get(c, i - 1) * 128 + F.get(c, i))))
+    return F.when(F.length(token) < 2, 0.0).otherwise(F.when(F.length(token) <= 48, short).otherwise(long) / (F.length(token) - 1))
 
 
-def scanned(docs: DataFrame, model: np.ndarray, *, least_token: int = 20, least_ratio: float = 0.7) -> DataFrame:
+def train(samples: DataFrame, *, weight: float = 20.0, held: int = 4) -> Model:
+    """``samples``: token, secret (boolean). One in ``held`` ordinary tokens, by hash, is for the threshold alone.
+
+    A transition's count is smoothed with ``weight`` times the share of its second character, which has one added.
+    """
+    alphabet = np.array([ord(c) for c in ALPHABET])
+    known = samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull())
+    apart = ~F.col("secret") & (F.pmod(F.xxhash64("token"), F.lit(held)) == 0)
+    chars = F.transform(F.filter(F.split(folded(F.col("token")), ""), lambda c: c != ""), F.ascii)
+    codes = known.where(~apart).select("secret", chars.alias("c"))
+    steps = codes.where(F.size("c") > 1).select("secret", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * 128 + b)).alias("step"))
+    every = np.zeros((2, 128, 128))
+    for r in steps.where(F.col("step").between(0, 128 * 128 - 1)).groupBy("secret", "step").count().collect():  # 2 * 128 * 128 rows at most
+        every[int(r["secret"]), r["step"] // 128, r["step"] % 128] += r["count"]
+    counts = every[:, alphabet][:, :, alphabet]
+    single = (counts.sum(1) + 1) / (counts.sum((1, 2)) + len(alphabet))[:, None]
+    p = np.log((counts + weight * single[:, None, :]) / (counts.sum(2) + weight)[:, :, None])
+    ratios = np.zeros((128, 128))
+    ratios[np.ix_(alphabet, alphabet)] = p[1] - p[0]
+    model = Model(ratios.ravel(), 0.0, 1.0)
+    tokens = known.where(apart & F.rlike("token", F.lit(f"^{CANDIDATE}$"))).select(folded(F.col("token")).alias("t"))
+    tokens = tokens.select(ratio(F.col("t"), model.column()).alias("ratio"), (F.length("t") - 1).alias("steps"))
+    mean = tokens.agg(F.sum(F.col("ratio") * F.col("steps")) / F.sum("steps")).first()[0]
+    if mean is not None:
+        variance = tokens.agg(F.avg(F.pow(F.col("ratio") - mean, 2) * F.col("steps"))).first()[0]
+        model = Model(model.ratios, mean, variance)
+    return model
+
+
+def scanned(docs: DataFrame, model: Model, *, deviations: float = 6.5) -> DataFrame:
     """All columns of ``docs`` and spans: array<struct<start, kind, end, value>> by start, then kind as listed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     fixed = fixed_spans(text)
-    with_fixed = docs.withColumns({f"_{k}": v for k, v in fixed.items()} | {"_tokens": _spans("random", text, f"(?<!{TOKEN}){TOKEN}{{{least_token},}}")})
-    constant = F.from_json(F.lit(json.dumps([round(float(x), 6) for x in model])), "array<double>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    both = F.transform(found, lambda t: F.struct(t.alias("token"), folded(t).alias("folded")))
+    table = model.column()
+    chosen = F.transform(F.filter(both, lambda t: ratio(t["folded"], table) > model.threshold(F.length(t["token"]) - 1, deviations)), lambda t: t["token"])
+    out = docs.withColumns({f"_{k}": v for k, v in fixed.items()} | {"_chosen": chosen})
+    # positions are computed for texts that have such a token, which few have
+    spans = F.filter(_spans("random", text, CANDIDATE), lambda s: F.array_contains("_chosen", s["value"]))
+    out = out.withColumn("_random", F.when(F.size("_chosen") > 0, spans).otherwise(F.array().cast(SPANS)))
     base = F.concat(*(F.col(f"_{k}") for k in fixed))
-    likely = F.filter("_tokens", lambda s: F.rlike(s["value"], F.lit("[0-9]")) & (ratio(s["value"], constant) > least_ratio))
-    added = F.filter(likely, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = F.filter("_random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     order = F.array(*(F.lit(k) for k in KINDS))
     keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    # most texts have no candidate, and nothing is computed for them
-    return with_fixed.withColumn("spans", F.when((F.size("_tokens") > 0) | (F.size(base) > 0), F.array_sort(keyed)).otherwise(F.array().cast("array<struct<start:int,place:bigint,kind:string,end:int,value:string>>"))).drop(*(f"_{k}" for k in fixed), "_tokens")
+    return out.withColumn("spans", F.array_sort(keyed)).drop(*(f"_{k}" for k in fixed), "_chosen", "_random")
+
+
+def random_strings(spark: SparkSession, n: int) -> DataFrame:
+    """token: ``n`` strings of 8 to 40 characters, made from hashes, of five alphabets in turn."""
+    whole = F.base64(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 512)))
+    plain = F.regexp_replace(whole, "[^A-Za-z0-9]", "")
+    kind = F.col("id") % 5
+    letters = F.regexp_replace(plain, "[0-9]", "")
+    token = F.when(kind == 0, whole).when(kind == 1, letters).when(kind == 2, F.upper(plain)).when(kind == 3, F.lower(plain)).otherwise(plain)
+    return spark.range(n).select(F.substring(token, F.lit(1), (F.lit(8) + F.pmod(F.xxhash64("id"), F.lit(33))).cast("int")).alias("token"))
 
 
-def samples_of(docs: DataFrame, *, most_samples: int = 5000) -> DataFrame:
-    """Labelled samples: ``most_samples`` values of fixed patterns, by hash, and the words of about ``most_samples`` documents without any."""
+def samples_of(docs: DataFrame, *, most_samples: int = 5000, most_texts: int = 1000) -> DataFrame:
+    """Labelled samples: ``most_samples`` random strings, as many different values of fixed patterns, by hash, and the words of about ``most_texts`` documents without any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     any_fixed = reduce(Column.__or__, [_likely(k, text) & F.rlike(text, F.lit(p)) for k, p in {"assign": ASSIGN, **LONG}.items()])
     fixed = fixed_spans(F.col("text"))
     values = F.concat(F.transform(fixed["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), *(F.transform(fixed[k], lambda s: s["value"]) for k in LONG))
-    secret = docs.select("text").where(any_fixed).select(F.explode(values).alias("token"))
-    secret = secret.orderBy(F.xxhash64("token"), "token").limit(most_samples).withColumn("secret", F.lit(True))
-    chance = most_samples / max(docs.count(), 1)
-    words = F.filter(F.split(F.col("text"), f"[^{TOKEN[1:-1]}]+"), lambda w: F.length(w) > 1)
+    secret = docs.select("text").where(any_fixed).select(F.explode(values).alias("token")).distinct()
+    secret = secret.orderBy(F.xxhash64("token"), "token").limit(most_samples)
+    secret = secret.unionByName(random_strings(docs.sparkSession, most_samples)).withColumn("secret", F.lit(True))
+    chance = most_texts / max(docs.count(), 1)
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"[A-Za-z0-9]{TOKEN}*[A-Za-z0-9]"), F.lit(0))
     few = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(chance * (1 << 20)) + 1)).where(~any_fixed)
     return secret.unionByName(few.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
 

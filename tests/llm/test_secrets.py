@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 
@@ -22,10 +24,9 @@ def brute(text):
 
 
 def model(spark):
-    rng = np.random.default_rng(2)
-    secret = ["".join(rng.choice(list(S.ALPHABET[:62]), 30)) for _ in range(400)]
-    words = [w for i in range(40) for w in fixtures.prose(i).split()]
-    return S.train(spark.createDataFrame([(w, True) for w in secret] + [(w, False) for w in words] + [(None, True), ("", False)], "token string, secret boolean"))
+    words = [w for i in range(60) for w in fixtures.prose(i).split()] + ["user_name", "lastIndexOf", "max-width", "config.yaml", "2024-01-05", "internationalization"] * 20
+    ordinary = spark.createDataFrame([(w, False) for w in words] + [(None, True), ("", False), ("é😀", False)], "token string, secret boolean")
+    return S.train(S.random_strings(spark, 2000).selectExpr("token", "true AS secret").unionByName(ordinary))
 
 
 def test_fixed_spans_are_those_of_a_plain_scan(spark):
@@ -54,7 +55,54 @@ def test_query(spark):
 
 def test_odd_rows_and_empty_tables(spark):
     m = S.train(spark.createDataFrame([], "token string, secret boolean"))
-    assert np.allclose(m, 0)
+    assert np.allclose(m.ratios, 0)
     docs = fixtures.odd(spark)
     assert S.scanned(docs, m).count() == docs.count()
     assert S.scanned(fixtures.empty(spark), m).count() == 0
+
+
+def plain_ratio(token, ratios):
+    token = token if re.search("[a-z0-9]", token) else token.lower()
+    return sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(token, token[1:], strict=False)) / (len(token) - 1)
+
+
+def test_ratios_and_thresholds_are_those_of_a_plain_scan(spark):
+    m = model(spark)
+    r = random.Random(4)
+    texts = [" ".join(r.choice([fixtures.prose(i, 30), "".join(r.choices(S.ALPHABET, k=r.choice([8, 9, 30, 47, 48, 49, 50, 200])))]) for _ in range(4)) for i in range(40)] + ["SHOUTING WORDS REPEATED", "x" * 3000]
+    got = {x["doc_id"]: [s["value"] for s in x["spans"] if s["kind"] == "random"] for x in S.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for i, text in enumerate(texts):
+        wanted = []
+        for c in re.finditer(S.CANDIDATE, text):
+            limit = max(0.0, m.mean + 6.5 * (m.variance / (len(c[0]) - 1)) ** 0.5)
+            if plain_ratio(c[0], np.round(m.ratios, 6)) > limit and not any(b[0] < c.end() and c.start() < b[3] for b in brute(text)):
+                wanted.append(c[0])
+        assert got[i] == wanted
+
+
+def test_precision_and_recall_on_planted_keys(spark):
+    m = model(spark)
+    r = random.Random(5)
+    alphabets = {"letters": string.ascii_letters, "all": string.ascii_letters + string.digits, "capitals and digits": string.ascii_uppercase + string.digits, "small and digits": string.ascii_lowercase + string.digits}
+    rows, keys = [], {}
+    for i, (name, n) in enumerate((a, n) for a in alphabets for n in (8, 10, 12, 16, 20, 30, 40) for _ in range(20)):
+        keys[i] = "".join(r.choices(alphabets[name], k=n))
+        rows.append((i, f"{fixtures.prose(5000 + i, 40)} {keys[i]} {fixtures.prose(6000 + i, 40)}"))
+    got = {x["doc_id"]: [s["value"] for s in x["spans"]] for x in S.scanned(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    found = sum(keys[i] in got[i] for i in keys)
+    assert found >= 0.95 * len(keys)
+    assert sum(len(v) for v in got.values()) - found <= 0.02 * len(keys)
+    letters = [i for i in range(20 * 7) if keys[i] in got[i]]
+    assert len(letters) >= 0.9 * 20 * 7  # letters alone, from 8 characters
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 255, 256, 257, 512, 5000):
+        x = [i % 7 for i in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(S.running_sums(F.col("x")).alias("s")).first()["s"]
+        assert got == np.cumsum(x).tolist()
+    text = " ".join(["token=abcdefgh"] * 3000)
+    got = S.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), model(spark)).first()["spans"]
+    assert [(s["start"], s["end"]) for s in got] == [(15 * i, 15 * i + 14) for i in range(3000)]
