@@ -5,17 +5,20 @@ A passage's vector has its TF-IDF weights over the benchmark's words, all other
 singular value decomposition of the passages of all documents, with the benchmark's passages at equal total energy,
 gives the latent space: tasks sum ``A'(A G)`` for one Gaussian test matrix ``G`` over their passages (a fixed-size
 matrix each), and the driver takes the decomposition of the sum (the one-pass Nystrom form). Passages whose latent
-cosine with a passage of an item is at least ``cosine`` are candidates.
+cosine with a passage of an item is at least ``cosine`` are candidates. The cosine is taken as if the longer of the two
+were as short as the shorter one, as a short item is quoted within a passage of other words.
 
 A candidate is a match if the longest common subsequence of the item's words and the words around the passage has at
 least ``lcs`` of the item's words, and at least ``answer`` of the item's answer words are there: the ``ANSWERS`` words
-of the item that are rarest in the corpus.
+of the item that are rarest in the corpus. Items of fewer than ``SHORT`` words say too little for that; they match
+where all their words follow each other.
 
-The benchmark is taken in blocks of about ``block`` items, each with its own latent space; a block's tables have a
-bounded size and are broadcast. Documents are read whole, in their partitions, and never shuffled.
+The benchmark is taken in blocks of about ``block_words`` words, each with its own latent space; a block's tables have
+a size that this bounds (or its longest item, if that is longer), and are broadcast. Documents are read whole, in their
+partitions, and never shuffled, twice for each block.
 
-Null and empty texts match nothing, nor do items of fewer than ``least`` words. Repeated rows of documents match
-each; items with equal text match each under their own id.
+Null and empty texts match nothing, nor do items without words. Repeated rows of documents match each; items with equal
+text match each under their own id.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ WINDOW = 32
 STEP = WINDOW // 2
 RANK = 192
 ANSWERS = 6
+SHORT = 5
 #: Terms counted in a dense table of a piece's passages, the most frequent of the benchmark; the rest are gathered one by one.
 COMMON = 64
-_BITS = 18
 #: Bytes of text at a time: the vectors of their words stay in the processor's cache.
 PIECE = 1 << 16
 MATCHES = "doc_id long, item_id long, cosine double, lcs double"
@@ -45,22 +48,30 @@ MATCHES = "doc_id long, item_id long, cosine double, lcs double"
 
 @dataclass
 class Block:
-    """A block of the benchmark: item ids, each item's term numbers, its answer terms, and the terms' hashes."""
+    """A block of the benchmark: item ids, each item's term numbers, and the terms' hashes."""
 
     ids: list
     words: list[np.ndarray]
     terms: np.ndarray
-    #: for the low bits of a hash: number of the term, or -1; ``spare`` has the terms that share their low bits with another
-    look: np.ndarray
-    spare: np.ndarray
+
+    def __post_init__(self):
+        # for the low bits of a hash: number of the term, -1 for none, -2 for several
+        self.low = np.uint64((1 << max(16, len(self.terms).bit_length() + 4)) - 1)
+        at = (self.terms & self.low).astype(np.int64)
+        self.look = np.full(int(self.low) + 1, -1, np.int64)
+        self.look[at] = np.arange(len(at))
+        self.look[np.flatnonzero(np.bincount(at, minlength=len(self.look)) > 1)] = -2
+        self.order = np.argsort(self.terms)
+        self.sorted = self.terms[self.order]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The number of the term of each hash, -1 if it is no term."""
-        n = self.look[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
-        n = np.where((n >= 0) & (self.terms[n] == h), n, -1)
-        if len(self.spare):
-            for i in self.spare:
-                n[h == self.terms[i]] = i
+        n = self.look[(h & self.low).astype(np.int64)]
+        several = np.flatnonzero(n == -2)
+        n = np.where((n >= 0) & (self.terms[np.maximum(n, 0)] == h), n, -1)
+        if len(several):
+            at = np.minimum(np.searchsorted(self.sorted, h[several]), len(self.sorted) - 1)
+            n[several] = np.where(self.sorted[at] == h[several], self.order[at], -1)
         return n
 
 
@@ -70,19 +81,16 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return V.hashes(low, starts, ends), first
 
 
-def block_of(ids: list, texts: pa.Array, least: int) -> Block:
+def block_of(ids: list, texts: pa.Array) -> Block:
     h, first = words_of(*V.buffers(texts))
-    long = [i for i in range(len(ids)) if first[i + 1] - first[i] >= least]
-    words = [h[first[i] : first[i + 1]] for i in long]
+    filled = [i for i in range(len(ids)) if first[i + 1] > first[i]]
+    words = [h[first[i] : first[i + 1]] for i in filled]
     terms, back, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")  # the most frequent have the lowest numbers
     terms, place = terms[order], np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    low = (terms & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-    look = np.full(1 << _BITS, -1, np.int64)
-    look[low] = np.arange(len(terms))
     parts = np.split(place[back], np.cumsum([len(w) for w in words])[:-1]) if words else []
-    return Block([ids[i] for i in long], parts, terms, look, np.flatnonzero(look[low] != np.arange(len(terms))))
+    return Block([ids[i] for i in filled], parts, terms)
 
 
 def halves(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,36 +202,98 @@ def corpus_statistics(docs: DataFrame, block: Block) -> tuple[np.ndarray, int, n
     return both[:, RANK].astype(np.int64), int(both[0, RANK + 1]), both[:, :RANK]
 
 
-def cosines(numbers: np.ndarray, half: np.ndarray, count: int, x: np.ndarray, y: np.ndarray, rows: np.ndarray, target: np.ndarray, other: float) -> np.ndarray:
-    """Cosines of the passages (halves x to y) with the targets; the words that are no term count in a passage's length."""
+def near_passages(numbers: np.ndarray, half: np.ndarray, count: int, x: np.ndarray, y: np.ndarray, rows: np.ndarray, target: np.ndarray, size: np.ndarray, other: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, target, cosine) of the pairs at ``least`` or above; passages are halves x to y, ``target`` has unit length and ``size`` its lengths before.
+
+    The words that are no term count in a passage's length; a cosine is taken at the length of the shorter one.
+    """
     sums = half_sums(numbers, half, count, rows)
     rest = np.bincount(half[numbers < 0], minlength=count) * other**2
     two = (y > x)[:, None]
     p = sums[x] + np.where(two, sums[y], 0)
-    size = np.sqrt(np.einsum("ij,ij->i", p, p) + rest[x] + np.where(two[:, 0], rest[y], 0))
-    return (p / np.maximum(size, 1e-9)[:, None].astype(np.float32)) @ target.T
+    length = np.sqrt(np.einsum("ij,ij->i", p, p) + rest[x] + np.where(two[:, 0], rest[y], 0)).astype(np.float32)
+    dot = p @ target.T
+    length = np.maximum(length, np.float32(1e-9))
+    near, to = np.nonzero((dot >= np.float32(least) * size) | (dot >= np.float32(least) * length[:, None]))
+    return near, to, dot[near, to] / np.minimum(length[near], size[to])
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the longest common subsequence."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        cur = np.maximum(row[1:], row[:-1] + (b == x))
-        row[1:] = np.maximum.accumulate(cur)
-    return int(row[-1])
+    """The length of the longest common subsequence: bit i of ``row`` is 0 where the best of the first i + 1 items of ``b`` is longer than of the first i."""
+    at: dict[int, int] = {}
+    for i, y in enumerate(b.tolist()):
+        at[y] = at.get(y, 0) | 1 << i
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a.tolist():
+        both = row & at.get(x, 0)
+        row = ((row + both) | (row - both)) & every
+    return len(b) - row.bit_count()
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.45, lcs: float = 0.6, answer: float = 0.6, least: int = 5, block: int = 2048) -> DataFrame:
+def holds(around: np.ndarray, words: np.ndarray) -> bool:
+    """Whether the words follow each other somewhere."""
+    n = len(words)
+    return len(around) >= n and bool((np.lib.stride_tricks.sliding_window_view(around, n) == words).all(1).any())
+
+
+@dataclass
+class Answers:
+    """Each item's answer words: ``place`` has their places among all answer words (the last one for none), ``needed`` how many of them a match has."""
+
+    number: np.ndarray
+    place: np.ndarray
+    needed: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], idf: np.ndarray, answer: float) -> Answers:
+        own = [u[np.argsort(-idf[u], kind="stable")][:ANSWERS] for u in map(np.unique, words)]
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
+        place = np.full((len(own), ANSWERS), len(every))
+        for i, u in enumerate(own):
+            place[i, : len(u)] = np.searchsorted(every, u)
+        needed = [len(u) if len(w) < SHORT else np.ceil(answer * len(u) - 1e-9) for w, u in zip(words, own, strict=True)]
+        number = np.full(len(idf), -1, np.int64)
+        number[every] = np.arange(len(every))
+        return cls(number, place, np.array(needed))
+
+    def there(self, numbers: np.ndarray, half: np.ndarray, count: int, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the halves lo up to (not with) hi have the answer words that each of ``items`` needs."""
+        n = int(self.place.max(initial=0)) + 1
+        at = self.number[numbers]
+        some = (numbers >= 0) & (at >= 0)
+        before = np.zeros((count + 1, n), np.int32)
+        before[half[some] + 1, at[some]] = 1
+        np.cumsum(before, axis=0, out=before)
+        found = np.zeros(len(items), np.int64)
+        for k in range(ANSWERS):
+            p = self.place[items, k]
+            found += before[hi, p] > before[lo, p]
+        return found >= self.needed[items]
+
+
+def share_found(around: np.ndarray, words: np.ndarray, answers: np.ndarray, lcs: float, answer: float) -> float:
+    """The share of the item's words in the common subsequence, 0 if it is no match."""
+    if len(words) < SHORT:
+        return float(holds(around, words))
+    if np.isin(answers, around).mean() < answer:
+        return 0.0
+    share = common_length(words, around) / len(words)
+    return share if share >= lcs else 0.0
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.5, lcs: float = 0.6, answer: float = 0.6, block_words: int = 1 << 16) -> DataFrame:
     """doc_id, item_id, cosine, lcs (both of the best passage) for each document and item that match.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text.
     """
     items = benchmark.where(F.coalesce(F.col("text"), F.lit("")) != "").select("item_id", "text")
-    blocks = max(1, -(-items.count() // block))
+    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-words // block_words))
     out = None
     for i in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == i).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        b = block_of(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), least)
+        b = block_of(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks())
         found = _matched_block(docs, b, cosine, lcs, answer)
         out = found if out is None else out.unionByName(found)
     return out
@@ -249,18 +319,18 @@ def _matched_block(docs: DataFrame, block: Block, cosine: float, lcs: float, ans
     first_half, last_half = windows(at)
     sums = half_sums(numbers, half, at[-1], rows)
     target = sums[first_half] + np.where((last_half > first_half)[:, None], sums[last_half], 0)
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
+    size = np.maximum(np.linalg.norm(target, axis=1), 1e-9).astype(np.float32)
+    target /= size[:, None]
     item_of = np.searchsorted(at, first_half, "right") - 1
     # words that are no term have the weight of a usual term: they are no part of any item
     other = float(np.median(idf)) if t else 0.0
-    answers = []
-    for w in block.words:
-        u = np.unique(w)
-        answers.append(u[np.argsort(-idf[u], kind="stable")][:ANSWERS])
-    sent = docs.sparkSession.sparkContext.broadcast((block, rows, target, item_of, answers, other))
+    wanted = Answers.of(block.words, idf, answer)
+    answers = [np.flatnonzero(np.isin(wanted.number, p)) for p in wanted.place]
+    lengths = np.array([len(w) for w in block.words])
+    sent = docs.sparkSession.sparkContext.broadcast((block, rows, target, size, item_of, wanted, answers, lengths, other))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, rows, target, item_of, answers, other = sent.value
+        b, rows, target, size, item_of, wanted, answers, lengths, other = sent.value
         for batch in batches:
             ids = batch.column("doc_id")
             got: dict[str, list] = {"row": [], "item": [], "cosine": [], "lcs": []}
@@ -269,22 +339,22 @@ def _matched_block(docs: DataFrame, block: Block, cosine: float, lcs: float, ans
                 n = b.numbers(h)
                 half, edges = halves(first)
                 x, y = windows(edges)
-                c = cosines(n, half, edges[-1], x, y, rows, target, other)
-                near, to = np.nonzero(c >= cosine)
-                best: dict[tuple[int, int], tuple[float, float]] = {}
+                near, to, cosines = near_passages(n, half, edges[-1], x, y, rows, target, size, other, cosine)
                 text = np.searchsorted(edges, x[near], "right") - 1
-                for i, j, d in zip(near, to, text, strict=True):
+                wide = -(-lengths[item_of[to]] // STEP)  # the words around, in halves and rounded up
+                some = np.flatnonzero(wanted.there(n, half, edges[-1], item_of[to], np.maximum(x[near] - wide, edges[text]), np.minimum(x[near] + 2 + wide, edges[text + 1])))
+                near, to, cosines, text = near[some], to[some], cosines[some], text[some]
+                best: dict[tuple[int, int], tuple[float, float]] = {}
+                for i, j, d, c in zip(near, to, text, cosines.tolist(), strict=True):
                     item = item_of[j]
                     w = b.words[item]
                     begin = first[d] + (x[i] - edges[d]) * STEP
-                    around = n[max(first[d], begin - len(w)) : min(first[d + 1], begin + WINDOW + len(w))]
-                    if np.isin(answers[item], around).mean() < answer:
-                        continue
                     if (d, item) in best and best[d, item][1] == 1:
                         continue
-                    share = common_length(w, around) / len(w)
-                    if share >= lcs:
-                        best[d, item] = max(best.get((d, item), (0.0, 0.0)), (float(c[i, j]), share), key=lambda z: (z[1], z[0]))
+                    around = n[max(first[d], begin - len(w)) : min(first[d + 1], begin + WINDOW + len(w))]
+                    share = share_found(around, w, answers[item], lcs, answer)
+                    if share:
+                        best[d, item] = max(best.get((d, item), (0.0, 0.0)), (c, share), key=lambda z: (z[1], z[0]))
                 for (d, item), (score, share) in best.items():
                     for name, value in zip(got, (row + d, item, score, share), strict=True):
                         got[name].append(value)

@@ -31,7 +31,7 @@ def test_planted_passages(spark):
 def test_blocks_give_the_same(spark):
     docs = spark.createDataFrame(fixtures.rows(20) + [(900, ITEMS[3][1], "en", "s", None)], fixtures.SCHEMA)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]) for x in D.matched(docs, items, block=5).collect()} == {(900, 3)}
+    assert {(x["doc_id"], x["item_id"]) for x in D.matched(docs, items, block_words=150).collect()} == {(900, 3)}
 
 
 def test_odd_rows_and_empty_tables(spark):
@@ -44,6 +44,61 @@ def test_odd_rows_and_empty_tables(spark):
     assert D.matched(fixtures.empty(spark), items).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_all_documents_and_items_by_brute_force(spark):
+    r = random.Random(11)
+    items = [(i, fixtures.prose(8000 + i, n)) for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 30, 32, 40, 60] * 2)]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        for k, share in enumerate((0.6, 0.7, 0.8, 1.0)):
+            w = text.split()
+            kept = set(r.sample(range(len(w)), -(-len(w) * int(share * 100) // 100)))
+            new = " ".join(x if j in kept else f"other{r.random()}" for j, x in enumerate(w))
+            docs.append((4 * i + k, fixtures.prose(r.random(), r.randint(0, 90)) + " " + new + " " + fixtures.prose(r.random(), r.randint(0, 90)), "en", "s", None))
+    words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    seen = {}
+    for d in docs:
+        for w in words(d[1]):
+            seen[w] = seen.get(w, 0) + 1
+    wanted = set()
+    for i, text in items:
+        w = words(text)
+        rare = sorted(set(w), key=lambda x: seen.get(x, 0))
+        surely = [x for x in rare if seen.get(x, 0) < seen.get(rare[min(len(rare), D.ANSWERS) - 1], 0)]  # of words at the cut, any may be taken
+        for d, body, *_ in docs:
+            b = words(body)
+            if len(w) < D.SHORT:
+                if any(b[j : j + len(w)] == w for j in range(len(b))):
+                    wanted.add((d, i))
+            elif lcs(w, b) >= 0.6 * len(w) and sum(x in b for x in surely) >= 0.6 * D.ANSWERS:
+                # within the reach of one passage, as far as any passage reaches
+                reach = D.WINDOW + 2 * len(w)
+                if any(lcs(w, b[j : j + reach]) >= 0.6 * len(w) and sum(x in b[j : j + reach] for x in surely) >= 0.6 * D.ANSWERS for j in range(0, max(1, len(b) - reach + 1))):
+                    wanted.add((d, i))
+    got = {(x["doc_id"], x["item_id"]): x["lcs"] for x in D.matched(spark.createDataFrame(docs, fixtures.SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(wanted) > 80 and len(wanted & set(got)) >= 0.95 * len(wanted)
+    by_id, by_item = {d[0]: words(d[1]) for d in docs}, dict(items)
+    for (d, i), share in got.items():
+        w = words(by_item[i])
+        assert lcs(w, by_id[d]) >= share * len(w) - 1e-9 and share >= (0.6 if len(w) >= D.SHORT else 1)
+
+
+def test_terms_that_share_their_low_bits():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) | np.uint64(0)
+    h[:50] = (h[:50] >> np.uint64(40) << np.uint64(40)) + np.uint64(7)
+    b = D.Block([0], [np.arange(5000)], np.unique(h))
+    assert (b.numbers(b.terms) == np.arange(len(b.terms))).all()
+    assert (b.numbers(np.random.default_rng(3).integers(1 << 63, (1 << 64) - 1, 5000, dtype=np.uint64)) == -1).all()
+
+
 def test_latent_space_has_the_singular_vectors():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(300, 12)) @ np.diag(np.arange(12, 0, -1)) @ np.linalg.qr(rng.normal(size=(12, 12)))[0]
@@ -54,4 +109,7 @@ def test_latent_space_has_the_singular_vectors():
 
 
 def test_common_length():
-    assert D.common_length(np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 4])) == 3
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.randint(-1, 6) for _ in range(r.randint(0, 20))] for _ in range(2))
+        assert D.common_length(np.array(a, int), np.array(b, int)) == lcs(a, b)
