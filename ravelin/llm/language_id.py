@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm import vectext as V
-from ravelin.llm.shared import table
+from ravelin.llm.shared import stored, table
 
 BUCKETS = 1 << 16
 #: Bytes that subwords are made of: ASCII letters and all bytes beyond ASCII; all else is a gap, as one blank.
@@ -136,13 +136,18 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
 
 
 def train(docs: DataFrame, *, most_labelled: int = 3000) -> Model:
-    """``docs``: text, lang (labelled where neither is null). About ``most_labelled`` documents, as many of each language as there are, at most."""
-    labelled = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    """``docs``: text, lang (labelled where neither is null). About ``most_labelled`` different texts, as many of each language as there are, at most.
+
+    Texts are chosen by hashes alone; the tasks that hold them make their subword counts, and only these travel.
+    """
+    labelled = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).withColumn("hash", F.xxhash64("text"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labelled)
     languages = F.count("*").over(Window.partitionBy())  # a row for each language
     share = counts.select("lang", F.least(F.lit(1.0), most_labelled / languages / F.col("count")).alias("share"))
-    chance = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    sample = labelled.join(F.broadcast(share), "lang").where(chance < F.col("share")).orderBy(F.md5(F.col("text").cast("binary")), "lang").limit(2 * most_labelled)
+    chance = F.pmod("hash", F.lit(1 << 32)) / 2.0**32
+    slim = labelled.select("hash", "lang").join(F.broadcast(share), "lang").where(chance < F.col("share")).select("hash", "lang").distinct()
+    slim = stored(slim.orderBy("hash", "lang").limit(2 * most_labelled), "sample")
+    sample = labelled.join(F.broadcast(slim), ["hash", "lang"]).select("text", "lang", "hash")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,9 +156,10 @@ def train(docs: DataFrame, *, most_labelled: int = 3000) -> Model:
                 both, counts = np.unique(rows * BUCKETS + buckets, return_counts=True)
                 edges = np.searchsorted(both // BUCKETS, np.arange(end - row + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in ((both % BUCKETS).astype(np.int32), counts.astype(np.int32))]
-                yield pa.record_batch([b.column("lang").slice(row, end - row), *lists], ["lang", "buckets", "counts"])
+                yield pa.record_batch([b.column("lang").slice(row, end - row), b.column("hash").slice(row, end - row), *lists], ["lang", "hash", "buckets", "counts"])
 
-    got = sample.mapInArrow(of, "lang string, buckets array<int>, counts array<int>").toPandas()
+    bags = sample.mapInArrow(of, "lang string, hash long, buckets array<int>, counts array<int>").dropDuplicates(["hash", "lang"])
+    got = bags.toPandas().sort_values(["hash", "lang"])
     languages = sorted(set(got["lang"]))
     share_of = lambda c: np.asarray(c, np.float64) / max(np.sum(c), 1)
     bags = [(np.asarray(b, np.int64), share_of(c)) for b, c in zip(got["buckets"], got["counts"], strict=True)]
