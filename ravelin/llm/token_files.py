@@ -184,17 +184,19 @@ def counted(tokens: DataFrame, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def coded(tokens: DataFrame, kind: np.dtype, sent) -> DataFrame:
-    """doc_id, n, control, data: the ids of each document as coded ranks. ``sent``: the broadcast ranks."""
+def coded(tokens: DataFrame, kind: np.dtype, sent, last: np.ndarray) -> DataFrame:
+    """part, doc_id, n, control, data: the ids of each document as coded ranks. ``sent``: the broadcast ranks; ``last``: the last doc_id of each part, a null one is in the first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for b in batches:
             both = [encode(rank[np.frombuffer(x.as_buffer(), kind)]) for x in b.column("ids")]
             sizes = pa.array([x.as_buffer().size // kind.itemsize for x in b.column("ids")], pa.int64())
-            yield pa.record_batch([b.column("doc_id"), sizes, *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))], ["doc_id", "n", "control", "data"])
+            ids = b.column("doc_id")
+            part = np.where(ids.is_valid(), np.searchsorted(last, ids.fill_null(0)), 0).astype(np.int32)
+            yield pa.record_batch([pa.array(part), ids, sizes, *(pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))], ["part", "doc_id", "n", "control", "data"])
 
-    return tokens.mapInArrow(of, "doc_id long, n long, control binary, data binary")
+    return tokens.mapInArrow(of, "part int, doc_id long, n long, control binary, data binary")
 
 
 class Files:
@@ -285,8 +287,11 @@ def write_files(docs: DataFrame, *, tokenizer: str, end_id: int = 2, block: int
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     first = F.col("doc_id").asc_nulls_first()
-    ranged = coded(tokens, kind, sent).repartitionByRange(parts, first).sortWithinPartitions(first, "n", "data")
-    files = stored(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(of, "part int, file string, seq long, docs long, ids long, bytes long"), "files")
+    # the ranges come from doc_id alone, so that documents are coded once
+    ranges = tokens.select("doc_id").repartitionByRange(parts, first).groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("last"))
+    last = [r["last"] for r in ranges.where("last IS NOT NULL").orderBy("part").collect()]  # a row for each range
+    ranged = coded(tokens, kind, sent, np.array(last, np.int64)).repartitionById(parts, "part").sortWithinPartitions(first, "n", "data")
+    files = stored(ranged.mapInArrow(of, "part int, file string, seq long, docs long, ids long, bytes long"), "files")
     drop_path(spark, path)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
