@@ -5,9 +5,11 @@ The dictionary is trained on a bounded sample of the records (about ``samples``
 so that a record can be read with the dictionary and its offset alone.
 
 Of pages with equal payloads, that with the largest page_id is a response record and the others are revisit records
-that refer to it. The groups come from digests alone; pages whose payload is unique are not joined to any row. Files
-are written by tasks under names that are never used again, and only the files in the rows that a task has returned
-count: a task that runs twice leaves a file that nobody reads.
+that refer to it. Groups and revisits come from page_id and digest alone, which is what is shuffled for them; the
+revisits are then joined to the pages by page_id and digest, so that no payload that many pages share is a hot key. Spark
+sends the revisits to all tasks while they are few, and shuffles the pages once where they are not. Files are written
+by tasks under names that are never used again, and only the files in the rows that a task has returned count: a task
+that runs twice leaves a file that nobody reads.
 
 A null html is an empty payload; null urls have no WARC-Target-URI. Rows that share payload and the largest page_id
 are all responses; a null page_id is below all others. An empty table gives no files and no rows.
@@ -136,11 +138,15 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_referral(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, and response_id: the largest page_id with the same payload where more pages have it, else null."""
+    """page_id, url, payload, and response_id: the largest page_id with the same payload where this page is a revisit of it, else null."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).where("n > 1").drop("n")
-    return rows.join(stored(groups, "payloads"), "digest", "left").drop("digest")
+    slim = rows.select("page_id", "digest")
+    groups = stored(slim.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).where("n > 1").drop("n"), "payloads")
+    revisits = slim.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("response_id"))).distinct()
+    r = stored(revisits.withColumnsRenamed({"page_id": "own_id", "digest": "own_digest"}), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    return rows.join(r, same, "left").select("page_id", "url", "payload", "response_id")
 
 
 def write_archives(pages: DataFrame, *, samples: int = 500, sample_bytes: int = 1 << 16, dictionary_bytes: int = 1 << 16, level: int = 3, roll: int = 1 << 27, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -158,7 +164,7 @@ def write_archives(pages: DataFrame, *, samples: int = 500, sample_bytes: int =
         for b in batches:
             for page, url, payload, response in zip(*(b.column(n) for n in ("page_id", "url", "payload", "response_id")), strict=True):
                 page, payload, response = page.as_py(), payload.as_py(), response.as_py()
-                files.add(record(page, url.as_py(), payload, base32_sha1(payload), None if response == page else response, date))
+                files.add(record(page, url.as_py(), payload, base32_sha1(payload), response, date))
         files.close()
         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*files.done, strict=True) if files.done else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "records", "bytes"])
 
