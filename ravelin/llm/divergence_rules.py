@@ -155,10 +155,50 @@ def _content_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
 def references(docs: DataFrame, *, common: int = 200, trim: float = 0.18) -> References:
     """The histograms of all documents with a text, by lang. Every language has references, however many there are.
 
-    They are summed twice: the second time without the documents whose character classes are more than ``trim`` from
-    the first references, so that junk does not set the norm.
+    Classes are summed first; then classes and words are, without the documents whose classes are more than ``trim``
+    from the first sums, so that junk does not set the norm.
     """
-    return _summed(docs, common, _summed(docs, common, None, trim), trim)
+    return _summed(docs, common, _summed(docs, 0, None, trim), trim)
+
+
+class Weights:
+    """Sums of weights by language and key, within a task; of at most about ``most`` keys at a time."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.size = most, 0
+        self.held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.classes: dict[str | None, np.ndarray] = {}
+
+    def add(self, lang: str | None, classes: np.ndarray, docs: int, keys: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Adds them; the sums that have to go out, as there are too many keys."""
+        self.classes[lang] = self.classes.get(lang, 0) + np.append(classes, docs)
+        self.held.setdefault(lang, []).append((keys, weights))
+        self.size += len(keys)
+        if self.size > self.most:
+            self._merge()
+            if self.size > self.most // 2:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        for lang, parts in self.held.items():
+            keys, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, back = np.unique(keys, return_inverse=True)
+            self.held[lang] = [(u, np.bincount(back, weights, len(u)))]
+        self.size = sum(len(x[0][0]) for x in self.held.values())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        for lang, sums in self.classes.items():
+            ((keys, weights),) = self.held[lang]
+            size = len(keys) + N_CLASSES
+            yield pa.record_batch([
+                pa.array([lang] * size, pa.string()),
+                pa.array(np.arange(size) < N_CLASSES),
+                pa.array(np.concatenate([np.arange(N_CLASSES), keys.view(np.int64)])),
+                pa.array(np.concatenate([sums[:N_CLASSES], weights])),
+                pa.array(np.append(sums[N_CLASSES], np.zeros(size - 1)).astype(np.int64)),
+            ], ["lang", "is_class", "key", "weight", "docs"])
+        self.held, self.classes, self.size = {}, {}, 0
 
 
 def nearest_class(counts: np.ndarray, refs: References) -> np.ndarray:
@@ -170,7 +210,8 @@ def _summed(docs: DataFrame, common: int, first: References | None, trim: float)
     sent = docs.sparkSession.sparkContext.broadcast(first)  # a list of ``common`` words for each language
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per batch and language: the sum of the class shares, and each word's share of its document, summed."""
+        """By language: the sum of the class shares and, if ``common``, each word's share of its document, summed."""
+        held = Weights()
         for b in batches:
             langs = b.column("lang").to_pylist()
             for at, end, data, off in V.pieces(b.column("text")):
@@ -180,33 +221,26 @@ def _summed(docs: DataFrame, common: int, first: References | None, trim: float)
                 some = counts.sum(1) > 0
                 if sent.value is not None:
                     some &= nearest_class(counts, sent.value) <= trim
-                classes = np.zeros((len(names), N_CLASSES))
-                np.add.at(classes, lang[some], counts[some] / counts[some].sum(1, keepdims=True))
-                h, first = _content_words(data, off)
-                row = V.rows_of(first)
-                each = some[row] / np.maximum(np.diff(first), 1)[row]
-                u, back = np.unique(h, return_inverse=True)
-                words = np.bincount(lang[row] * len(u) + back, each, len(names) * len(u)).reshape(len(names), len(u))
+                shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+                if common:
+                    h, first = _content_words(data, off)
+                    row = V.rows_of(first)
+                    each = some[row] / np.maximum(np.diff(first), 1)[row]
                 for i, name in enumerate(names):
-                    n = int((some & (lang == i)).sum())
-                    if n:
-                        seen = np.flatnonzero(words[i])  # a word of documents that are left out has weight 0
-                        size = len(seen) + N_CLASSES
-                        yield pa.record_batch([
-                            pa.array([name] * size, pa.string()),
-                            pa.array([*[True] * N_CLASSES, *[False] * len(seen)]),
-                            pa.array(np.concatenate([np.arange(N_CLASSES), u[seen].view(np.int64)])),
-                            pa.array(np.concatenate([classes[i], words[i][seen]])),
-                            pa.array(np.concatenate([[n], np.zeros(size - 1)]).astype(np.int64)),
-                        ], ["lang", "is_class", "key", "weight", "docs"])
+                    chosen = some & (lang == i)
+                    if chosen.any():
+                        keys, weights = (h[chosen[row]], each[chosen[row]]) if common else (np.zeros(0, np.uint64), np.zeros(0))
+                        yield from held.add(name, shares[chosen].sum(0), int(chosen.sum()), keys, weights)
+        yield from held.flush()
 
     sums = docs.select("lang", "text").mapInArrow(of, "lang string, is_class boolean, key long, weight double, docs long")
     sums = sums.groupBy("lang", "is_class", "key").agg(F.sum("weight").alias("weight"), F.sum("docs").alias("docs"))
+    most = max(common, N_CLASSES)
     # the common words of each language: of each of many parts of its words the most common, then of those
     salted = Window.partitionBy("lang", "is_class", F.pmod("key", F.lit(64))).orderBy(F.desc("weight"), "key")
-    top = sums.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= common)
+    top = sums.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= most)
     place = Window.partitionBy("lang", "is_class").orderBy(F.desc("weight"), "key")
-    top = top.withColumn("place", F.row_number().over(place)).where(F.col("place") <= common)
+    top = top.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
     got = top.select("lang", "is_class", "key", "weight", "docs").toPandas()
     got["lang"] = got["lang"].where(got["lang"].notna(), None)
     # -1 is the null language: one pass over the rows, however many languages there are

@@ -53,6 +53,60 @@ def test_every_language_has_references(spark):
     assert all(r["kept"] for r in R.judged(docs, refs).collect())
 
 
+def plain_distance(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return np.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+
+def plain_rules(rows, common=200, trim=0.18):
+    """{doc_id: (class distance, word distance)} by the definitions, a text at a time."""
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "\n", ".,;:?", "!'\"()-_/\\[]{}@^~`=+", "#*$%&|<>"]
+    kind = lambda c: next((i for i, g in enumerate(groups) if c in g), 8 if ord(c) < 128 else 9)
+    histogram = lambda t: [sum(kind(c) == k for c in t) / max(len(t), 1) for k in range(10)]
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    texts = [(i, t or "", lang) for i, t, lang in rows]
+    langs = sorted({lang for _, t, lang in texts if t}, key=str)
+    mean = lambda x: [sum(c) / len(x) for c in zip(*x, strict=True)]
+    norm = lambda x: [y / max(sum(x), 1e-12) for y in x]
+    rough = [norm(mean([histogram(t) for _, t, of in texts if t and of == lang])) for lang in langs]
+    good = [(t, of) for _, t, of in texts if t and min(plain_distance(histogram(t), c) for c in rough) <= trim]
+    langs = [x for x in langs if any(of == x for _, of in good)]
+    classes = [norm(mean([histogram(t) for t, of in good if of == lang])) for lang in langs]
+    shares = []
+    for lang in langs:
+        own, total = [words(t) for t, of in good if of == lang], Counter()
+        for w in own:
+            for x, n in Counter(w).items():
+                total[x] += n / len(w) / len(own)
+        assert len(total) <= common or sorted(total.values())[-common] > sorted(total.values())[-common - 1] + 1e-12  # no tie at the cut
+        shares.append(dict(total.most_common(common)))
+    out = {}
+    for i, t, _ in texts:
+        w, far = Counter(words(t)), []
+        for s in shares:
+            p = [w[x] / max(sum(w.values()), 1) for x in s]
+            rest = (sum(w.values()) - sum(w[x] for x in s)) / max(sum(w.values()), 1)
+            far.append(plain_distance([*p, rest], [*s.values(), max(1 - sum(s.values()), 0)]))
+        out[i] = (min(plain_distance(histogram(t), c) for c in classes), min(far))
+    return out
+
+
+def test_distances_and_kept_are_those_of_a_plain_scan(spark):
+    r = random.Random(2)
+    rows = [(i, fixtures.prose(i, r.randint(5, 120)), "de" if i % 3 else None) for i in range(25)]
+    rows += [(100, None, "de"), (101, "", "de"), (102, "%%% ###\n" * 40, "de"), (103, "ÀÉ é 😀 " * 60, None), (104, "xq zw " * 30 + fixtures.prose(7, 20), "de"), (105, rows[0][1], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = 12
+    refs = R.references(docs, common=common)
+    wanted = plain_rules(rows, common)
+    for x in R.judged(docs, refs).collect():
+        c, w = wanted[x["doc_id"]]
+        assert np.isclose(x["class_distance"], c) and np.isclose(x["word_distance"], w)
+        far = (c > 0.195 and len(x["text"] or "") >= 200) or (w > 0.6 and x["n_words"] >= 50)
+        assert x["kept"] == (not brute(x["text"])[5] and not far)
+
+
 def test_rules_on_odd_rows(spark):
     docs = fixtures.odd(spark)
     assert R.judged(docs, R.references(docs)).count() == docs.count()
