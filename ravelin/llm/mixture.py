@@ -11,8 +11,8 @@ each partition, and the sums of the partitions before it are added from a table
 source.
 
 Null and empty texts have size 0 and take 0. Null sources are one source, the last in order. Documents with equal
-doc_id share a key and stand in the order of their sizes; equal rows get equal treatment but for the cut, where one
-of them is taken first. An empty table gives no rows.
+doc_id share a key and stand in the order of their sizes, then of hashes of their texts; equal rows get equal treatment
+but for the cut, where one of them is taken first. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.shared import packed, stored, table
+from ravelin.llm.shared import drop_table, packed, stored, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -57,8 +57,8 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs
 
 def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: float = 3.0, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of ``docs`` (doc_id, text, source)."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return _cut(slim, weights, most_epochs, seed)
+    slim = docs.select("doc_id", "source", F.xxhash64("text").alias("own_key"), word_count(F.col("text")).alias("size"))
+    return _cut(slim, weights, most_epochs, seed, "own_key").drop("own_key")
 
 
 def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs: float = 3.0, seed: int = 0) -> DataFrame:
@@ -83,21 +83,22 @@ def repeated(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most_epochs
 
 
 def _cut(slim: DataFrame, weights: tuple[int, ...], most_epochs: float, seed: int, *more: str) -> DataFrame:
-    """``slim``: doc_id, source, size and what else is to be kept."""
+    """``slim``: doc_id, source, size and what else is to be kept, by which rows of equal doc_id and size are in order."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = slim.withColumn("key", key)
+    slim = stored(slim.withColumn("key", key), "sizes")  # written, as the range sort reads it twice
     n = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = stored(
-        slim.repartitionByRange(n, F.col("source").asc_nulls_last(), "key", "size").withColumn("part", F.spark_partition_id()),
+        slim.repartitionByRange(n, F.col("source").asc_nulls_last(), "key", "size", *more).withColumn("part", F.spark_partition_id()),
         "mixture",
     )
+    drop_table(slim)
     parts = ranged.groupBy("part", "source").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", "source", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("skipped"))
     goals = targets(ranged.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most_epochs=most_epochs)
     edges = parts.join(goals, parts.source.eqNullSafe(goals.source)).select(parts.part, parts.source, "skipped", "source_size", "target")
 
-    within = Window.partitionBy("part", "source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part", "source").orderBy("key", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     both = rows.join(edges, (rows.part == edges.part) & rows.source.eqNullSafe(edges.source))
     size, budget = rows["size"], F.floor(F.col("target"))
