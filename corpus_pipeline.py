@@ -1,13 +1,19 @@
 """From raw documents to token files, in stages that each read what the one before has written.
 
 1. quality: documents below the learned quality threshold go.
-2. near_duplicates: of each class of near-duplicates the document with the least doc_id stays.
+2. near_duplicates: of each class of near-duplicates one document stays, of those with the least doc_id.
 3. decontamination: documents with a passage of the benchmark go.
 4. mixture: sources come near their target weights; a document stands as often as the mix takes it, rounded (from
    0 to 3 times), with its whole text.
 5. token_files: token ids in files; the rows are those of the files, read back.
 
-All stages but the last return the columns of documents. ``doc_id`` of a document that the mix repeats is repeated.
+All stages but the last return the columns of documents, whatever other columns there are. ``doc_id`` of a document
+that the mix repeats is repeated.
+
+Null and empty texts are scored as empty texts by stage 1, are no duplicates of each other, match nothing, and have no
+words, so that the mix never takes them. Unrelated documents with null or equal doc_id all stay where they would with
+ids of their own; equal rows are one document from stage 2 on. Ties go by hashes of texts. An empty table gives no rows
+at each stage.
 """
 
 from __future__ import annotations

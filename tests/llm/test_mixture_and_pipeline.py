@@ -88,3 +88,44 @@ def test_stages(spark):
     assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in clean.collect()}
     out = corpus_pipeline.tokens(spark, mixed, DATA).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in mixed.collect())
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """A folder with odd documents and one with none, labels and a benchmark beside them."""
+    out = []
+    for name, docs in (("odd", fixtures.odd(spark)), ("empty", fixtures.empty(spark))):
+        folder = f"{tmp_path}/{name}"
+        docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(102, 0, 0), (105, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, fixtures.prose(5)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out.append(folder)
+    return out
+
+
+def test_all_stages_on_odd_rows_and_empty_tables(spark, tables):
+    for folder in tables:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns, before = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            docs.write.parquet(f"{folder}/{name}.parquet")
+            docs = spark.read.parquet(f"{folder}/{name}.parquet")
+            assert docs.columns == columns and (name == "mixture" or docs.count() <= before)
+            before = docs.count()
+        wanted = sorted(str(r["doc_id"]) for r in docs.collect())
+        got = corpus_pipeline.tokens(spark, docs, folder).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == wanted
+        assert sorted(str(r["doc_id"]) for r in corpus_pipeline.run(spark, folder).collect()) == wanted
+        if folder.endswith("odd"):
+            assert "5" not in wanted and wanted.count("104") == 0 and len(wanted) >= 8
+        else:
+            assert wanted == []
+
+
+def test_ties_at_the_cut_are_in_the_order_of_their_texts(spark):
+    rows = [(1, f"{c} {c} {c}", "en", "a", None) for c in "bcdefgh"] + [(2, "x " * 500, "en", "b", None)]
+    docs = spark.createDataFrame(rows, fixtures.SCHEMA)
+    once = sorted(map(str, mixture.repeated(docs).collect()))
+    for n in (1, 3, 7):
+        assert sorted(map(str, mixture.repeated(docs.repartition(n)).collect())) == once

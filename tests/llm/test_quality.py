@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -43,3 +45,25 @@ def test_features_do_not_depend_on_neighbours():
 def test_threshold_is_a_quantile():
     s, good = np.arange(10.0), np.arange(10) >= 3
     assert Q.best_quantile(s, good) == 0.3
+
+
+def plain_features(text):
+    """The features by their definitions, from the bytes of one text."""
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "\n", " \t\r\v\f", ".,;:?'\"()-", "!", "#*$%&|<>~^=+_/\\{}[]@`"]
+    raw = (text or "").encode()
+    kind = lambda b: 9 if b > 127 else next((i for i, g in enumerate(groups) if chr(b) in g), 8)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.decode().lower() for w in words]
+    n, some = len(words), max(len(words), 1)
+    tri = [tuple(low[i : i + 3]) for i in range(max(n - 2, min(n, 1)))]
+    again = lambda x: len(x) - len(set(x))
+    out = [sum(kind(b) == k for b in raw) / max(len(raw), 1) for k in range(10)]
+    out += [sum(kind(w[0]) == 0 for w in words) / some, sum(kind(w[-1]) == 5 for w in words) / some, sum(6 <= kind(w[-1]) <= 8 for w in words) / some]
+    out += [sum(len(w) == 1 for w in words) / some, sum(a == b for a, b in zip(low, low[1:], strict=False)) / some, again(low) / some, again(tri) / max(len(tri), 1)]
+    out += [min(sum(map(len, words)) / some, 40) / 40, math.log1p(n) / 10, math.log1p(n / (raw.count(b"\n") + 1)) / 10, min(n, 30) / 30]
+    return [*out, *(x * x for x in out)]
+
+
+def test_features_are_those_of_a_plain_scan():
+    texts = ["", "a", "A b. C! a b. c a b", "x\ny\n\n y  \t z", "é ÉÈ 😀 wörd", "$$$ ### a_b {x} \x01", *(fixtures.prose(i) for i in range(5)), fixtures.prose(9) * 40]
+    assert np.allclose(Q.features(pa.array(texts)), [plain_features(t) for t in texts])
