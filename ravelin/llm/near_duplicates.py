@@ -10,8 +10,9 @@ ones nearly always.
 1. Equal texts become one node (grouped by hash). Buckets with one node are left out at once.
 2. Every node is compared with two of the least nodes of its buckets; links join the nodes to components.
 3. Where a bucket still holds nodes of several components, all pairs of nodes of different components in it are
-   compared: by a join where it has up to ``SMALL`` nodes; else its nodes are dealt into blocks of about ``BLOCK``,
-   and every two blocks are compared in a task. So any two texts that share a bucket have been compared, or are in
+   compared: by a join where it has up to ``SMALL`` nodes; else its nodes are dealt into blocks of about
+   ``BLOCK_BYTES`` of words, and every two blocks are compared in a task, by one matrix product that bounds the words
+   two nodes share, and by alignment where the bound is high enough, in the first of their buckets alone. So any two texts that share a bucket have been compared, or are in
    one class without it, whatever the size of the bucket.
 4. A pair is a link if its word edit distance, computed in a widening band, is at most ``1 - similarity`` of the
    longer text's words. Bounds on the distance from lengths and word counts come first. Two very long texts that
@@ -43,7 +44,9 @@ from ravelin.llm.shared import drop_table, packed, stored, table
 WORDS = 5
 TABLES = 64
 SMALL = 32
-BLOCK = 256
+#: Bytes of words in a block; a node counts as ``NODE_BYTES`` at least, so a block has up to 4,096 nodes.
+BLOCK_BYTES = 1 << 23
+NODE_BYTES = 1 << 11
 SIMILARITY = 0.8
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MOST = np.uint64((1 << 64) - 1)
@@ -233,56 +236,72 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
 
 
 def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
-    """The rows of each two blocks of a bucket that have several components between them. ``rows``: bucket, node, component.
-
-    Blocks are of about ``BLOCK`` nodes; a component with more than that in a bucket has blocks of its own.
-    """
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("mixed"))
-    own = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    shared = F.pmod(F.xxhash64("node"), F.ceil(F.greatest("mixed", F.lit(1)) / BLOCK))
-    dealt = rows.join(parts.join(mixed, "bucket"), ["bucket", "component"]).withColumn("block", F.when(F.col("size") > BLOCK, own).otherwise(shared))
-    dealt = stored(dealt.drop("size", "mixed"), "blocks")
+    """The rows of each two blocks of a bucket that have several components between them. ``rows``: bucket, node, component, n_words."""
+    size = F.sum(F.greatest(2 * F.col("n_words"), F.lit(NODE_BYTES)))
+    sizes = rows.groupBy("bucket").agg(F.ceil(size / BLOCK_BYTES).alias("blocks"))
+    dealt = stored(rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "blocks")
     blocks = dealt.groupBy("bucket", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
     other = blocks.select("bucket", F.col("block").alias("hi"), F.col("c").alias("e"), F.col("d").alias("f"))
     both = blocks.withColumnRenamed("block", "lo").join(other, "bucket").where((F.col("lo") <= F.col("hi")) & (F.least("c", "e") != F.greatest("d", "f")))
     sides = both.select("bucket", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    return dealt.join(sides, ["bucket", "block"])
+    return dealt.drop("n_words").join(sides, ["bucket", "block"])
+
+
+def shared_words(words: list[np.ndarray]) -> np.ndarray:
+    """A row for each text, so that the product of two rows is at least the number of words that both have, each as often as both have it."""
+    first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    h = np.concatenate(words).astype(np.uint64)
+    wide = 1 << min(max(int(16 * first[-1] / len(words)), 1).bit_length(), 13)
+    at = V.mix(h * np.uint64(0x9E3779B97F4A7C15) + occurrences(h, first)) & np.uint64(wide - 1)
+    cell, n = np.unique(V.rows_of(first) * wide + at.astype(np.int64), return_counts=True)
+    out = np.zeros(len(words) * wide, np.float32)
+    out[cell] = n
+    return out.reshape(len(words), wide)
 
 
-def links_of_blocks(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
-    """Pairs (greater, less) of nodes of the blocks ``lo`` and ``hi`` that are links; pairs in one component, also by links found here, are passed over."""
+def links_of_blocks(rows: pa.Table, similarity: float, batch: int = 256) -> list[tuple[int, int]]:
+    """Pairs (greater, less) of nodes of the blocks ``lo`` and ``hi`` that are links; pairs in one component, also by links found here, are passed over.
+
+    So are pairs that share an entry of an earlier table: they are compared in the bucket of that one.
+    """
+    entries = np.array(rows.column("entries").to_pylist(), np.int64).reshape(-1, TABLES)
+    t = int(np.flatnonzero(entries[0] == rows.column("bucket")[0].as_py())[0])
     node, n, block = (rows.column(c).to_numpy() for c in ("node", "n_words", "block"))
     label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
     words = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("words")]
-    bins = np.array([np.bincount(w & 127, minlength=128) for w in words])
-    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    bags = shared_words(words)
+    lo, hi = (np.flatnonzero(block == rows.column(c)[0].as_py()) for c in ("lo", "hi"))
     out = []
-    for i in np.flatnonzero(block == lo):
-        j = np.flatnonzero((block == hi) & (label != label[i]))
-        if lo == hi:
-            j = j[j > i]
-        longest = np.maximum(n[j], n[i])
+    for at in range(0, len(lo), batch):
+        some = lo[at : at + batch]
+        longest, shortest = np.maximum(n[some][:, None], n[hi]), np.minimum(n[some][:, None], n[hi])
         most = np.floor((1 - similarity) * longest + 1e-9)
-        near = longest - np.minimum(n[j], n[i]) <= most
-        j, longest, most = j[near], longest[near], most[near]
-        j = j[longest - np.minimum(bins[j], bins[i]).sum(1) <= most]
-        if not len(j):
-            continue
-        for k in j[similar([(words[i], words[k]) for k in j], similarity) > 0]:
-            out.append((max(node[i], node[k]), min(node[i], node[k])))
-            label[label == label[k]] = label[i]
+        shared = bags[some] @ bags[hi].T
+        near = (longest - shortest <= most) & (longest - shared <= most) & (label[some][:, None] != label[hi])
+        if len(lo) == len(hi) and lo[0] == hi[0]:
+            near &= some[:, None] < hi
+        x, y = np.nonzero(near)
+        likely = np.argsort(-shared[x, y] / longest[x, y], kind="stable")  # what is linked early spares comparisons
+        pairs = np.stack([some[x], hi[y]], 1)[likely]
+        earlier = [(entries[c[:, 0], :t] == entries[c[:, 1], :t]).any(1) for c in np.array_split(pairs, len(pairs) // 50_000 + 1)]
+        pairs = pairs[~np.concatenate(earlier)]
+        while len(pairs):
+            pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]  # links that were found have joined some
+            now, pairs = pairs[:batch], pairs[batch:]
+            for i, k in now[similar([(words[i], words[k]) for i, k in now], similarity) > 0]:
+                out.append((max(node[i], node[k]), min(node[i], node[k])))
+                label[label == label[k]] = label[i]
     return out
 
 
 def _links_in_large(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, component."""
+    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, component; ``words``: node, n_words, entries, words."""
 
     def of(group: pa.Table) -> pa.Table:
         found = links_of_blocks(group, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return _pairs_of_blocks(rows).join(words, "node").groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
+    return _pairs_of_blocks(rows.join(words.select("node", "n_words"), "node")).join(words, "node").groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
 
 
 def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -291,7 +310,7 @@ def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     every = Window.partitionBy("bucket")
     buckets = entries.withColumns({"least": F.min("node").over(every), "greatest": F.max("node").over(every)})
     buckets = stored(buckets.where("least != greatest").drop("greatest"), "buckets")
-    words = stored(nodes.select("node", "n_words", "words").join(buckets.select("node").distinct(), "node", "left_semi"), "words")
+    words = stored(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "words")
     tried = stored(_pairs_with_least(buckets), "pairs")
     found = stored(verified(tried, words, similarity), "links")
     joined = stored(components(found), "components")
