@@ -24,12 +24,10 @@ PDF_FOLDS = (("\u2019", "'"), ("\u2018", "'"), ("\u201c", '"'), ("\u201d", '"'),
 PLATFORMS = (("mac|darwin|apple|os x", "macos"), ("win", "windows"), ("android", "android"), ("ipad|iphone|ios", "ios"), ("linux", "linux"))
 
 
-#: Patterns with what stands for their matches, in the order in which they apply: for reading aloud, the clipboard, streams, slugs, names and suggestions.
-SPEECH = ((r"```[\s\S]*?```", "Code block omitted."), (r"`([^`]+)`", "$1"), (r"\[\^?\d+\]", ""), (r"[#*_~>]", ""), (r"(?U)\s+", " "))
-COPY = ((r"\s*\[\d+(?:\s*,\s*\d+)*\]", ""), (r"\s+([.,;:!?])", "$1"), (r"[ \t]{2,}", " "), (r"(?m)[^\S\n]+$", ""))
-STREAM = ((r"(?m)^data:\s*", ""), (r"(?m)^:\s*keepalive\s*$", ""), (r"\[DONE\]", ""), (CONTROLS, ""), (ESCAPED_CONTROLS, ""), ("([^\\n])\\s*•\\s*", "$1\n\n• "), (r"\n{3,}", "\n\n"))
-NAME = ((r"\.[^/.]+$", ""), (r"[_-]", " "))
-SUGGESTION = ((r"(?U)\s+", " "), (r"[.?]+$", ""))
+#: The only keys of JSON objects that streams send for a piece of text, but for one nested form.
+FRAGMENT_KEYS = ("token", "text", "content", "response", "reply")
+#: What is read aloud in place of code.
+CODE_PHRASE = "Code block omitted."
 
 
 def replaced(text: Column, *steps: tuple[str, str]) -> Column:
@@ -46,9 +44,31 @@ def truthy(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
+def one_line(text: Column) -> Column:
+    """Words with single blanks between them."""
+    return F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), " ")
+
+
+def _by_lines(text: Column, change) -> Column:
+    return F.array_join(F.transform(F.split(text, "\n"), change), "\n")
+
+
+def without_code(text: Column) -> Column:
+    """Fenced code as a phrase; a fence that is never closed stays."""
+    parts = F.split(text, "```")
+
+    def spoken(part: Column, i: Column) -> Column:
+        inside = i % 2 == 1
+        return F.when(inside & (i == F.size(parts) - 1), F.concat(F.lit("```"), part)).when(inside, CODE_PHRASE).otherwise(part)
+
+    return F.when(text.contains("```"), F.array_join(F.transform(parts, spoken), "")).otherwise(text)
+
+
 def speech(text: Column) -> Column:
-    """T5: what is read aloud: no code blocks, markers or marks of formatting."""
-    return trim(replaced(text, *SPEECH))
+    """T5: what is read aloud: no code blocks, markers or marks of formatting; inline code without its marks."""
+    plain = F.regexp_replace(without_code(text), "`([^`]+)`", "$1")
+    unmarked = F.regexp_replace(plain, r"\[\^?\d+\]", "")
+    return one_line(F.translate(unmarked, "#*_~>", ""))
 
 
 _FILE = r"[^()\n]*?\.(?:pdf|docx?|txt|md|xlsx?)[^()\n]*?"
@@ -60,14 +80,39 @@ VERBOSE = rf"(?iU)(?:{_NAMED}\s*(?:{_MARK})?|{_MARK}\s*{_NAMED}|\({_FILE}\)\s*{_
 
 
 def copied(text: Column, verbose: bool = True) -> Column:
-    """T4: text for the clipboard, without citations."""
-    steps = [(VERBOSE, "")] if verbose else []
-    return trim(replaced(text, *steps, *COPY))
+    """T4: text for the clipboard: no citations or markers with the blanks before them, no blanks before marks, single blanks, no blanks at ends of lines."""
+    read = F.regexp_replace(text, VERBOSE, "") if verbose else text
+    read = F.regexp_replace(read, rf"\s*{_MARK}", "")
+    read = F.regexp_replace(read, r"\s+(?=[.,;:!?])", "")
+    return trim(_by_lines(read, lambda line: F.rtrim(F.regexp_replace(line, r"[ \t]{2,}", " "), F.lit(" \t\r\f\x0b"))))
+
+
+def unwrapped(text: Column) -> Column:
+    """JSON fragments of a stream as the text in them, as it stands where it is not valid JSON."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    delta = rf'\{{"delta":\s*\{{"content":\s*{string}\}}\}}'
+    single = rf'\{{"(?:{"|".join(FRAGMENT_KEYS)})":\s*{string}\}}'
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{delta}|{single}"), F.lit(0)))
+    paths = ("$.delta.content", *(f"$.{k}" for k in FRAGMENT_KEYS))
+
+    def inner(fragment: Column) -> Column:
+        raw = F.regexp_extract(fragment, rf":\s*({string})\}}+$", 1)
+        return F.coalesce(*(F.get_json_object(fragment, p) for p in paths), F.substr(raw, F.lit(2), F.length(raw) - 2))
+
+    return F.when(text.contains('{"'), F.aggregate(found, text, lambda so_far, x: F.replace(so_far, x, inner(x)))).otherwise(text)
 
 
 def sanitized(text: Column) -> Column:
-    """T1 without the unwrapping of JSON tokens: stream remains, control characters, spacing of bullets and blank lines."""
-    return replaced(text, *STREAM)
+    """JSON fragments unwrapped, remains of the protocol and control characters gone, bullets in paragraphs of their own, no runs of blank lines."""
+
+    def kept(line: Column) -> Column:
+        bare = F.when(line.startswith("data:"), F.ltrim(F.substr(line, F.lit(6)))).otherwise(line)
+        return F.when(line.rlike(r"^:\s*keepalive\s*$"), "").otherwise(bare)
+
+    plain = F.replace(_by_lines(unwrapped(text), kept), F.lit("[DONE]"), F.lit(""))
+    plain = F.regexp_replace(plain, f"{CONTROLS}|{ESCAPED_CONTROLS}", "")
+    spaced = F.regexp_replace(plain, r"(?<=[^\n])\s*•\s*", "\n\n• ")
+    return F.regexp_replace(spaced, r"\n{3,}", "\n\n")
 
 
 def deduplicated_markers(text: Column) -> Column:
@@ -85,13 +130,16 @@ def deduplicated_markers(text: Column) -> Column:
 
 
 def doc_name(name: Column) -> Column:
-    """A file name without its extension, marks as blanks."""
-    return trim(replaced(name, *NAME))
+    """A file name without its last extension, marks as blanks."""
+    dots = F.split(name, r"\.")
+    has = (F.size(dots) > 1) & (F.length(F.element_at(dots, -1)) > 0) & ~F.element_at(dots, -1).contains("/")
+    stem = F.when(has, F.array_join(F.slice(dots, F.lit(1), F.size(dots) - 1), ".")).otherwise(name)
+    return trim(F.translate(stem, "_-", "  "))
 
 
 def suggestion(text: Column) -> Column:
     """One line without the marks at its end."""
-    return trim(replaced(text, *SUGGESTION))
+    return trim(F.rtrim(one_line(text), F.lit(".?")))
 
 
 def title(text: Column, most: int = 42) -> Column:
