@@ -118,7 +118,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(obj & (k % 3 == 0), (k % 5).cast("int")).alias("citation_index"), F.when(obj & (k % 3 == 1), (k % 7).cast("int")).alias("index"),
         F.when(obj & (k % 5 > 0), F.concat(F.lit("doc_p0"), (k % 40).cast("string"), F.lit("_c"))).alias("chunk_id"),
         F.when(k % 2 == 0, "").alias("pdf_filename"), F.when(k % 8 > 3, F.concat(F.lit(" f"), k.cast("string"), F.lit(".pdf "))).alias("filename"),
-        F.when(k % 16 == 0, (k % 12).cast("string")).alias("page"), F.when(k % 6 == 0, "").otherwise(F.substring("text", 1, 30)).alias("plain_text"), F.substring("text", 31, 20).alias("snippet"),
+        F.when(k % 16 == 0, (k % 12).cast("string")).alias("page"), F.when(k % 6 == 0, "").otherwise(F.col("text")).alias("plain_text"), F.concat("source", F.lit(" "), "text").alias("snippet"),
         F.when(k % 10 > 0, (k % 100) / 100).alias("similarity"), F.create_map(F.lit("source"), F.concat(F.lit("meta-"), F.col("source"))).alias("metadata"),
     )
 
@@ -136,7 +136,7 @@ b AS (SELECT *, CASE WHEN obj THEN oi ELSE position END AS idx,
   CASE WHEN k % 5 > 0 AND k % 40 > 0 THEN k % 40 END AS c, CASE WHEN k % 16 = 0 AND k % 12 > 0 THEN k % 12 END AS f FROM a)
 SELECT k AS answer_id, position, CAST(idx AS INT) AS out_index, CASE WHEN obj THEN CASE WHEN k % 5 > 0 THEN 'doc_p0' || k % 40 || '_c' ELSE 'chk-' || idx END ELSE 'cit-' || position END AS out_chunk,
   file AS out_document, file AS out_file, CAST(CASE WHEN obj THEN coalesce(CASE WHEN c > 1 THEN c END, CASE WHEN f > 1 THEN f END, c, f) WHEN kind = 'string' THEN nullif(k % 30, 0) END AS INT) AS out_page, '' AS out_heading,
-  CASE WHEN obj THEN CASE WHEN k % 6 = 0 THEN substr(text, 31, 20) ELSE substr(text, 1, 30) END ELSE '' END AS out_text,
+  CASE WHEN obj THEN CASE WHEN k % 6 = 0 THEN source || ' ' || text ELSE text END ELSE '' END AS out_text,
   CASE WHEN obj THEN CASE WHEN k % 10 > 0 THEN (k % 100) / 100.0::DOUBLE ELSE 0.9::DOUBLE END WHEN kind = 'string' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS out_similarity FROM b"""
 
 
@@ -163,7 +163,7 @@ def marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("answer_id"), "text")
     k = F.col("answer_id")
     n = lambda m: (k % m + 1).cast("string")
-    answers = d.select("answer_id", F.concat(F.substring("text", 1, 40), F.lit(" ["), n(5), F.lit("] and ["), n(3), F.lit(", "), n(7), F.lit("].")).alias("text"))
+    answers = d.select("answer_id", F.concat("text", F.lit(" ["), n(5), F.lit("] and ["), n(3), F.lit(", "), n(7), F.lit("].")).alias("text"))
     cites = d.select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("position"))
     cites = cites.withColumn("citation_index", (F.when(F.col("position") == 4, 1).otherwise(F.col("position") * 2 - 1 + k % 2)).cast("int")).withColumn("file", F.concat(F.lit("f"), F.col("position").cast("string"), F.lit(".pdf")))
     return matched(markers(answers), cites)

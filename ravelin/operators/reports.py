@@ -118,10 +118,10 @@ def page_count(pdf_file: bytes) -> int:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     k = F.col("doc_id")
-    cite = F.struct((k % 5 + 1).cast("int").alias("citation_index"), F.concat(F.col("source"), F.lit(".pdf")).alias("file"), F.when(k % 3 > 0, (k % 30).cast("int")).alias("page"), F.regexp_replace(F.substring("text", 1, 30), r"\s+", " ").alias("text"), F.lit("").alias("chunk_id"), F.lit(None).cast("double").alias("similarity"))
+    cite = F.struct((k % 5 + 1).cast("int").alias("citation_index"), F.concat(F.col("source"), F.lit(".pdf")).alias("file"), F.when(k % 3 > 0, (k % 30).cast("int")).alias("page"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.lit("").alias("chunk_id"), F.lit(None).cast("double").alias("similarity"))
     claim = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("claim_id"), F.lit("It grew.").alias("text"), (k % 2 == 0).alias("supported"), F.when(k % 2 == 0, "SUPPORTED").otherwise("UNSUPPORTED").alias("status"))
     return d.select(
-        k.alias("answer_id"), F.when(k % 4 > 0, F.concat(F.lit("What of "), "source", F.lit("?"))).otherwise("").alias("query"), F.regexp_replace(F.substring("text", 1, 80), r"\s+", " ").alias("text"),
+        k.alias("answer_id"), F.when(k % 4 > 0, F.concat(F.lit("What of "), "source", F.lit("?"))).otherwise("").alias("query"), F.regexp_replace("text", r"\s+", " ").alias("text"),
         F.when(k % 7 > 0, "accept_with_warning").alias("decision"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("seconds"), F.when(k % 3 == 0, "hybrid").alias("route"),
         F.when(k % 2 == 0, F.array(cite)).otherwise(F.array().cast("array<struct<citation_index:int,file:string,page:int,text:string,chunk_id:string,similarity:double>>")).alias("citations"), F.array(claim).alias("claims"),
         F.transform(F.sequence(F.lit(1), (k % 18 + 1).cast("int")), lambda i: F.concat(F.lit("e"), i.cast("string"))).alias("entities"), (k % 6).alias("n_edges"),
@@ -137,9 +137,9 @@ MARKDOWN_REPORT_SQL = r"""
 WITH d AS (SELECT doc_id AS k, source, text, chr(10) AS n, chr(10) || chr(10) AS p FROM documents)
 SELECT k AS answer_id, '# Research Report' || p || '**Quality Gate:** `' || CASE WHEN k % 7 > 0 THEN 'ACCEPT_WITH_WARNING' ELSE 'ACCEPT' END || '` | **Traceability Score:** `1.00` | **Latency:** `N/A`' || n
   || CASE WHEN k % 3 = 0 THEN '**Routing Strategy:** `hybrid`' || n ELSE '' END || n || '---' || p || '## Research Inquiry' || p || '> ' || CASE WHEN k % 4 > 0 THEN 'What of ' || source || '?' ELSE 'General Query' END
-  || p || '---' || p || '## Grounded Synthesis & Findings' || p || trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')) || p
+  || p || '---' || p || '## Grounded Synthesis & Findings' || p || trim(regexp_replace(text, '\s+', ' ', 'g')) || p
   || CASE WHEN k % 2 = 0 THEN '---' || p || '## References & Grounded Citations' || p || '### [' || k % 5 + 1 || '] ' || source || '.pdf (Page ' || CASE WHEN k % 3 > 0 THEN CAST(k % 30 AS VARCHAR) ELSE 'N/A' END || ')' || n
-    || '> "' || trim(regexp_replace(substr(text, 1, 30), '\s+', ' ', 'g')) || '"' || n || '- *Chunk ID:* `chunk-ref`' || p ELSE '' END
+    || '> "' || trim(regexp_replace(text, '\s+', ' ', 'g')) || '"' || n || '- *Chunk ID:* `chunk-ref`' || p ELSE '' END
   || '---' || p || '## Verified Claims & Fact Checks' || p || CASE WHEN k % 2 = 0 THEN '- [x] **c' || k || ':** It grew.' ELSE '- [ ] **c' || k || ':** It grew.' || n || '  - *Status:* `UNSUPPORTED`' END || p
   || '---' || p || '## Subgraph Entity Context' || p || 'Identified **' || k % 18 + 1 || ' entities** and **' || k % 6 || ' relationships** in the knowledge graph traversal.' || n
   || '- Key Entities: ' || array_to_string(list_transform(range(1, least(k % 18 + 1, 15) + 1), lambda i: '`e' || i || '`'), ', ') || CASE WHEN k % 18 + 1 > 15 THEN ', ...' ELSE '' END || p || '---' AS report FROM d"""

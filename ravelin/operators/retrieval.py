@@ -1,17 +1,23 @@
 """Retrieval: exact vector top-k, BM25, rank fusion, neighbourhoods in a graph, and chunks of documents.
 
-Queries are a bounded set (``most_queries`` at most), so each is compared with all rows; per query only the best
-k of each partition of rows move on (two windows, the first one salted).
+Vector queries are taken in blocks of ``BLOCK``; a block goes to all tasks, which multiply it with the vectors of a
+batch and send on the best k of each query, so no join makes a row for each pair. A lexical query meets the documents
+that have one of its words. Per query only the best k of each part of the rows move on (two windows, the first salted).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = r"\W+"
+#: Queries that are compared with a batch of vectors at a time.
+BLOCK = 2048
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +38,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A row of unit length for each vector, of zeros for one that has no length."""
+    flat = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
+    size = np.sqrt((flat * flat).sum(1, keepdims=True))
+    return np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score (cosine, six places), rank of the ``k`` of ``vectors`` (vec_id, embedding) nearest to each of ``queries``, itself aside.
+
+    All vectors have one width; rows with a null are left out.
+    """
+    spark = vectors.sparkSession
+    vectors, queries = (x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding") for x in (vectors, queries))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = []
+    for i in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()  # about BLOCK rows
+        if not asked.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding").combine_chunks())))
+
+        def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, wanted = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                b = b.sort_by("vec_id")  # of equal scores the least id comes first
+                ids = b.column("vec_id").to_numpy()
+                scores = np.round(wanted @ _matrix(b.column("embedding")).T, 6)
+                scores[names[:, None] == ids] = -2.0
+                best_ones = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                rows = np.arange(len(names))[:, None]
+                near = scores[rows, best_ones].ravel()
+                kept = near > -2
+                yield pa.record_batch([pa.array(np.repeat(names, best_ones.shape[1])[kept]), pa.array(ids[best_ones].ravel()[kept]), pa.array(near[kept] + 0.0)], ["query_id", "vec_id", "score"])
+
+        out.append(vectors.mapInArrow(of, "query_id long, vec_id long, score double"))
+    if not out:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return best(reduce(DataFrame.unionByName, out), "query_id", "vec_id", k)
+
+
 def vector_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The ``k`` vectors nearest to each query vector (ids divisible by 50), by cosine, itself aside."""
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = queries.join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(cosine(F.col("asked"), F.col("embedding")), 6).alias("score"))
-    return best(scored, "query_id", "vec_id", k)
+    e = _read(spark, sf_dir, "embeddings")
+    return nearest(e, e.where("vec_id % 50 = 0"), k)
 
 
 VECTOR_TOPK_SQL = """

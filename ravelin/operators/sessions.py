@@ -179,7 +179,7 @@ def removed(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def session_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sessions: some are upserted, some renamed, some deleted."""
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("note"))
-    li = _read(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_orderkey % 5 = 0")
+    li = _read(spark, sf_dir, "lineitem")
     changes = li.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("note"), F.col("l_linenumber").alias("n"))
     up = upserted(o.withColumn("n", F.lit(0)), changes, "id", "n")
     names = o.where("id % 11 = 0").select("id", F.concat(F.lit("renamed "), "title").alias("title"))
@@ -188,7 +188,7 @@ def session_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SESSION_MUTATIONS_SQL = """
 WITH m AS (SELECT l_orderkey AS id, max({'n': l_linenumber, 'title': l_returnflag, 'note': l_linestatus}) AS x
-  FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 5 = 0 GROUP BY 1), c AS (SELECT id, x.title AS title, x.note AS note FROM m),
+  FROM lineitem GROUP BY 1), c AS (SELECT id, x.title AS title, x.note AS note FROM m),
 u AS (SELECT id, title, note, 0 AS front FROM c UNION ALL
   SELECT o_orderkey, o_orderstatus, o_orderpriority, 1 FROM orders WHERE o_orderkey NOT IN (SELECT id FROM c))
 SELECT u.id, CASE WHEN u.id % 11 = 0 AND o_orderkey IS NOT NULL THEN 'renamed ' || o_orderstatus ELSE u.title END AS title, note, front

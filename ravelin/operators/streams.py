@@ -16,25 +16,31 @@ def classified(lines: DataFrame) -> DataFrame:
     JSON under data: that is neither token nor metadata is text, as is any other plain line; JSON that can't be parsed
     is left to the caller as kind broken. Metadata is one JSON object.
     """
-    line = F.col("line")
-    bare = F.regexp_replace(F.regexp_replace(line, r"^\s+", ""), r"\s+$", "")
-    data = line.startswith("data:")
-    payload = F.when(data, F.regexp_replace(F.substr(line, F.lit(6)), r"^[ \t]", "")).otherwise(line)
-    core = F.regexp_replace(F.regexp_replace(payload, r"^\s+", ""), r"\s+$", "")
+    strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    # in steps, so that each line is parsed once
+    line, own = F.col("line"), {c: F.col(f"`{c}`") for c in lines.columns}
+    rows = lines.select(F.struct(*own.values()).alias("_row"), "line", line.startswith("data:").alias("_data"), strip(line).alias("_bare"))
+    rows = rows.withColumn("_payload", F.when(F.col("_data"), F.regexp_replace(F.substr(line, F.lit(6)), r"^[ \t]", "")).otherwise(line))
+    rows = rows.withColumn("_core", strip(F.col("_payload")))
+    core, payload, bare, data = F.col("_core"), F.col("_payload"), F.col("_bare"), F.col("_data")
+    rows = rows.withColumn("_parsed", F.try_parse_json(F.when(core.startswith("{") & core.endswith("}"), core)))
+    rows = rows.withColumn("_strings", F.array(*(F.try_variant_get("_parsed", f"$.{k}", "variant") for k in TOKEN_KEYS)))
+    # the first key that has a string; other values are no tokens, though they may be read as strings
+    typed = F.transform("_strings", lambda v: F.struct(F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)).alias("is"), F.try_variant_get(v, "$", "string").alias("as")))
+    meta_paths = [F.try_variant_get("_parsed", f"$.{k}", "variant") for k in METADATA_KEYS]
+    truthy = F.transform(F.array(*meta_paths), lambda v: ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", '""'))
+    rows = rows.withColumns({"_typed": typed, "_meta": F.exists(truthy, lambda x: x) | F.coalesce(F.try_variant_get("_parsed", "$.status", "string") == "completed", F.lit(False))})
+    rows = rows.withColumns({"_string": F.exists("_typed", lambda t: t["is"]), "_token": F.get(F.filter(F.transform("_typed", lambda t: t["as"]), lambda x: x.isNotNull()), F.lit(0))})
     braces = core.startswith("{") & core.endswith("}")
-    parsed = F.try_parse_json(F.when(braces, core))
-    token = F.coalesce(*(F.try_variant_get(parsed, f"$.{k}", "string") for k in TOKEN_KEYS))
-    is_string = F.coalesce(*(F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")) == "STRING", True) for k in TOKEN_KEYS), F.lit(False))
-    has = lambda k: F.coalesce(F.get_json_object(core, f"$.{k}"), F.lit("false")).isin("false", "0", "") == F.lit(False)
-    meta = has("citations") | has("subgraph") | has("sources") | F.coalesce(F.get_json_object(core, "$.status") == "completed", F.lit(False))
     kind = (
         F.when((bare == "") | bare.startswith(":") | bare.startswith("event:"), "drop")
         .when((payload == "") | (core == "[DONE]"), "drop")
-        .when(braces & parsed.isNull(), "broken").when(braces & is_string, "token").when(braces & meta, "metadata")
+        .when(braces & F.col("_parsed").isNull(), "broken").when(F.col("_string"), "token").when(braces & F.col("_meta"), "metadata")
         .when(data, "token").when(~core.startswith("{") & ~core.startswith("["), "token").otherwise("drop")
     )
-    added = F.when(braces & parsed.isNotNull() & is_string, token).when(data, F.concat(payload, F.lit("\n"))).otherwise(F.concat(line, F.lit("\n")))
-    return lines.withColumn("kind", kind).withColumn("added", F.when(F.col("kind") == "token", added)).withColumn("metadata", F.when(F.col("kind") == "metadata", core))
+    rows = rows.withColumn("kind", kind)
+    added = F.when(F.col("_string"), F.col("_token")).when(data, F.concat(payload, F.lit("\n"))).otherwise(F.concat(line, F.lit("\n")))
+    return rows.select("_row.*", "kind", F.when(F.col("kind") == "token", added).alias("added"), F.when(F.col("kind") == "metadata", core).alias("metadata"))
 
 
 def folded(lines: DataFrame) -> DataFrame:
@@ -70,9 +76,17 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAM_FOLD_SQL = r"""
-WITH t AS (SELECT user_id AS request_id, event_id AS seq, CASE event_id % 10 WHEN 0 THEN 't' || event_id || ' ' WHEN 1 THEN 'x' || event_id WHEN 2 THEN 'plain ' || event_id || chr(10)
-  WHEN 6 THEN '{"stage": ' || event_id || '}' || chr(10) WHEN 7 THEN 'line ' || event_id || chr(10) END AS added, CASE WHEN event_id % 10 = 8 THEN event_id END AS m FROM events)
-SELECT request_id, coalesce(string_agg(added, '' ORDER BY seq), '') AS text, CAST(count(added) AS INT) AS n_tokens, '[' || max(m) || ']' AS citations, CAST(max(m) AS VARCHAR) AS last_n FROM t GROUP BY 1"""
+WITH l AS (SELECT user_id AS request_id, event_id AS seq, (['data: {"token": "t' || event_id || ' "}', '{"text": "x' || event_id || '"}', 'data: plain ' || event_id, ': keepalive', 'event: ping', 'data: [DONE]',
+    'data: {"stage": ' || event_id || '}', 'line ' || event_id, 'data: {"citations": [' || event_id || '], "n": ' || event_id || '}', ''])[event_id % 10 + 1] AS line FROM events),
+p AS (SELECT *, starts_with(line, 'data:') AS data, CASE WHEN starts_with(line, 'data:') THEN regexp_replace(substr(line, 6), '^[ \t]', '') ELSE line END AS payload FROM l),
+j AS (SELECT *, trim(payload) AS core, CASE WHEN starts_with(trim(payload), '{') AND json_valid(trim(payload)) THEN CAST(trim(payload) AS JSON) END AS o FROM p),
+k AS (SELECT *, list_filter([o->'$.token', o->'$.text', o->'$.content', o->'$.response', o->'$.delta.content', o->'$.reply'], lambda x: json_type(x) = 'VARCHAR') AS strings,
+  coalesce(json_type(o->'$.citations') NOT IN ('NULL') OR json_type(o->'$.subgraph') NOT IN ('NULL') OR json_type(o->'$.sources') NOT IN ('NULL') OR o->>'$.status' = 'completed', false) AS meta FROM j),
+c AS (SELECT *, CASE WHEN trim(line) = '' OR starts_with(line, ':') OR starts_with(line, 'event:') OR payload = '' OR core = '[DONE]' THEN 'drop' WHEN len(strings) > 0 THEN 'token' WHEN o IS NOT NULL AND meta THEN 'metadata'
+  WHEN data OR NOT (starts_with(core, '{') OR starts_with(core, '[')) THEN 'token' ELSE 'drop' END AS kind FROM k),
+a AS (SELECT *, CASE WHEN kind = 'token' THEN CASE WHEN len(strings) > 0 THEN strings[1]->>'$' ELSE CASE WHEN data THEN payload ELSE line END || chr(10) END END AS added FROM c)
+SELECT request_id, coalesce(string_agg(added, '' ORDER BY seq), '') AS text, CAST(count(added) AS INT) AS n_tokens,
+  arg_max(o->>'$.citations', seq) FILTER (kind = 'metadata') AS citations, arg_max(o->>'$.n', seq) FILTER (kind = 'metadata') AS last_n FROM a GROUP BY 1"""
 
 
 def is_terminal(phase: Column, percent: Column, status: Column) -> Column:
@@ -121,8 +135,10 @@ def ingestion_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INGESTION_PROGRESS_SQL = """
-WITH e AS (SELECT user_id AS doc_id, event_id AS seq, event_id % 37 = 0 AS done, event_id % 11 = 0 AS bad, (['UPLOADING', 'parsing', 'error', 'weird'])[event_id % 4 + 1] AS p,
-  CAST(floor(value % 110) AS DOUBLE) AS v, event_id % 3 = 0 AS own FROM events),
+WITH l AS (SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN '[DONE]' WHEN event_id % 11 = 0 THEN 'not json' ELSE '{"phase": "' || (['UPLOADING', 'parsing', 'error', 'weird'])[event_id % 4 + 1]
+    || '", "' || CASE WHEN event_id % 3 = 0 THEN 'percent' ELSE 'progress_percent' END || '": ' || CAST(floor(value % 110) AS INT) || '}' END AS line FROM events),
+o AS (SELECT *, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM l),
+e AS (SELECT doc_id, seq, line = '[DONE]' AS done, j IS NULL AS bad, j->>'$.phase' AS p, CAST(coalesce(j->>'$.percent', j->>'$.progress_percent') AS DOUBLE) AS v, j->>'$.percent' IS NOT NULL AS own FROM o),
 f AS (SELECT *, p <> 'weird' AND v BETWEEN 0 AND 100 AS valid FROM e WHERE done OR NOT bad),
 g AS (SELECT doc_id, seq, CASE WHEN done THEN 'ready' WHEN valid THEN lower(p) ELSE p END AS phase, CASE WHEN done THEN 100.0::DOUBLE WHEN valid THEN v WHEN own THEN v ELSE 50.0::DOUBLE END AS percent,
   CASE WHEN done THEN 'ready' WHEN valid THEN NULL WHEN own AND v >= 100 THEN 'ready' ELSE 'processing' END AS status FROM f),

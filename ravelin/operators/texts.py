@@ -19,12 +19,12 @@ def _pick(key: Column, *choices: str) -> Column:
 def speech_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5."""
     d = _documents(spark, sf_dir)
-    marked = F.concat(F.lit("# "), F.substring("text", 1, 60), F.lit(" [1] **bold** `code x` [^2]\n```py\nprint(1)\n```\n> _quote_ ~ "), F.substring("text", 61, 60))
+    marked = F.concat(F.lit("# "), "text", F.lit(" [1] **bold** `code x` [^2]\n```py\nprint(1)\n```\n> _quote_ ~ "), "text")
     return d.select("doc_id", text.speech(marked).alias("spoken"))
 
 
 SPEECH_CLEAN_SQL = r"""
-WITH m AS (SELECT doc_id, '# ' || substr(text, 1, 60) || ' [1] **bold** `code x` [^2]' || chr(10) || '```py' || chr(10) || 'print(1)' || chr(10) || '```' || chr(10) || '> _quote_ ~ ' || substr(text, 61, 60) AS t FROM documents)
+WITH m AS (SELECT doc_id, '# ' || text || ' [1] **bold** `code x` [^2]' || chr(10) || '```py' || chr(10) || 'print(1)' || chr(10) || '```' || chr(10) || '> _quote_ ~ ' || text AS t FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '```[\s\S]*?```', 'Code block omitted.', 'g'), '`([^`]+)`', '\1', 'g'),
   '\[\^?\d+\]', '', 'g'), '[#*_~>]', '', 'g'), '\s+', ' ', 'g')) AS spoken FROM m"""
 
@@ -32,12 +32,12 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 def copy_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 without citations that are spelled out."""
     d = _documents(spark, sf_dir)
-    marked = F.concat(F.substring("text", 1, 50), F.lit(" [1, 2] . Then   two  [3][4] , and [5] \n"), F.substring("text", 51, 50), F.lit("  end [7]"))
+    marked = F.concat("text", F.lit(" [1, 2] . Then   two  [3][4] , and [5] \n"), "text", F.lit("  end [7]"))
     return d.select("doc_id", text.copied(marked, verbose=False).alias("copied"))
 
 
 COPY_CLEAN_SQL = r"""
-WITH m AS (SELECT doc_id, substr(text, 1, 50) || ' [1, 2] . Then   two  [3][4] , and [5] ' || chr(10) || substr(text, 51, 50) || '  end [7]' AS t FROM documents)
+WITH m AS (SELECT doc_id, text || ' [1, 2] . Then   two  [3][4] , and [5] ' || chr(10) || text || '  end [7]' AS t FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'),
   '[ \t]{2,}', ' ', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '') AS copied FROM m"""
 
@@ -45,12 +45,12 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, the built-in steps."""
     d = _documents(spark, sf_dir)
-    marked = F.concat(F.lit("data: "), F.substring("text", 1, 40), F.lit("\n: keepalive\nglued• one •two [DONE]\\x08 \\u0008x\x07\n\n\n\nend "), F.substring("text", 41, 20))
+    marked = F.concat(F.lit("data: "), "text", F.lit("\n: keepalive\nglued• one •two [DONE]\\x08 \\u0008x\x07\n\n\n\nend "), "text")
     return d.select("doc_id", text.sanitized(marked).alias("clean"))
 
 
 SANITIZE_STREAM_SQL = r"""
-WITH m AS (SELECT doc_id, 'data: ' || substr(text, 1, 40) || chr(10) || ': keepalive' || chr(10) || 'glued• one •two [DONE]\x08 \u0008x' || chr(7) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || substr(text, 41, 20) AS t FROM documents)
+WITH m AS (SELECT doc_id, 'data: ' || text || chr(10) || ': keepalive' || chr(10) || 'glued• one •two [DONE]\x08 \u0008x' || chr(7) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || text AS t FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(t, '(?m)^data:\s*', '', 'g'), '(?m)^:\s*keepalive\s*$', '', 'g'), '[DONE]', ''),
   '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\\x0[0-8bBcCeEfF]|\\x1[0-9a-fA-F]|\\x7[fF]|\\u000[0-8bBcCeEfF]|\\u001[0-9a-fA-F]', '', 'g'),
   '([^\n])\s*•\s*', '\1' || chr(10) || chr(10) || '• ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS clean FROM m"""
@@ -59,12 +59,12 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(repla
 def slug_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6, T8, T9, P18."""
     d = _documents(spark, sf_dir)
-    start = F.substring("text", 1, 70)
+    start = F.col("text")
     return d.select("doc_id", text.title(start).alias("title"), text.slug(start).alias("slug"), text.export_name("report", start, F.lit("2024-05-06").cast("date"), "md").alias("file"), text.doc_name(F.concat("source", F.lit("_annual-report.v2.pdf"))).alias("name"))
 
 
 SLUG_TITLE_SQL = r"""
-WITH a AS (SELECT doc_id, source, substr(text, 1, 70) AS t FROM documents),
+WITH a AS (SELECT doc_id, source, text AS t FROM documents),
 b AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS one, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9\s-]', '', 'g'), '^\s+', ''), '\s+$', ''), '\s+', '-', 'g') AS s FROM a)
 SELECT doc_id, CASE WHEN one = '' THEN 'New Chat' WHEN length(one) <= 42 THEN one ELSE trim(substr(one, 1, 42)) || '...' END AS title,
   coalesce(nullif(substr(s, 1, 36), ''), 'research-response') AS slug, 'report-' || coalesce(nullif(substr(s, 1, 32), ''), 'research-response') || '-2024-05-06.md' AS file,
@@ -74,15 +74,15 @@ SELECT doc_id, CASE WHEN one = '' THEN 'New Chat' WHEN length(one) <= 42 THEN on
 def suggestion_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source up to four different follow-ups, from three lists in their order of preference."""
     d = _documents(spark, sf_dir)
-    part = lambda a, n, tail: F.concat(F.substring("text", a, n), F.lit(tail))
-    lists = F.concat(F.array(part(1, 20, "?"), part(1, 20, "...")), F.array(part(30, 25, " ?")), F.array(part(1, 3, "."), part(60, 25, "")))
+    said = lambda *parts: F.concat(*(F.col(p) if p in ("text", "source", "lang") else F.lit(p) for p in parts))
+    lists = F.concat(F.array(said("text", "?"), said("text", "...")), F.array(said("What of  ", "source", " ?")), F.array(said("lang", "."), said("source", "\n", "text")))
     clean = F.array_distinct(F.filter(F.transform(lists, text.suggestion), lambda s: F.length(s) > 5))
     return d.select("doc_id", F.posexplode(F.slice(clean, 1, 4)).alias("place", "query"))
 
 
 SUGGESTION_RANK_SQL = r"""
-WITH l AS (SELECT doc_id, unnest([{'i': 1, 'q': substr(text, 1, 20) || '?'}, {'i': 2, 'q': substr(text, 1, 20) || '...'}, {'i': 3, 'q': substr(text, 30, 25) || ' ?'},
-    {'i': 4, 'q': substr(text, 1, 3) || '.'}, {'i': 5, 'q': substr(text, 60, 25)}]) AS x FROM documents),
+WITH l AS (SELECT doc_id, unnest([{'i': 1, 'q': text || '?'}, {'i': 2, 'q': text || '...'}, {'i': 3, 'q': 'What of  ' || source || ' ?'},
+    {'i': 4, 'q': lang || '.'}, {'i': 5, 'q': source || chr(10) || text}]) AS x FROM documents),
 c AS (SELECT doc_id, x.i AS i, trim(regexp_replace(regexp_replace(x.q, '\s+', ' ', 'g'), '[.?]+$', '')) AS q FROM l),
 f AS (SELECT doc_id, q, min(i) AS i FROM c WHERE length(q) > 5 GROUP BY 1, 2),
 r AS (SELECT doc_id, q, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM f)
@@ -92,12 +92,12 @@ SELECT doc_id, CAST(place AS INT) AS place, q AS query FROM r WHERE place < 4"""
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T10, T13 on pages."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", F.md5(text.html_escaped(F.col("html")).cast("binary")).alias("escaped_md5"), F.substring(text.inline_html(F.concat(F.lit("**a** `b` "), "html")), 1, 200).alias("inline"))
+    return p.select("page_id", F.md5(text.html_escaped(F.col("html")).cast("binary")).alias("escaped_md5"), F.md5(text.inline_html(F.concat(F.lit("**a** `b` "), "html")).cast("binary")).alias("inline_md5"))
 
 
 HTML_ESCAPE_SQL = r"""
 WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS h FROM pages)
-SELECT page_id, md5(h) AS escaped_md5, substr(regexp_replace(regexp_replace('**a** `b` ' || h, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '`(.+?)`', '<code>\1</code>', 'g'), 1, 200) AS inline FROM e"""
+SELECT page_id, md5(h) AS escaped_md5, md5(regexp_replace(regexp_replace('**a** `b` ' || h, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '`(.+?)`', '<code>\1</code>', 'g')) AS inline_md5 FROM e"""
 
 
 def provider_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,4 +185,4 @@ SELECT doc_id, CAST(floor(n_chars / 4096.0::DOUBLE * 1024 + 0.5) AS BIGINT) AS k
 def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escaped text in lines of 80; the sum of the lines' lengths and blanks is that of the words."""
     d = _documents(spark, sf_dir)
-    return d.select("doc_id", F.posexplode(text.wrapped(text.pdf_escaped(F.substring("text", 1, 600)), 80)).alias("line", "content"))
+    return d.select("doc_id", F.posexplode(text.wrapped(text.pdf_escaped(F.col("text")), 80)).alias("line", "content"))

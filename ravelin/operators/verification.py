@@ -37,7 +37,7 @@ def claims(answers: DataFrame, citations: DataFrame, overlap: float = 0.5) -> Da
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    k, text = F.col("doc_id"), F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z]+", " ")
+    k, text = F.col("doc_id"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ")
     n = lambda m: (k % m).cast("string")
     answers = d.select(k.alias("answer_id"), F.concat(F.lit("Grew by "), n(4), F.lit(".5 in "), text, F.lit(" ["), (k % 3 + 1).cast("string"), F.lit("]. No source here. "), F.lit("Other 7 words [1].")).alias("text"))
     cites = d.select(k.alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("citation_index"), F.concat(F.lit("grew by "), n(3), F.lit(".5 in "), text, F.lit(" 7")).alias("text"))
@@ -50,7 +50,7 @@ def claim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLAIM_VERIFY_SQL = r"""
-WITH d AS (SELECT doc_id AS k, regexp_replace(lower(substr(text, 1, 60)), '[^a-z]+', ' ', 'g') AS t FROM documents),
+WITH d AS (SELECT doc_id AS k, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents),
 c AS (SELECT k, 0 AS claim, [k % 3 + 1] AS cited, [k % 4 || '.5'] AS numbers, 'grew by ' || k % 4 || '.5 in ' || t AS plain FROM d
   UNION ALL SELECT k, 1, [], [], 'no source here' FROM d UNION ALL SELECT k, 2, [1], ['7'], 'other 7 words' FROM d),
 e AS (SELECT c.*, CASE WHEN len(cited) = 0 OR cited[1] = 3 THEN '' ELSE 'grew by ' || c.k % 3 || '.5 in ' || t || ' 7' END AS evidence, CASE WHEN len(cited) > 0 AND cited[1] = 3 THEN 1 ELSE 0 END AS bad FROM c JOIN d USING (k)),

@@ -1,6 +1,7 @@
 """Examples by hand of what the functions give."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,27 @@ def test_answer_cleaner():
     assert answers.cleaned("no marks", [{"citation_index": 2, "pdf_filename": "a.pdf", "primary_page": 1}])[0] == "no marks [2]"
 
 
+def test_layout():
+    clean = answers.cleaned("Intro: • one • two - **Bold** [2]: said. 1. **First** x\nline\n- item\nKey Strategic Conclusions\n\n\n\nend  ", [{"citation_index": 2, "pdf_filename": "a.pdf", "primary_page": 1}])[0]
+    assert clean == "Intro:\n\n• one\n\n• two\n\n- **Bold** [2]\n  said.\n\n1. **First** x\nline\n\n- item\n\n### Key Strategic Conclusions\n\nend"
+    assert answers.cleaned("[3] (Page 4, b.docx) and (c.pdf) [5] not (d.pdf) nor (see above) [6]", [])[1] == [{"citation_index": 3, "pdf_filename": "b.docx", "primary_page": 4}, {"citation_index": 5, "pdf_filename": "c.pdf", "primary_page": None}]
+
+
+@pytest.mark.parametrize("part", ["word ", "• a ", "(", "[1] (", "(a.pdf, ", "- **x", "{\"token\": \"", "[1, ", "\n\n", "1. **", "|", "```\n", "> q\n", "- i\n", "`", "**"])
+def test_long_texts_take_little_time(part):
+    began = time.perf_counter()
+    text = part * (100_000 // len(part))
+    answers.cleaned(text, [])
+    assert sum(1 for _ in answers.blocks(text)) >= 0 and sum(1 for _ in answers.inline(text)) >= 0
+    answers.without_fragments(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_unwrapped_fragments(spark):
+    for given in ('ask{"token": " question "}{"delta": {"content": "x\\n"}}{"text": "\\u00e9"}', '{"token": "\\q"}', "plain", '{"other": "x"} {"reply": ""}'):
+        assert one(spark, text.unwrapped(F.lit(given))) == answers.without_fragments(given)
+
+
 def test_fragments():
     assert answers.without_fragments('ask{"token": " question "}{"delta": {"content": "x\\n"}}{"text": "\\u00e9"}') == "ask question x\né"
     assert answers.without_fragments('{"token": "\\q"}') == "\\q"
