@@ -295,13 +295,13 @@ def links_of_blocks(rows: pa.Table, similarity: float, batch: int = 256) -> list
 
 
 def _links_in_large(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, component; ``words``: node, n_words, entries, words."""
+    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, n_words, component; ``words``: node, n_words, entries, words."""
 
     def of(group: pa.Table) -> pa.Table:
         found = links_of_blocks(group, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return _pairs_of_blocks(rows.join(words.select("node", "n_words"), "node")).join(words, "node").groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
+    return _pairs_of_blocks(rows).join(words, "node").groupBy("bucket", "lo", "hi").applyInArrow(of, "a long, b long")
 
 
 def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -315,7 +315,8 @@ def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = stored(verified(tried, words, similarity), "links")
     joined = stored(components(found), "components")
 
-    labelled = buckets.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labels = words.select("node", "n_words").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = buckets.join(labels, "node").select("bucket", "node", "n_words", "component")
     sizes = _with_several(labelled)
     rows = stored(labelled.join(sizes, "bucket"), "rows")
     pairs = stored(_pairs_of_small(rows.where(F.col("size") <= SMALL).drop("size")).join(tried, ["a", "b"], "left_anti"), "pairs")
