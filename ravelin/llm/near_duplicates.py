@@ -224,9 +224,10 @@ def _pairs_with_least(buckets: DataFrame) -> DataFrame:
 
 
 def _with_several(buckets: DataFrame) -> DataFrame:
-    """The buckets with several components, and the number of their nodes. ``buckets``: bucket, node, component."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
-    return stored(sizes.select("bucket", "size"), "sizes")
+    """The buckets with several components, the number of their nodes and of their blocks. ``buckets``: bucket, node, n_words, component."""
+    blocks = F.ceil(F.sum(F.greatest(2 * F.col("n_words"), F.lit(NODE_BYTES))) / BLOCK_BYTES)
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), blocks.alias("blocks"), F.min("component").alias("c"), F.max("component").alias("d")).where("c != d")
+    return stored(sizes.select("bucket", "size", "blocks"), "sizes")
 
 
 def _pairs_of_small(rows: DataFrame) -> DataFrame:
@@ -236,15 +237,13 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
 
 
 def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
-    """The rows of each two blocks of a bucket that have several components between them. ``rows``: bucket, node, component, n_words."""
-    size = F.sum(F.greatest(2 * F.col("n_words"), F.lit(NODE_BYTES)))
-    sizes = rows.groupBy("bucket").agg(F.ceil(size / BLOCK_BYTES).alias("blocks"))
-    dealt = stored(rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks"), "blocks")
+    """The rows of each two blocks of a bucket that have several components between them. ``rows``: bucket, node, component, blocks (of the bucket)."""
+    dealt = stored(rows.select("bucket", "node", "component", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "blocks")
     blocks = dealt.groupBy("bucket", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
     other = blocks.select("bucket", F.col("block").alias("hi"), F.col("c").alias("e"), F.col("d").alias("f"))
     both = blocks.withColumnRenamed("block", "lo").join(other, "bucket").where((F.col("lo") <= F.col("hi")) & (F.least("c", "e") != F.greatest("d", "f")))
     sides = both.select("bucket", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    return dealt.drop("n_words").join(sides, ["bucket", "block"])
+    return dealt.join(sides, ["bucket", "block"])
 
 
 def shared_words(words: list[np.ndarray]) -> np.ndarray:
@@ -295,7 +294,7 @@ def links_of_blocks(rows: pa.Table, similarity: float, batch: int = 256) -> list
 
 
 def _links_in_large(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, n_words, component; ``words``: node, n_words, entries, words."""
+    """The links (a, b) between components in buckets of any size. ``rows``: bucket, node, component, blocks; ``words``: node, n_words, entries, words."""
 
     def of(group: pa.Table) -> pa.Table:
         found = links_of_blocks(group, similarity)
