@@ -16,6 +16,7 @@ QUERIES = {
     "ravelin.operators.retrieval": ("vector_topk", "bm25_topk", "rrf_fusion", "khop_1", "khop_2", "khop_3", "chunk_docs"),
     "ravelin.operators.verification": ("claim_verify", "quality_gate", "feedback_stats"),
     "ravelin.operators.streams": ("stream_fold", "ingestion_progress"),
+    "ravelin.operators.chunks": ("stream_lines", "chunk_fold", "ingestion_stream", "selected_node", "list_steps", "term_suggestions"),
     "ravelin.operators.answers": ("rag_clean", "markdown_blocks"),
     "ravelin.operators.reports": ("markdown_report", "developer_export", "html_report", "pdf_report"),
     "ravelin.operators.workspace": ("voice_pick", "resource_footprint", "version_pointers", "source_toggle"),
