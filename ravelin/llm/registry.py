@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.llm import decontamination, divergence_rules, language_id, lm_scoring, mixture, near_duplicates, quality_ranker, secrets, source_audit, token_files, vector_codes, warc
+from ravelin.llm import decontamination, divergence_rules, language_id, lm_scoring, mixture, near_duplicates, one_bit_search, quality_ranker, secrets, source_audit, token_files, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_near_duplicates": near_duplicates.op9_near_duplicates,
         "op10_mixture": mixture.op10_mixture,
+        "op11_one_bit_neighbours": one_bit_search.op11_one_bit_neighbours,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_source_audit": source_audit.op13_source_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_dictionary": warc.OP3_SQL, "op10_mixture": mixture.OP10_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_source_audit": source_audit.OP13_SQL}
+    return {"op3_warc_dictionary": warc.OP3_SQL, "op10_mixture": mixture.OP10_SQL, "op11_one_bit_neighbours": one_bit_search.OP11_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_source_audit": source_audit.OP13_SQL}
