@@ -59,10 +59,10 @@ def _counted(batches: Iterator[pa.RecordBatch], most_held: int) -> Iterator[pa.R
         held = sum(len(c) for c, _ in counts.values())
         for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
             count, docs = counts[lang, source]
-            own = Counter(text.as_py().translate(_BYTES).split())
+            words = text.as_py().translate(_BYTES).split()
             held -= len(count)
-            count.update(own)
-            docs.update(own.keys())
+            count.update(words)
+            docs.update(set(words))
             held += len(count)
             if held > most_held:
                 yield from rows()
@@ -111,16 +111,18 @@ def wide(terms: DataFrame, sums: DataFrame) -> DataFrame:
 
 def pairs(terms: DataFrame, sums: DataFrame) -> DataFrame:
     """lang, source, item, value for each two different sources of a language, in both orders."""
-    rows = wide(terms, sums).withColumns({"every": F.expr("sequence(0, size(sources) - 1)")})
-    rows = rows.withColumns({"having": F.expr("filter(every, i -> counts[i] > 0)"), "lacking": F.expr("filter(every, i -> counts[i] = 0)")})
-    emitted = F.expr(f"""flatten(transform(having, s -> concat(
-        transform(every, t -> struct(s AS s, t AS t, {divergence('p[s]', 'p[t]')} AS value)),
-        transform(lacking, t -> struct(t AS s, s AS t, {divergence('p[t]', 'p[s]')} AS value)))))""")
-    added = rows.select("lang", F.inline(emitted)).where("s <> t").groupBy("lang", "s", "t").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    rows = wide(terms, sums).select("lang", F.expr("transform(p, (x, i) -> struct(i AS s, x AS p, counts[i] AS n))").alias("cells"))
+    # each source that has the term meets all; ``back`` is the other direction where the other source lacks the term
+    emitted = F.expr(f"""flatten(transform(filter(cells, x -> x.n > 0), h -> transform(cells, x ->
+        struct(h.s AS s, x.s AS t, {divergence('h.p', 'x.p')} AS there, CASE WHEN x.n = 0 THEN {divergence('x.p', 'h.p')} END AS back))))""")
+    added = rows.select("lang", F.inline(emitted)).where("s <> t").groupBy("lang", "s", "t").agg(F.sum("there").alias("there"), F.count("there").alias("n_there"), F.sum("back").alias("back"), F.count("back").alias("n_back"))
+    added = stored(added, "pairs")
+    there, back = added.select("lang", "s", "t", "there", "n_there"), added.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "back", "n_back")
     every = sums.select("lang", "sources", "wholes", "kept", F.posexplode("sources").alias("s", "source")).select("*", F.posexplode("sources").alias("t", "item")).where("s <> t")
     neither = F.expr(f"CASE WHEN kept > 0 THEN {divergence(share('0L', 'wholes[s]'), share('0L', 'wholes[t]'))} ELSE 0L END")  # of a term that none of the two has
     every = every.select("lang", "s", "t", "source", "item", "kept", neither.alias("neither"))
-    return every.join(added, ["lang", "s", "t"], "left").select("lang", "source", "item", F.expr("coalesce(value, 0L) + (kept - coalesce(n, 0L)) * neither").alias("value"))
+    both = every.join(there, ["lang", "s", "t"], "left").join(back, ["lang", "s", "t"], "left")
+    return both.select("lang", "source", "item", F.expr("coalesce(there, 0L) + coalesce(back, 0L) + (kept - coalesce(n_there, 0L) - coalesce(n_back, 0L)) * neither").alias("value"))
 
 
 def typical(terms: DataFrame, sums: DataFrame) -> DataFrame:
