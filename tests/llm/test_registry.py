@@ -11,4 +11,4 @@ def test_query_has_the_rows_of_its_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 14))
