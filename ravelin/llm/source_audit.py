@@ -11,7 +11,8 @@ The plan, with a row for each kept term that holds all sources of its language:
    ones), so what is shuffled is a vocabulary, not texts. Rows go to their (language, term), where counts are summed,
    rare terms fall out, and what is left becomes one row with the counts of its sources.
 2. N by source and V by language are sums over these rows, one short row for each language.
-3. Each row becomes an array of p indexed by source. Higher-order functions emit the contributions of the pairs of sources
+3. Each row becomes an array of counts indexed by source; equal arrays of a language are one row with their number, and
+   become arrays of p. Higher-order functions emit the contributions of the pairs of sources
    of which one at least has the term, less what the pair contributes to a term that neither has; the latter counts V
    times. Tasks sum contributions by pair before anything is shuffled.
 4. The terms that a source has more often than its language are ranked; tasks keep the best of each group, and these
@@ -102,20 +103,27 @@ def totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return one.select("lang", F.col("all.source").alias("sources"), F.expr("transform(all, x -> x.n + kept)").alias("wholes"), F.expr("aggregate(all, 0L, (s, x) -> s + x.n) + kept").alias("whole"), "kept")
 
 
-def wide(terms: DataFrame, sums: DataFrame) -> DataFrame:
-    """A row for each kept term: lang, term, sources, counts and p (arrays by source), q (p of the language)."""
-    rows = terms.join(sums, "lang").withColumn("counts", F.expr("transform(sources, s -> coalesce(by_source[s], 0L))"))
-    p = F.expr(f"transform(counts, (c, i) -> {share('c', 'wholes[i]')})")
-    return rows.select("lang", "term", "sources", "counts", p.alias("p"), F.expr(share("aggregate(counts, 0L, (s, x) -> s + x)", "whole")).alias("q"))
+def counted(terms: DataFrame, sums: DataFrame) -> DataFrame:
+    """A wide row for each kept term: lang, term, the columns of ``sums``, and counts (an array by source)."""
+    return terms.join(sums, "lang").withColumn("counts", F.expr("transform(sources, s -> coalesce(by_source[s], 0L))"))
+
+
+def shares() -> Column:
+    """p by source, from ``counts`` and ``wholes``."""
+    return F.expr(f"transform(counts, (c, i) -> {share('c', 'wholes[i]')})").alias("p")
 
 
 def pairs(terms: DataFrame, sums: DataFrame) -> DataFrame:
     """lang, source, item, value for each two different sources of a language, in both orders."""
-    rows = wide(terms, sums).select("lang", F.expr("transform(p, (x, i) -> struct(i AS s, x AS p, counts[i] AS n))").alias("cells"))
+    # terms with the same counts contribute the same: rare terms, which are most, are few different rows
+    alike = counted(terms, sums).groupBy("lang", "counts").agg(F.count("*").alias("terms"))
+    rows = alike.join(sums, "lang").select("lang", "terms", "counts", shares())
+    rows = rows.select("lang", "terms", F.expr("transform(p, (x, i) -> struct(i AS s, x AS p, counts[i] AS n))").alias("cells"))
     # each source that has the term meets all; ``back`` is the other direction where the other source lacks the term
     emitted = F.expr(f"""flatten(transform(filter(cells, x -> x.n > 0), h -> transform(cells, x ->
         struct(h.s AS s, x.s AS t, {divergence('h.p', 'x.p')} AS there, CASE WHEN x.n = 0 THEN {divergence('x.p', 'h.p')} END AS back))))""")
-    added = rows.select("lang", F.inline(emitted)).where("s <> t").groupBy("lang", "s", "t").agg(F.sum("there").alias("there"), F.count("there").alias("n_there"), F.sum("back").alias("back"), F.count("back").alias("n_back"))
+    met = rows.select("lang", "terms", F.inline(emitted)).where("s <> t").groupBy("lang", "s", "t")
+    added = met.agg(F.expr("sum(there * terms)").alias("there"), F.sum("terms").alias("n_there"), F.expr("sum(back * terms)").alias("back"), F.expr("sum(CASE WHEN back IS NOT NULL THEN terms END)").alias("n_back"))
     added = stored(added, "pairs")
     there, back = added.select("lang", "s", "t", "there", "n_there"), added.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "back", "n_back")
     every = sums.select("lang", "sources", "wholes", "kept", F.posexplode("sources").alias("s", "source")).select("*", F.posexplode("sources").alias("t", "item")).where("s <> t")
@@ -129,7 +137,9 @@ def typical(terms: DataFrame, sums: DataFrame) -> DataFrame:
     """lang, source, item, value for the kept terms that a source has, and has more often than its language."""
     found = F.expr(f"""transform(filter(sequence(0, size(sources) - 1), i -> counts[i] > 0 AND p[i] > q), i ->
         struct(sources[i] AS source, {divergence('p[i]', 'q')} AS value))""")
-    return wide(terms, sums).select("lang", "term", F.inline(found)).select("lang", "source", F.col("term").alias("item"), "value")
+    q = F.expr(share("aggregate(counts, 0L, (s, x) -> s + x)", "whole")).alias("q")
+    wide = counted(terms, sums).select("lang", "term", "sources", "counts", shares(), q)
+    return wide.select("lang", "term", F.inline(found)).select("lang", "source", F.col("term").alias("item"), "value")
 
 
 def audited(docs: DataFrame, *, least_docs: int = 3, most_terms: int = 200) -> DataFrame:
