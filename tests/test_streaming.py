@@ -1,7 +1,14 @@
 """The streaming forms give what the batch forms give."""
 
-from ravelin.operators import streams
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from ravelin.functions import text
+from ravelin.operators import chunks, streams
 from ravelin.streaming import stateful
+from tests.conftest import DATA
 
 
 def run(stream, name):
@@ -11,14 +18,59 @@ def run(stream, name):
     return stream.sparkSession.table(name)
 
 
-def test_tokens(spark, tmp_path):
-    rows = [(r, s, x) for r in (1, 2) for s, x in enumerate(['data: {"token": "a"}', "plain", 'data: {"token": "b"}', "data: [DONE]"])] + [(1, 0, 'data: {"token": "a"}')]
-    lines = spark.createDataFrame(rows, "request_id long, seq long, line string")
-    lines.where("seq < 2").repartition(1).write.parquet(str(tmp_path / "in"))
-    lines.where("seq >= 2").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = run(stateful.token_text(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "texts")
-    wanted = {(r["request_id"], r["text"]) for r in streams.folded(lines).collect()}
-    assert {(r["request_id"], r["text"]) for r in got.collect()} == wanted == {(1, "aplain\nb"), (2, "aplain\nb")}
+LINES = "request_id long, seq long, line string"
+
+
+def until(stream, name, tmp_path, rows):
+    """The table that a running stream has made as soon as it has so many rows; and the progress of its batches."""
+    q = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="200 milliseconds").start()
+    try:
+        end = time.monotonic() + 150
+        while stream.sparkSession.table(name).count() < rows and time.monotonic() < end and q.isActive:
+            time.sleep(0.3)
+        assert q.exception() is None
+        return stream.sparkSession.table(name).collect(), q.recentProgress
+    finally:
+        q.stop()
+
+
+def shuffled(spark, tmp_path, rows, parts):
+    """A stream that brings rows in a random order, in so many batches, every fifth row twice."""
+    r = random.Random(parts)
+    rows = rows + rows[::5]
+    r.shuffle(rows)
+    for i in range(parts):
+        spark.createDataFrame(rows[i::parts], LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_answers_are_those_of_the_batch_form(spark, tmp_path):
+    stateful.rocksdb(spark)
+    lines = chunks.lines_of(chunks._chunks(spark, DATA)).where("request_id < 8").withColumnRenamed("line_no", "seq")
+    rows = [tuple(r) for r in lines.select("request_id", "seq", "line").collect()]
+    last = {r: max(s for x, s, _ in rows if x == r) for r, _, _ in rows}
+    meta = [(r, s + 1, f'data: {{"citations": [{r}], "n": 1}}') for r, s in last.items()] + [(r, s + 2, f'{{"sources": [], "n": {r}}}') for r, s in last.items()]
+    rows += meta + [(r, s + 3, "data: [DONE]") for r, s in last.items()]
+    wanted = {r["request_id"]: r for r in streams.folded(spark.createDataFrame(rows, LINES)).withColumn("text", text.sanitized(F.col("text"))).collect()}
+    got, progress = until(stateful.answers(shuffled(spark, tmp_path, rows, 4), numbered=True), "answers", tmp_path, len(last))
+    assert len(got) == len(last) == len(wanted)
+    for r in got:
+        w = wanted[r["request_id"]]
+        assert (r["text"], r["n_tokens"], r["metadata"], r["complete"]) == (w["text"], w["n_tokens"], w["metadata"], True)
+        assert "[DONE]" not in r["text"] and r["metadata"]["n"] == str(r["request_id"])
+    for p in progress:  # a batch writes what it brings: a piece for each line, and a few values for each request
+        state = p["stateOperators"][0]
+        assert state["customMetrics"]["rocksdbPutCount"] <= 5 * p["numInputRows"] + 12 * len(last) + 12
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4 * len(last)  # the pieces are gone
+
+
+def test_answers_without_an_end_expire(spark, tmp_path):
+    stateful.rocksdb(spark)
+    rows = [(1, 0, "data: • a"), (1, 1, ": keepalive"), (2, 0, "data: [DONE]"), (3, 1, "data: [DONE]"), (4, 0, '{"token": "x"}'), (4, 1, "data: [DONE]"), (4, 2, "late")]
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(LINES).parquet(str(tmp_path / "in"))
+    got, _ = until(stateful.answers(source, timeout_ms=1500, numbered=True), "expired", tmp_path, 4)
+    assert sorted(tuple(r)[:3] + (r["complete"],) for r in got) == [(1, "• a\n", 1, False), (2, "", 0, True), (3, "", 0, False), (4, "xlate\n", 2, True)]
 
 
 def test_progress(spark, tmp_path):
