@@ -23,6 +23,10 @@ QUERIES = {
     "ravelin.operators.ordered": ("line_ranks", "ship_frames"),
     "ravelin.operators.timing": ("tumbling_windows", "sliding_windows", "session_windows", "events_in_sessions", "orders_open"),
     "ravelin.operators.rollups": ("sales_rollup", "sales_sketches"),
+    "ravelin.operators.objects": ("merged_settings", "text_splices"),
+    "ravelin.operators.inline": ("inline_parts",),
+    "ravelin.operators.scans": ("scanned_documents",),
+    "ravelin.operators.logs": ("saved_configs",),
     "ravelin.operators.service": ("reply_synthesis", "citation_fallback", "citation_tokens", "query_requests", "query_problems", "error_kinds", "upload_reports", "session_list", "stored_items", "saved_settings", "model_list", "pull_progress", "abort_ids", "drawer_actions", "archive_moves", "snapshot_kept", "latest_status", "persistence", "link_purge", "delete_guard", "name_matches", "suggestion_lists", "display_labels", "device_labels"),
 }
 

@@ -98,7 +98,7 @@ def test_long_texts_take_little_time(part):
     began = time.perf_counter()
     text = part * (100_000 // len(part))
     answers.cleaned(text, [])
-    assert sum(1 for _ in answers.blocks(text)) >= 0 and sum(1 for _ in answers.inline(text)) >= 0
+    assert sum(1 for _ in answers.blocks(text)) >= 0
     answers.without_fragments(text)
     assert time.perf_counter() - began < 20
 
@@ -120,10 +120,6 @@ def test_blocks():
     assert got[7]["language"] == "left,center"
 
 
-def test_inline():
-    assert list(answers.inline("a `b` **c [1]** [l](h) [2, 3] *i*")) == [("text", "a "), ("code", "b"), ("text", " "), ("bold", "c "), ("citation", "1"), ("text", " "), ("link", "l h"), ("text", " "), ("citation", "2"), ("citation", "3"), ("text", " "), ("italic", "i")]
-
-
 def test_stream_lines(spark):
     lines = ['data: {"token": ""}', 'data: {"token": 5}', '{"delta": {"content": "d"}}', "[1]", '{"a": 1}', '{"bad', 'data: {"bad}', "  ", 'data: {"status": "completed"}']
     got = streams.classified(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "seq int, line string")).orderBy("seq").collect()
