@@ -163,14 +163,20 @@ def marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("answer_id"), "text")
     k = F.col("answer_id")
     n = lambda m: (k % m + 1).cast("string")
-    answers = d.select("answer_id", F.concat("text", F.lit(" ["), n(5), F.lit("] and ["), n(3), F.lit(", "), n(7), F.lit("].")).alias("text"))
+    words = F.transform(F.split("text", " ", -1), lambda w, i: F.when(i % 31 == 7, F.concat(w, F.lit(" ["), (i % 9).cast("string"), F.lit(" , "), (i % 4 + 1).cast("string"), F.lit("]"))).otherwise(w))
+    answers = d.select("answer_id", F.concat(F.array_join(words, " "), F.lit(" ["), n(5), F.lit("] and ["), n(3), F.lit(", "), n(7), F.lit("]. [x] [1,] []")).alias("text"))
     cites = d.select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("position"))
     cites = cites.withColumn("citation_index", (F.when(F.col("position") == 4, 1).otherwise(F.col("position") * 2 - 1 + k % 2)).cast("int")).withColumn("file", F.concat(F.lit("f"), F.col("position").cast("string"), F.lit(".pdf")))
     return matched(markers(answers), cites)
 
 
+#: Markers are found by cutting the answers at their brackets.
 MARKER_JOIN_SQL = """
-WITH m AS (SELECT doc_id AS answer_id, unnest([{'p': 0, 'i': doc_id % 5 + 1}, {'p': 1, 'i': doc_id % 3 + 1}, {'p': 2, 'i': doc_id % 7 + 1}]) AS x FROM documents),
+WITH t AS (SELECT doc_id AS answer_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1) % 31 = 7 THEN w || ' [' || (i - 1) % 9 || ' , ' || (i - 1) % 4 + 1 || ']' ELSE w END), ' ')
+    || ' [' || doc_id % 5 + 1 || '] and [' || doc_id % 3 + 1 || ', ' || doc_id % 7 + 1 || ']. [x] [1,] []' AS text FROM documents),
+b AS (SELECT answer_id, list_filter(list_transform(string_split(text, '[')[2:], lambda x: CASE WHEN contains(x, ']') THEN list_transform(string_split(split_part(x, ']', 1), ','), lambda n: try_cast(trim(n) AS INT)) END),
+    lambda ns: ns IS NOT NULL AND len(list_filter(ns, lambda n: n IS NULL)) = 0) AS marks FROM t),
+m AS (SELECT answer_id, unnest(list_transform(flatten(marks), lambda n, i: {'p': i - 1, 'i': n})) AS x FROM b),
 c AS (SELECT doc_id AS answer_id, p AS position, CASE WHEN p = 4 THEN 1 ELSE p * 2 - 1 + doc_id % 2 END AS citation_index, 'f' || p || '.pdf' AS file FROM documents, range(1, 5) AS t(p)),
 l AS (SELECT answer_id, citation_index, arg_max(file, position) AS file FROM c GROUP BY 1, 2)
 SELECT m.answer_id, CAST(x.p AS INT) AS place, CAST(x.i AS INT) AS citation_index, coalesce(l.file, c.file) AS file
@@ -178,19 +184,36 @@ FROM m LEFT JOIN l ON l.answer_id = m.answer_id AND l.citation_index = x.i LEFT
 
 
 def citation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 on markers by key; what comes out is known for each case."""
+    """T2 on whole texts with markers of all kinds between their words."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = (F.col("doc_id") % 9 + 1).cast("string")
-    mark = F.concat(F.lit("["), n, F.lit("]"))
-    cases = F.array(
-        F.concat(F.lit("a "), mark, F.lit(" "), mark), F.concat(F.lit("a "), mark, mark, mark), F.concat(F.lit("a "), mark, F.lit(", "), mark),
-        F.concat(F.lit("a ["), n, F.lit(", "), n, F.lit("]")), F.concat(F.lit("a . "), mark), F.concat(F.lit("a "), mark, F.lit(" [77]")),
-    )
-    return d.select("doc_id", deduplicated_markers(F.element_at(cases, (F.col("doc_id") % 6 + 1).cast("int"))).alias("clean"))
-
+    k = F.col("doc_id")
 
-CITATION_DEDUP_SQL = """
-SELECT doc_id, CASE doc_id % 6 WHEN 4 THEN 'a. [' || doc_id % 9 + 1 || ']' WHEN 5 THEN 'a [' || doc_id % 9 + 1 || '] [77]' ELSE 'a [' || doc_id % 9 + 1 || ']' END AS clean FROM documents"""
+    def marked(word: Column, i: Column) -> Column:
+        n, m = ((i + k) % 9 + 1).cast("string"), (i % 2 + 1).cast("string")
+        one = F.concat(F.lit("["), n, F.lit("]"))
+        shapes = F.array(
+            F.concat(one, F.lit(" "), one), F.concat(one, one, one), F.concat(one, F.lit(" ,\t"), one), F.concat(one, F.lit("; "), one, F.lit(" ; "), one), F.concat(F.lit("["), n, F.lit(", 2,  "), m, F.lit(",2]")),
+            F.concat(F.lit(" .  "), one), F.concat(one, F.lit(" [77] "), one), F.concat(F.lit("["), n, F.lit(",5] ["), n, F.lit(", 5]")), F.concat(F.lit(" ! [x] ["), n), F.concat(F.lit("[0"), n, F.lit("] "), one),
+        )
+        return F.when(i % 7 == 3, F.concat(word, F.lit(" "), F.element_at(shapes, ((i + k) % 10 + 1).cast("int")))).otherwise(word)
+
+    words = F.transform(F.split(F.translate("text", "[]", ""), " ", -1), marked)
+    return d.select("doc_id", deduplicated_markers(F.array_join(words, " ")).alias("clean"))
+
+
+#: Brackets and what follows each as rows; a bracket goes if it is the one before it again, with what is between them.
+CITATION_DEDUP_SQL = r"""
+WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(translate(text, '[]', ''), ' '), lambda w, i: CASE WHEN (i - 1) % 7 <> 3 THEN w ELSE w || ' ' || (CASE (i - 1 + doc_id) % 10
+    WHEN 0 THEN '[N] [N]' WHEN 1 THEN '[N][N][N]' WHEN 2 THEN '[N] ,' || chr(9) || '[N]' WHEN 3 THEN '[N]; [N] ; [N]' WHEN 4 THEN '[N, 2,  ' || (i - 1) % 2 + 1 || ',2]' WHEN 5 THEN ' .  [N]' WHEN 6 THEN '[N] [77] [N]'
+    WHEN 7 THEN '[N,5] [N, 5]' WHEN 8 THEN ' ! [x] [N' ELSE '[0N] [N]' END).replace('N', CAST((i - 1 + doc_id) % 9 + 1 AS VARCHAR)) END), ' ') AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(t, '[')) AS x, generate_subscripts(string_split(t, '['), 1) AS i FROM t),
+q AS (SELECT *, i > 1 AND contains(x, ']') AS closed, CASE WHEN i > 1 AND contains(x, ']') THEN split_part(x, ']', 1) END AS inside, CASE WHEN i > 1 AND contains(x, ']') THEN substr(x, strpos(x, ']') + 1) ELSE x END AS rest FROM p),
+r AS (SELECT *, list_transform(string_split(inside, ','), lambda n: try_cast(trim(n) AS INT)) AS numbers FROM q),
+s AS (SELECT *, CASE WHEN list_contains(list_transform(numbers, lambda n: n IS NULL), true) THEN NULL WHEN contains(inside, ',') THEN array_to_string(list_transform(list_sort(list_transform(list_distinct(numbers), lambda n: {'at': list_position(numbers, n), 'n': n})), lambda u: u.n), ', ') ELSE inside END AS mark FROM r),
+u AS (SELECT *, coalesce(mark = lag(mark) OVER w AND (translate(lag(rest) OVER w, ' ' || chr(9), '') IN ('', ',') OR trim(lag(rest) OVER w, ' ' || chr(9)) = ';' AND starts_with(lag(rest) OVER w, ';')), false) AS again FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT doc_id, i, CASE WHEN again OR i = 1 THEN '' WHEN closed THEN '[' || coalesce(mark, inside) || ']' ELSE '[' END || CASE WHEN coalesce(lead(again) OVER (PARTITION BY doc_id ORDER BY i), false) THEN '' ELSE rest END AS piece FROM u),
+x AS (SELECT doc_id, string_split(string_agg(piece, '' ORDER BY i), '[') AS x FROM v GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_transform(x, lambda y, i: CASE WHEN i < len(x) AND list_contains(['.', ',', ';', ':', '!', '?'], right(rtrim(y), 1)) THEN rtrim(left(rtrim(y), length(rtrim(y)) - 1)) || right(rtrim(y), 1) || substr(y, length(rtrim(y)) + 1) ELSE y END), '[') AS clean FROM x"""
 
 
 def chunk_fallback(responses: DataFrame) -> DataFrame:

@@ -23,23 +23,45 @@ def speech_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.speech(marked).alias("spoken"))
 
 
+#: Cut at fences, at ticks and at brackets, with lists; marks and blanks go last.
 SPEECH_CLEAN_SQL = r"""
-WITH m AS (SELECT doc_id, '# ' || text || ' [1] **bold** `code x` [^2]' || chr(10) || '```py' || chr(10) || 'print(1)' || chr(10) || '```' || chr(10) || '> _quote_ ~ ' || text AS t FROM documents)
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '```[\s\S]*?```', 'Code block omitted.', 'g'), '`([^`]+)`', '\1', 'g'),
-  '\[\^?\d+\]', '', 'g'), '[#*_~>]', '', 'g'), '\s+', ' ', 'g')) AS spoken FROM m"""
+WITH m AS (SELECT doc_id, '# ' || text || ' [1] **bold** `code x` [^2]' || chr(10) || '```py' || chr(10) || 'print(1)' || chr(10) || '```' || chr(10) || '> _quote_ ~ ' || text AS t FROM documents),
+f AS (SELECT doc_id, string_split(t, '```') AS f FROM m),
+g AS (SELECT doc_id, string_split(array_to_string(list_transform(f, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN i = len(f) THEN '```' || x ELSE 'Code block omitted.' END), ''), '`') AS ticks FROM f),
+h AS (SELECT doc_id, string_split(array_to_string(list_transform(ticks, lambda x, i: CASE WHEN i % 2 = 0 AND (i = len(ticks) OR x = '') THEN '`' || x ELSE x END), ''), '[') AS b FROM g),
+k AS (SELECT doc_id, array_to_string(list_transform(b, lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, ']') AND try_cast(ltrim(split_part(x, ']', 1), '^') AS HUGEINT) IS NOT NULL THEN substr(x, strpos(x, ']') + 1) ELSE '[' || x END), '') AS t FROM h)
+SELECT doc_id, array_to_string(list_filter(string_split(translate(t, '#*_~>' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ' || repeat(' ', 5)), ' '), lambda w: w <> ''), ' ') AS spoken FROM k"""
 
 
 def copy_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 without citations that are spelled out."""
+    """T4, with citations that are spelled out."""
     d = _documents(spark, sf_dir)
-    marked = F.concat("text", F.lit(" [1, 2] . Then   two  [3][4] , and [5] \n"), "text", F.lit("  end [7]"))
-    return d.select("doc_id", text.copied(marked, verbose=False).alias("copied"))
+    n = (F.col("doc_id") % 30 + 1).cast("string")
+    marked = F.concat(
+        "text", F.lit(" [1, 2] . Then   two  [3][4] , and [5] \n"), "text", F.lit("  end [7] (Report.pdf, page "), n, F.lit(") [8]  on (Page "), n, F.lit(", Plan.docx) and (only a note, page 3x) (Notes.md) [9] ; (p. "), n,
+        F.lit(") [2, 3] but (p. 4) stays ! [1] (Sheet.xlsx, p. "), n, F.lit(") [x] ("), "source", F.lit(")"),
+    )
+    return d.select("doc_id", text.copied(marked).alias("copied"))
 
 
+#: References are found among the brackets by what their comma-separated parts are; then brackets, closing marks and lines.
 COPY_CLEAN_SQL = r"""
-WITH m AS (SELECT doc_id, text || ' [1, 2] . Then   two  [3][4] , and [5] ' || chr(10) || text || '  end [7]' AS t FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'),
-  '[ \t]{2,}', ' ', 'g'), '[ \t\r\f\v]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '') AS copied FROM m"""
+WITH m AS (SELECT doc_id, text || ' [1, 2] . Then   two  [3][4] , and [5] ' || chr(10) || text || '  end [7] (Report.pdf, page ' || doc_id % 30 + 1 || ') [8]  on (Page ' || doc_id % 30 + 1 || ', Plan.docx) and (only a note, page 3x) (Notes.md) [9] ; (p. '
+    || doc_id % 30 + 1 || ') [2, 3] but (p. 4) stays ! [1] (Sheet.xlsx, p. ' || doc_id % 30 + 1 || ') [x] (' || source || ')' AS t FROM documents),
+a AS (SELECT doc_id, list_transform(string_split(t, '('), lambda x, i: {'i': i, 'x': x, 'inside': CASE WHEN i > 1 AND contains(x, ')') THEN split_part(x, ')', 1) END, 'rest': CASE WHEN i > 1 AND contains(x, ')') THEN substr(x, strpos(x, ')') + 1) ELSE x END}) AS a FROM m),
+b AS (SELECT doc_id, list_transform(a, lambda p: {'i': p.i, 'x': p.x, 'inside': p.inside, 'rest': p.rest,
+    'file': len(list_filter(['.pdf', '.doc', '.txt', '.md', '.xls'], lambda s: contains(lower(p.inside), s))) > 0,
+    'page': len(list_filter(string_split(lower(p.inside), ','), lambda q: starts_with(trim(q), 'p') AND try_cast(trim(ltrim(trim(q), 'page.'))[1] AS INT) IS NOT NULL)) > 0,
+    'cited': starts_with(ltrim(p.rest), '[') AND try_cast(ltrim(p.rest)[2] AS INT) IS NOT NULL}) AS b FROM a),
+c AS (SELECT doc_id, array_to_string(list_transform(b, lambda p: CASE WHEN p.inside IS NULL THEN CASE WHEN p.i = 1 THEN p.x ELSE '(' || p.x END
+    WHEN p.file AND p.page THEN CASE WHEN p.cited THEN substr(p.rest, strpos(p.rest, ']') + 1) WHEN p.i > 1 AND ends_with(rtrim(b[p.i - 1].rest), ']') THEN p.rest ELSE ltrim(p.rest) END
+    WHEN (p.file OR p.page) AND p.cited THEN substr(p.rest, strpos(p.rest, ']') + 1) ELSE '(' || p.inside || ')' || p.rest END), '') AS t FROM b),
+d AS (SELECT doc_id, list_transform(string_split(t, '['), lambda x, i: {'is': i > 1 AND contains(x, ']') AND len(list_filter(string_split(split_part(x, ']', 1), ','), lambda n: try_cast(trim(n) AS HUGEINT) IS NULL)) = 0, 'first': i = 1, 'x': x}) AS d FROM c),
+e AS (SELECT doc_id, list_transform(d, lambda p: CASE WHEN p.is THEN substr(p.x, strpos(p.x, ']') + 1) WHEN p.first THEN p.x ELSE '[' || p.x END) AS e, d FROM d),
+f AS (SELECT doc_id, array_to_string(list_transform(e, lambda x, i: CASE WHEN i < len(e) AND d[i + 1].is THEN rtrim(x, ' ' || chr(9) || chr(10) || chr(13)) ELSE x END), '') AS t FROM e),
+""" + "".join(f"""g{i} AS (SELECT doc_id, array_to_string(list_transform(string_split(t, '{mark}'), lambda x, i: CASE WHEN i < len(string_split(t, '{mark}')) THEN rtrim(x, ' ' || chr(9) || chr(10) || chr(13)) ELSE x END), '{mark}') AS t FROM {f"g{i - 1}" if i else "f"}),
+""" for i, mark in enumerate(text.CLOSING_MARKS)) + r"""h AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda line: rtrim(array_to_string(list_transform(string_split(line, '  '), lambda x, i: CASE WHEN i = 1 THEN x ELSE ltrim(x) END), ' '))) AS lines FROM g5)
+SELECT doc_id, trim(array_to_string(lines, chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS copied FROM h"""
 
 
 def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +71,16 @@ def sanitize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.sanitized(marked).alias("clean"))
 
 
+#: By lines, by characters, by backslashes and by bullets; of blank lines in a row one stays.
 SANITIZE_STREAM_SQL = r"""
-WITH m AS (SELECT doc_id, 'data: ' || text || chr(10) || ': keepalive' || chr(10) || 'glued• one •two [DONE]\x08 \u0008x' || chr(7) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || text AS t FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(t, '(?m)^data:\s*', '', 'g'), '(?m)^:\s*keepalive\s*$', '', 'g'), '[DONE]', ''),
-  '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\\x0[0-8bBcCeEfF]|\\x1[0-9a-fA-F]|\\x7[fF]|\\u000[0-8bBcCeEfF]|\\u001[0-9a-fA-F]', '', 'g'),
-  '([^\n])\s*•\s*', '\1' || chr(10) || chr(10) || '• ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS clean FROM m"""
+WITH m AS (SELECT doc_id, 'data: ' || text || chr(10) || ': keepalive' || chr(10) || 'glued• one •two [DONE]\x08 \u0008x' || chr(7) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' || text AS t FROM documents),
+l AS (SELECT doc_id, replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN starts_with(x, 'data:') THEN ltrim(x[6:]) WHEN starts_with(x, ':') AND trim(x[2:]) = 'keepalive' THEN '' ELSE x END), chr(10)), '[DONE]', '') AS t FROM m),
+c AS (SELECT doc_id, array_to_string(list_filter(string_split(t, ''), lambda x: NOT (ord(x) < 9 OR ord(x) IN (11, 12, 127) OR ord(x) BETWEEN 14 AND 31)), '') AS t FROM l),
+b AS (SELECT doc_id, list_transform(string_split(t, '\'), lambda x, i: {'x': x, 'first': i = 1, 'hex': CASE WHEN starts_with(x, 'x') THEN lower(x[2:3]) WHEN starts_with(x, 'u00') AND x[4] IN ('0', '1') THEN lower(x[4:5]) END, 'size': CASE WHEN starts_with(x, 'x') THEN 4 ELSE 6 END}) AS b FROM c),
+e AS (SELECT doc_id, array_to_string(list_transform(b, lambda p: CASE WHEN p.first THEN p.x WHEN list_contains(list_transform(list_filter(range(128), lambda n: n < 9 OR n IN (11, 12, 127) OR n BETWEEN 14 AND 31), lambda n: printf('%02x', n)), p.hex) THEN substr(p.x, p.size) ELSE '\' || p.x END), '') AS t FROM b),
+u AS (SELECT doc_id, string_split(t, '•') AS u FROM e),
+p AS (SELECT doc_id, string_split(array_to_string(list_transform(u, lambda x, i: CASE WHEN i = 1 THEN rtrim(x, ' ' || chr(10)) WHEN i = len(u) THEN ltrim(x, ' ' || chr(10)) ELSE trim(x, ' ' || chr(10)) END), chr(10) || chr(10) || '• '), chr(10)) AS lines FROM u)
+SELECT doc_id, array_to_string(list_filter(lines, lambda x, i: x <> '' OR i = 1 OR lines[i - 1] <> ''), chr(10)) AS clean FROM p"""
 
 
 def slug_title(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,28 +19,35 @@ def claims(answers: DataFrame, citations: DataFrame, overlap: float = 0.5) -> Da
     marks = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), F.lit(1))), lambda n: n.cast("int"))
     plain = F.regexp_replace("text", r"\[\d+\]", " ")
     c = c.select("answer_id", "claim", marks.alias("cited"), F.array_distinct(F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(0))).alias("numbers"), F.array_distinct(F.filter(F.split(F.lower(plain), r"\W+"), lambda w: w != "")).alias("words"))
-    given = citations.select("answer_id", "citation_index", F.col("text").alias("given"))
-    each = c.withColumn("citation_index", F.explode_outer("cited")).join(given, ["answer_id", "citation_index"], "left")
-    one = each.groupBy("answer_id", "claim").agg(
-        F.first("cited").alias("cited"), F.first("numbers").alias("numbers"), F.first("words").alias("words"),
-        F.count_if(F.col("citation_index").isNotNull() & F.col("given").isNull()).alias("n_invalid"), F.array_join(F.array_sort(F.collect_list("given")), " ").alias("evidence"),
+    # what a cited text says is read once for each citation; of a claim's meetings only its own numbers and words that were found move on
+    tokens = lambda of: F.array_distinct(F.filter(F.split(F.lower(of), r"\W+"), lambda w: w != ""))
+    given = citations.select("answer_id", "citation_index", F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))).alias("given_numbers"), tokens(F.col("text")).alias("given_words"), F.lit(1).alias("is"))
+    each = c.withColumn("citation_index", F.explode("cited")).join(given, ["answer_id", "citation_index"], "left")
+    met = each.select(
+        "answer_id", "claim", "citation_index", F.col("is").isNotNull().alias("is"),
+        F.transform(F.array_intersect("numbers", "given_numbers"), lambda n: F.array_position("numbers", n)).alias("found"), F.transform(F.array_intersect("words", "given_words"), lambda w: F.array_position("words", w)).alias("shared"),
     )
-    found = F.regexp_extract_all("evidence", F.lit(NUMBER), F.lit(0))
-    matched = F.array_intersect("numbers", found)
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect("words", F.split(F.lower("evidence"), r"\W+"))), F.size("words")), F.lit(0.0))
+    union = lambda name: F.size(F.array_distinct(F.flatten(F.collect_list(name))))
+    whole = met.groupBy("answer_id", "claim").agg(F.countDistinct(F.when(~F.col("is"), F.col("citation_index"))).alias("n_invalid"), union("found").alias("n_matched"), union("shared").alias("n_shared"))
+    slim = c.select("answer_id", "claim", F.size("cited").alias("n_cited"), F.size("numbers").alias("n_numbers"), F.size("words").alias("n_words"))
+    one = slim.join(whole, ["answer_id", "claim"], "left").fillna(0, ["n_invalid", "n_matched", "n_shared"])
+    share = F.coalesce(F.try_divide(F.col("n_shared"), F.col("n_words")), F.lit(0.0))
     status = (
-        F.when(F.col("n_invalid") > 0, "CITATION_INVALID").when(F.size("cited") == 0, "UNSUPPORTED")
-        .when(F.size(matched) < F.size("numbers"), "NUMERICAL_MISMATCH").when(share >= overlap, "SUPPORTED").otherwise("UNSUPPORTED")
+        F.when(F.col("n_invalid") > 0, "CITATION_INVALID").when(F.col("n_cited") == 0, "UNSUPPORTED")
+        .when(F.col("n_matched") < F.col("n_numbers"), "NUMERICAL_MISMATCH").when(share >= overlap, "SUPPORTED").otherwise("UNSUPPORTED")
     )
-    return one.select("answer_id", "claim", F.size("numbers").alias("n_numbers"), F.size(matched).alias("n_matched"), F.col("n_invalid"), status.alias("status"))
+    return one.select("answer_id", "claim", "n_numbers", F.col("n_matched").cast("int").alias("n_matched"), F.col("n_invalid").cast("long").alias("n_invalid"), status.alias("status"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Whole documents as answers, every ninth word with a marker and every seventh sentence's end with a number; the even words as their cited texts."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    k, text = F.col("doc_id"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ")
+    k, words = F.col("doc_id"), F.split("text", " ", -1)
     n = lambda m: (k % m).cast("string")
-    answers = d.select(k.alias("answer_id"), F.concat(F.lit("Grew by "), n(4), F.lit(".5 in "), text, F.lit(" ["), (k % 3 + 1).cast("string"), F.lit("]. No source here. "), F.lit("Other 7 words [1].")).alias("text"))
-    cites = d.select(k.alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("citation_index"), F.concat(F.lit("grew by "), n(3), F.lit(".5 in "), text, F.lit(" 7")).alias("text"))
+    marked = F.transform(words, lambda w, i: F.when(i % 9 == 4, F.concat(w, F.lit(" ["), (i % 3 + 1).cast("string"), F.lit("]"))).when(i % 35 == 6, F.concat(w, F.lit(" "), (i % 8).cast("string"), F.lit(".5. Then"))).otherwise(w))
+    answers = d.select(k.alias("answer_id"), F.concat(F.lit("Grew by "), n(4), F.lit(".5 in "), F.array_join(marked, " "), F.lit(" ["), (k % 3 + 1).cast("string"), F.lit("]. No source here. "), F.lit("Other 7 words [1].")).alias("text"))
+    half = F.array_join(F.filter(words, lambda w, i: i % 2 == 0), " ")
+    cites = d.select(k.alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("citation_index"), F.concat(F.lit("grew by "), n(3), F.lit(".5 in "), half, F.lit(" 7, 4.5")).alias("text"))
     return answers, cites
 
 
@@ -49,15 +56,20 @@ def claim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(*_answers(spark, sf_dir))
 
 
+#: Sentences, markers and numbers are found in the answers' texts.
 CLAIM_VERIFY_SQL = r"""
-WITH d AS (SELECT doc_id AS k, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents),
-c AS (SELECT k, 0 AS claim, [k % 3 + 1] AS cited, [k % 4 || '.5'] AS numbers, 'grew by ' || k % 4 || '.5 in ' || t AS plain FROM d
-  UNION ALL SELECT k, 1, [], [], 'no source here' FROM d UNION ALL SELECT k, 2, [1], ['7'], 'other 7 words' FROM d),
-e AS (SELECT c.*, CASE WHEN len(cited) = 0 OR cited[1] = 3 THEN '' ELSE 'grew by ' || c.k % 3 || '.5 in ' || t || ' 7' END AS evidence, CASE WHEN len(cited) > 0 AND cited[1] = 3 THEN 1 ELSE 0 END AS bad FROM c JOIN d USING (k)),
-f AS (SELECT *, len(list_intersect(numbers, regexp_extract_all(evidence, '\d+(?:\.\d+)?'))) AS m, list_distinct(list_filter(regexp_split_to_array(plain, '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS words FROM e)
-SELECT k AS answer_id, claim, CAST(len(numbers) AS INT) AS n_numbers, CAST(m AS INT) AS n_matched, bad AS n_invalid,
-  CASE WHEN bad > 0 THEN 'CITATION_INVALID' WHEN len(cited) = 0 THEN 'UNSUPPORTED' WHEN m < len(numbers) THEN 'NUMERICAL_MISMATCH'
-    WHEN len(list_intersect(words, regexp_split_to_array(evidence, '[^a-zA-Z0-9_]+'))) / len(words)::DOUBLE >= 0.5 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM f"""
+WITH d AS (SELECT doc_id AS k, string_split(text, ' ') AS w FROM documents),
+a AS (SELECT k, 'Grew by ' || k % 4 || '.5 in ' || array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 9 = 4 THEN x || ' [' || (i - 1) % 3 + 1 || ']' WHEN (i - 1) % 35 = 6 THEN x || ' ' || (i - 1) % 8 || '.5. Then' ELSE x END), ' ')
+    || ' [' || k % 3 + 1 || ']. No source here. Other 7 words [1].' AS t FROM d),
+e AS (SELECT k, n, 'grew by ' || k % 3 || '.5 in ' || array_to_string(list_filter(w, lambda x, i: i % 2 = 1), ' ') || ' 7, 4.5' AS t FROM d, range(1, 3) AS r(n)),
+s AS (SELECT k, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: trim(x)), lambda x: x <> '') AS s FROM a),
+c AS (SELECT k, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS claim FROM s),
+m AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '\[(\d+)\]', 1), lambda n: CAST(n AS INT))) AS cited, regexp_replace(t, '\[\d+\]', ' ', 'g') AS plain FROM c),
+f AS (SELECT *, list_distinct(regexp_extract_all(plain, '\d+(?:\.\d+)?')) AS numbers, list_distinct(list_filter(regexp_split_to_array(lower(plain), '[^a-zA-Z0-9_]+'), lambda x: x <> '')) AS words FROM m),
+v AS (SELECT f.k, claim, count(*) FILTER (n IS NULL) AS bad, coalesce(string_agg(e.t, ' '), '') AS evidence FROM (SELECT k, claim, unnest(cited) AS i FROM f) f LEFT JOIN e ON e.k = f.k AND e.n = f.i GROUP BY ALL),
+g AS (SELECT f.*, coalesce(bad, 0) AS bad, len(list_intersect(numbers, regexp_extract_all(coalesce(evidence, ''), '\d+(?:\.\d+)?'))) AS hit, len(list_intersect(words, regexp_split_to_array(lower(coalesce(evidence, '')), '[^a-zA-Z0-9_]+'))) AS shared FROM f LEFT JOIN v USING (k, claim))
+SELECT k AS answer_id, CAST(claim AS INT) AS claim, CAST(len(numbers) AS INT) AS n_numbers, CAST(hit AS INT) AS n_matched, bad AS n_invalid,
+  CASE WHEN bad > 0 THEN 'CITATION_INVALID' WHEN len(cited) = 0 THEN 'UNSUPPORTED' WHEN hit < len(numbers) THEN 'NUMERICAL_MISMATCH' WHEN len(words) > 0 AND shared / len(words)::DOUBLE >= 0.5 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM g"""
 
 
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
