@@ -2,7 +2,8 @@
 
 Two histograms describe a text: the classes of its characters, and its words among the most common words of each
 language with one cell for all others. References are the sums of these histograms over all documents of a
-language, each document with weight 1, so that no long document dominates. A document's distance is the
+language, each document with weight 1, so that no long document dominates; the classes have a little of the whole
+table's, so that a few documents do not judge themselves. A document's distance is the
 Jensen-Shannon distance (base 2, between 0 and 1) to the nearest language's references. Documents with fewer words
 than ``least_words`` are too short to be judged by their words; with fewer characters than ``least_chars``, by
 their characters.
@@ -11,7 +12,7 @@ The fixed rules stand beside it: a document with fewer than 50 words or more tha
 three-word windows fails.
 
 Null texts have no words. Null languages are one language, as any other. Repeated rows are judged alike. An
-empty table gives no rows.
+empty table gives no rows. Own columns with the names of the results (n_words, kept and so on) are replaced.
 """
 
 from __future__ import annotations
@@ -152,13 +153,15 @@ def _content_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
     return V.hashes(low, starts, ends), first
 
 
-def references(docs: DataFrame, *, common: int = 200, trim: float = 0.18) -> References:
+def references(docs: DataFrame, *, common: int = 200, trim: float = 0.18, prior: float = 1.0) -> References:
     """The histograms of all documents with a text, by lang. Every language has references, however many there are.
 
     Classes are summed first; then classes and words are, without the documents whose classes are more than ``trim``
-    from the first sums, so that junk does not set the norm.
+    from the first sums, so that junk does not set the norm. To the classes of a language come those of ``prior`` documents
+    like the whole table, so that a few with a ``lang`` of their own set no norm for themselves: with a prior of 1, texts
+    that share no class with others take 13 documents to be kept, texts of the letters of others any number.
     """
-    return _summed(docs, common, _summed(docs, 0, None, trim), trim)
+    return _summed(docs, common, _summed(docs, 0, None, trim, prior), trim, prior)
 
 
 class Weights:
@@ -206,7 +209,7 @@ def nearest_class(counts: np.ndarray, refs: References) -> np.ndarray:
     return np.min([divergence(shares, c) for c in refs.classes], axis=0) if len(refs.classes) else np.zeros(len(counts))
 
 
-def _summed(docs: DataFrame, common: int, first: References | None, trim: float) -> References:
+def _summed(docs: DataFrame, common: int, first: References | None, trim: float, prior: float) -> References:
     sent = docs.sparkSession.sparkContext.broadcast(first)  # a list of ``common`` words for each language
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +251,12 @@ def _summed(docs: DataFrame, common: int, first: References | None, trim: float)
     groups = {None if i < 0 else names[i]: rows for i, rows in got.groupby(code)}
     n = {x: int(rows["docs"].sum()) for x, rows in groups.items()}
     langs = sorted(n, key=lambda x: (-n[x], x is None, x or ""))
+    by_class = got[got["is_class"]].groupby("key")["weight"].sum().reindex(range(N_CLASSES), fill_value=0.0).to_numpy()
+    every = max(sum(n.values()), 1)
     classes, words, shares = [], [], []
     for x in langs:
         own = groups[x]
-        c = own[own["is_class"]].sort_values("key")["weight"].to_numpy()
+        c = own[own["is_class"]].set_index("key")["weight"].reindex(range(N_CLASSES), fill_value=0.0).to_numpy() + prior * by_class / every
         w = own[~own["is_class"]].sort_values(["weight", "key"], ascending=[False, True])
         classes.append(c / max(c.sum(), 1e-12))
         words.append(w["key"].to_numpy().astype(np.int64).view(np.uint64))

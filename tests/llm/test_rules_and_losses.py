@@ -53,13 +53,26 @@ def test_every_language_has_references(spark):
     assert all(r["kept"] for r in R.judged(docs, refs).collect())
 
 
+def test_a_few_documents_of_junk_set_no_norm_of_their_own(spark):
+    r = random.Random(9)
+    junk = lambda: " ".join("".join(r.choice("ABCDEFGHXYZ0123456789#$%&*|<>") for _ in range(7)) for _ in range(400))
+    script = ["".join(chr(0x4E00 + r.randrange(60)) for _ in range(3)) for _ in range(50)]
+    rows = [(i, fixtures.prose(i, 120), "en" if i % 2 else "de") for i in range(300)]
+    rows += [(1000 + i, junk(), ("zz", "en", None)[i % 3]) for i in range(9)]
+    rows += [(2000 + i, " ".join(r.choices(script, k=120)), "zh") for i in range(20)]
+    rows += [(3000 + i, " ".join(r.choices(fixtures.WORDS[::-1], k=120)), "new") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in R.judged(docs, R.references(docs)).collect()}
+    assert {i for i, kept in got.items() if not kept} == set(range(1000, 1009))
+
+
 def plain_distance(p, q):
     m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
     kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
     return np.sqrt(max((kl(p) + kl(q)) / 2, 0))
 
 
-def plain_rules(rows, common=200, trim=0.18):
+def plain_rules(rows, common=200, trim=0.18, prior=1.0):
     """{doc_id: (class distance, word distance)} by the definitions, a text at a time."""
     groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "\n", ".,;:?", "!'\"()-_/\\[]{}@^~`=+", "#*$%&|<>"]
     kind = lambda c: next((i for i, g in enumerate(groups) if c in g), 8 if ord(c) < 128 else 9)
@@ -69,10 +82,18 @@ def plain_rules(rows, common=200, trim=0.18):
     langs = sorted({lang for _, t, lang in texts if t}, key=str)
     mean = lambda x: [sum(c) / len(x) for c in zip(*x, strict=True)]
     norm = lambda x: [y / max(sum(x), 1e-12) for y in x]
-    rough = [norm(mean([histogram(t) for _, t, of in texts if t and of == lang])) for lang in langs]
+
+
+    def by_lang(some):
+        """The mean histogram of each language's texts and of ``prior`` texts like all of them."""
+        whole = [histogram(t) for t, _ in some]
+        sums = [[sum(c) for c in zip(*[h for h, (_, of) in zip(whole, some, strict=True) if of == lang], strict=True)] for lang in langs]
+        return [norm([x + prior * y for x, y in zip(own, mean(whole), strict=True)]) for own in sums]
+
+    rough = by_lang([(t, of) for _, t, of in texts if t])
     good = [(t, of) for _, t, of in texts if t and min(plain_distance(histogram(t), c) for c in rough) <= trim]
     langs = [x for x in langs if any(of == x for _, of in good)]
-    classes = [norm(mean([histogram(t) for t, of in good if of == lang])) for lang in langs]
+    classes = by_lang(good)
     shares = []
     for lang in langs:
         own, total = [words(t) for t, of in good if of == lang], Counter()
