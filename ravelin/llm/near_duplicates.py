@@ -1,11 +1,13 @@
 """Near-duplicates by Order MinHash over word shingles, verified by banded alignment.
 
 A text is the sequence of its folded words without marks; its k-mers are the runs of five words, each labelled
-with how often the same run came before. Each of ``TABLES`` hash functions orders the labelled k-mers; a table's
+with how often the same run came before. Each of 48 hash functions orders the labelled k-mers; a table's
 entry is the two least ones, kept in the order they have in the text. Texts of high edit similarity agree in many
-entries, texts with the same words in another order do not. A text's entries put it into ``TABLES`` buckets; two texts
-at the very threshold, with edits scattered over single words, share one with a chance of about 0.9, more similar
-ones nearly always.
+entries, texts with the same words in another order do not. A text's entries put it into as many buckets. One edit
+changes five runs, so that scattered edits leave few of them: texts of 24 words and more have 16 entries from runs of three
+words besides, and those of up to 37 words 64 from runs of two (``KINDS``; lengths of similar texts differ by up to a fifth,
+so two of them have a kind in common). Two texts at the very threshold, with edits scattered over single words, share a
+bucket with a chance of more than 0.9, more similar ones nearly always.
 
 1. Equal texts become one node (grouped by hash). Buckets with one node are left out at once.
 2. Every node is compared with two of the least nodes of its buckets; links join the nodes to components.
@@ -34,21 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import vectext as V
 from ravelin.llm.components import components
 from ravelin.llm.shared import drop_table, packed, stored, table
 
-WORDS = 5
-TABLES = 64
+#: Words of a run; the least and the most words of texts that have entries from such runs; and how many entries.
+KINDS = ((5, 1, 1 << 62, 48), (3, 24, 1 << 62, 16), (2, 1, 37, 64))
+#: The first column of each kind in a row that has room for all.
+COLUMNS = (0, 48, 64, 128)
 SMALL = 32
 #: Bytes of words in a block; a node counts as ``NODE_BYTES`` at least, so a block has up to 4,096 nodes.
 BLOCK_BYTES = 1 << 23
 NODE_BYTES = 1 << 11
 SIMILARITY = 0.8
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MOST = np.uint64((1 << 64) - 1)
 #: Bytes of text at a time: the hashes of their k-mers stay in the processor's cache.
 PIECE = 1 << 18
@@ -74,20 +78,20 @@ def occurrences(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of ``TABLES`` entries for each text, from the hashes of its words; 0 for texts without words."""
-    k, kf = V.shingles(h, first, WORDS)
+def order_minhash(h: np.ndarray, first: np.ndarray, size: int, tables: int) -> np.ndarray:
+    """A row of ``tables`` entries for each text, from the hashes of its words and runs of ``size`` of them; 0 for texts without words."""
+    k, kf = V.shingles(h, first, size)
     n = np.diff(kf)
     some = np.flatnonzero(n > 0)
-    out = np.zeros((len(n), TABLES), np.uint64)
+    out = np.zeros((len(n), tables), np.uint64)
     if not len(some):
         return out
-    x = V.mix(k + occurrences(k, kf) * np.uint64(0xD6E8FEB86659FD93))
+    x = V.mix(k + occurrences(k, kf) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size))
     starts = kf[:-1][some]
     # the low bits of a value are the k-mer's place, so that the least value also says where it is
     low = np.uint64((1 << max(24, len(x).bit_length())) - 1)
     place, v = np.arange(len(x), dtype=np.uint64), np.empty_like(x)
-    for t in range(TABLES):
+    for t in range(tables):
         np.multiply(x, _FACTORS[t], out=v)
         v &= ~low
         v |= place
@@ -99,15 +103,29 @@ def order_minhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def all_entries(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of entries for each text, those of each kind in its columns; 0 where a text has none of a kind."""
+    n = np.diff(first)
+    out = np.zeros((len(n), COLUMNS[-1]), np.uint64)
+    for at, (size, least, most, tables) in zip(COLUMNS, KINDS, strict=False):
+        some = np.flatnonzero((n >= least) & (n <= most))
+        if len(some):
+            firsts = np.concatenate([[0], np.cumsum(n[some])])
+            words = h if len(some) == len(n) else h[np.repeat(first[some] - firsts[:-1], n[some]) + np.arange(firsts[-1])]
+            out[some, at : at + tables] = order_minhash(words, firsts, size, tables)
+    return out
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """node (hash of the text), n_words, entries (TABLES longs), words (16-bit hashes) of each different text."""
+    """node (hash of the text), n_words, entries (longs of each kind that the text has, in their order), words (16-bit hashes) of each different text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, end, data, off in V.pieces(b.column("text"), PIECE):
                 h, first = _words(data, off)
                 low = (h >> np.uint64(48)).astype("<u2").tobytes()
-                entries = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * TABLES), pa.array(order_minhash(h, first).view(np.int64).ravel()))
+                every = all_entries(h, first).view(np.int64)
+                entries = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((every != 0).sum(1))]).astype(np.int32)), pa.array(every[every != 0]))
                 words = pa.array([low[2 * i : 2 * j] for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
                 yield pa.record_batch([b.column("node").slice(at, end - at), pa.array(np.diff(first)), entries, words], ["node", "n_words", "entries", "words"])
 
@@ -115,6 +133,18 @@ def sketched(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "node long, n_words long, entries array<long>, words binary").dropDuplicates(["node"])
 
 
+def _by_table(entries: list[list[int]], n_words: np.ndarray) -> np.ndarray:
+    """The entries of ``sketched`` in a row for each text, those of each kind in its columns; where a text has none, a number that no other text has."""
+    out = np.repeat(np.arange(1, len(n_words) + 1, dtype=np.int64)[:, None], COLUMNS[-1], 1)
+    for row, own, n in zip(out, entries, n_words, strict=True):
+        read = 0
+        for at, (_, least, most, tables) in zip(COLUMNS, KINDS, strict=False):
+            if least <= n <= most:
+                row[at : at + tables] = own[read : read + tables]
+                read += tables
+    return out
+
+
 def _rounds(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, half: int, most: np.ndarray) -> np.ndarray:
     """Edit distances of rows of ``a`` and ``b`` (padded; n <= m) over paths at most ``half`` off the corridor between both ends."""
     p, wide = len(n), int((m - n).max()) + 2 * half + 1
@@ -263,9 +293,9 @@ def links_of_blocks(rows: pa.Table, similarity: float, batch: int = 256) -> list
 
     So are pairs that share an entry of an earlier table: they are compared in the bucket of that one.
     """
-    entries = np.array(rows.column("entries").to_pylist(), np.int64).reshape(-1, TABLES)
-    t = int(np.flatnonzero(entries[0] == rows.column("bucket")[0].as_py())[0])
     node, n, block = (rows.column(c).to_numpy() for c in ("node", "n_words", "block"))
+    entries = _by_table(rows.column("entries").to_pylist(), n)
+    t = int(np.flatnonzero(entries[0] == rows.column("bucket")[0].as_py())[0])
     label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
     words = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("words")]
     bags = shared_words(words)
@@ -306,9 +336,10 @@ def _links_in_large(rows: DataFrame, words: DataFrame, similarity: float) -> Dat
 def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the nodes that are linked to others. ``nodes``: as from ``sketched``."""
     entries = nodes.where("n_words > 0").select("node", F.explode("entries").alias("bucket"))
-    every = Window.partitionBy("bucket")
-    buckets = entries.withColumns({"least": F.min("node").over(every), "greatest": F.max("node").over(every)})
-    buckets = stored(buckets.where("least != greatest").drop("greatest"), "buckets")
+    # least and greatest node come from sums within the tasks, and large buckets are split by the join: no bucket is one task
+    ends = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest")
+    ends = stored(ends.select("bucket", "least"), "ends")
+    buckets = stored(entries.join(ends, "bucket"), "buckets")
     words = stored(nodes.join(buckets.select("node").distinct(), "node", "left_semi"), "words")
     tried = stored(_pairs_with_least(buckets), "pairs")
     found = stored(verified(tried, words, similarity), "links")
@@ -325,7 +356,7 @@ def linked(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         again = stored(components(found.unionByName(more)), "components")
         drop_table(joined)
         joined = again
-    for t in (buckets, words, tried, found, sizes, rows, pairs, more):
+    for t in (ends, buckets, words, tried, found, sizes, rows, pairs, more):
         drop_table(t)
     return joined
 

@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from ravelin.llm import near_duplicates as N
+from ravelin.llm import vectext as V
 from ravelin.llm.components import components
 from tests.llm import fixtures
 
@@ -111,6 +114,63 @@ def scattered(words, edits, r):
     return [w for x in out for w in x]
 
 
+def changed(words, edits, r):
+    """``words`` with this many of them replaced."""
+    out = list(words)
+    for i in r.sample(range(len(words)), edits):
+        out[i] = f"z{r.getrandbits(60)}"
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 12, 15, 20, 23, 24, 30, 37, 38, 40, 50, 60, 75, 100, 200, 1000])
+def test_recall_at_every_length(n):
+    r = random.Random(n)
+    for share in (0.80, 0.85, 0.90, 0.95):
+        edits = int((1 - share) * n + 1e-9)
+        if not edits:
+            continue
+        both = [(a, (changed if i % 2 else scattered)(a, edits, r)) for i in range(150) for a in [[f"w{r.getrandbits(60)}" for _ in range(n)]]]
+        both = [(a, b) for a, b in both if edits <= 0.2 * max(len(a), len(b)) + 1e-9]
+        entries = []
+        for side in zip(*both, strict=True):
+            data, off = V.buffers(pa.array([" ".join(w) for w in side]))
+            entries.append(N.all_entries(*N._words(data, off)))
+        found = ((entries[0] == entries[1]) & (entries[0] != 0)).any(1).mean()
+        assert found >= 0.9, (n, share, found)
+
+
+def test_entries_are_read_back_by_kind():
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.getrandbits(20)}" for _ in range(n)) for n in (1, 5, 23, 24, 37, 38, 200)]
+    every = N.all_entries(*N._words(*V.buffers(pa.array(texts)))).view(np.int64)
+    held = N._by_table([[x for x in row if x] for row in every.tolist()], np.array([len(t.split()) for t in texts]))
+    assert (held[every != 0] == every[every != 0]).all() and len(np.unique(held[every == 0])) <= len(texts)
+
+
+def test_classes_of_short_texts_are_those_of_all_pairs(spark):
+    r = random.Random(21)
+    texts = []
+    for _ in range(30):
+        base = [f"w{r.getrandbits(30)}" for _ in range(r.randint(1, 40))]
+        texts += [changed(base, r.randint(0, len(base) // 8), r) for _ in range(r.choice([1, 2, 5]))]
+    texts += [["the", "end"], ["The", "END."], ["end", "the"], ["the"], ["a", "b", "c", "d", "e"], ["a", "b", "x", "d", "e"], ["e", "d", "c", "b", "a"]]
+    plain = [[w.strip(".").lower() for w in t] for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(plain):
+        for j in range(i):
+            if distance(a, plain[j]) <= 0.2 * max(len(a), len(plain[j])) + 1e-9:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in enumerate(texts)], fixtures.SCHEMA)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_recall_against_all_pairs(spark):
     r = random.Random(12)
     pairs = {}
