@@ -8,13 +8,16 @@ The models are first-order Markov chains over characters: one of random strings,
 smoothed with the shares of single characters, learned from labelled samples (token, secret). A candidate is a run of
 ``LEAST`` or more of the characters that keys are made of, with a letter or digit at both ends. It is a span of the
 kind ``random`` if the mean log-likelihood ratio of its transitions is above a threshold for its length and it does not
-overlap a span of a fixed pattern. Tokens of capitals alone are taken in lower case. The threshold lies ``deviations`` standard deviations above the mean of ordinary
+overlap a span of a fixed pattern. Parts of a token without a small letter, between marks, are taken in lower case, as names of
+constants are the words that they are in small letters. The threshold lies ``deviations`` standard deviations above the mean of ordinary
 tokens of that length, both measured on labelled tokens that the models have not seen; it is never below 0.
 
 The samples of the query: secrets are random strings of several alphabets, made from hashes, and the values of the
-fixed patterns in the documents; ordinary are the words of documents without such values. They are bounded
-(``most_samples`` of each kind and ``most_texts``, by hash). The models are a table of fixed size, 128 * 128 numbers, that goes into the plan as one
-constant.
+fixed patterns in the documents; ordinary are the different words of documents without such values, and identifiers made from the
+words of a public tokenizer's vocabulary: several words in camel, snake and dotted form, as paths, hosts, constants and file names, with
+and without numbers, and dates and numbers alone. The threshold is measured on identifiers of other words than those the
+models have seen. Samples are bounded (``most_samples`` of each kind, ``most_texts`` by hash). The models are a table of
+fixed size, 128 * 128 numbers, that goes into the plan as one constant.
 
 Null and empty texts have no spans. No samples of a kind: that model is uniform. Repeated rows are scanned alike.
 """
@@ -22,6 +25,8 @@ Null and empty texts have no spans. No samples of a kind: that model is uniform.
 from __future__ import annotations
 
 import json
+import random
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,8 +96,10 @@ def fixed_spans(text: Column) -> dict[str, Column]:
 
 
 def folded(token: Column) -> Column:
-    """A token of capitals alone in lower case: it is compared with words as they are mostly written."""
-    return F.when(F.rlike(token, F.lit("[a-z0-9]")), token).otherwise(F.lower(token))
+    """A token with its parts between marks that have no small letter in lower case: they are compared with words as they are mostly written."""
+    parts = F.split(token, "(?<=[+/_=.-])|(?=[+/_=.-])")
+    small = F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit("[a-z]")), p).otherwise(F.lower(p))), "")
+    return F.when(F.rlike(token, F.lit("[A-Z]([^a-z]|$)")), small).otherwise(token)
 
 
 @dataclass
@@ -122,13 +129,13 @@ def ratio(token: Column, model: Column) -> Column:
 
 
 def train(samples: DataFrame, *, weight: float = 20.0, held: int = 4) -> Model:
-    """``samples``: token, secret (boolean). One in ``held`` ordinary tokens, by hash, is for the threshold alone.
+    """``samples``: token, secret (boolean), and it may be apart (boolean): ordinary tokens for the threshold alone; without that column one in ``held``, by hash.
 
     A transition's count is smoothed with ``weight`` times the share of its second character, which has one added.
     """
     alphabet = np.array([ord(c) for c in ALPHABET])
     known = samples.where(F.col("token").isNotNull() & F.col("secret").isNotNull())
-    apart = ~F.col("secret") & (F.pmod(F.xxhash64("token"), F.lit(held)) == 0)
+    apart = ~F.col("secret") & (F.coalesce("apart", F.lit(False)) if "apart" in samples.columns else F.pmod(F.xxhash64("token"), F.lit(held)) == 0)
     chars = F.transform(F.filter(F.split(folded(F.col("token")), ""), lambda c: c != ""), F.ascii)
     codes = known.where(~apart).select("secret", chars.alias("c"))
     steps = codes.where(F.size("c") > 1).select("secret", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * 128 + b)).alias("step"))
@@ -179,25 +186,65 @@ def random_strings(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.substring(token, F.lit(1), (F.lit(8) + F.pmod(F.xxhash64("id"), F.lit(33))).cast("int")).alias("token"))
 
 
-def samples_of(docs: DataFrame, *, most_samples: int = 5000, most_texts: int = 1000) -> DataFrame:
-    """Labelled samples: ``most_samples`` random strings, as many different values of fixed patterns, by hash, and the words of about ``most_texts`` documents without any."""
+def words_of(vocabulary: str) -> list[str]:
+    """The words of three letters and more of a byte-level vocabulary, those that it has with a blank before them."""
+    with open(vocabulary, encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    blank = "\u0120"  # how such vocabularies write it
+    return sorted(e[1:] for e in entries if e[0] == blank and len(e) > 3 and e[1:].isascii() and e[1:].isalpha())
+
+
+def identifier(words: list[str], r: random.Random) -> str:
+    """A name as programs, files and hosts have them, made from some of ``words``."""
+    some = [r.choice(words) for _ in range(r.choice((1, 2, 2, 3, 3, 4)))]
+    small, large = [w.lower() for w in some], [w.capitalize() for w in some]
+    joined = r.choice("_-./").join(small)
+    number = str(r.randrange(10 ** r.randint(1, 4)))
+    return r.choice((
+        small[0] + "".join(large[1:]), "".join(large), "".join(small), small[0][:3].upper() + "".join(large), joined, joined, joined.upper(), joined + number, joined + r.choice("_-./") + number,
+        ".".join(small) + r.choice((".com", ".org", ".net", ".example.com")), "/".join(small) + r.choice((".py", ".html", ".tar.gz", ".json", ".md")), some[0] + r.choice(("", "=", ".", "--")) + small[-1],
+        small[0].upper() + r.choice((".md", "-", "_", "/")) + small[-1], small[0][:2] + "_" + small[-1][:2].upper() + r.choice((".UTF-8", "")),
+        f"{r.randint(1980, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", str(r.randrange(10 ** r.randint(8, 19))),
+    ))
+
+
+def identifiers(spark: SparkSession, words: list[str], n: int, seed: int = 5) -> DataFrame:
+    """token, apart: ``n`` identifiers of three quarters of ``words``, and a third as many, apart, of the rest."""
+    r = random.Random(seed)
+    rest, most = [w for w in words if zlib.crc32(w.encode()) % 4 == 0], [w for w in words if zlib.crc32(w.encode()) % 4]
+    made = [(identifier(of, r), apart) for of, apart, k in ((most, False, n), (rest, True, n // 3)) if of for _ in range(k)]
+    return spark.createDataFrame(made, "token string, apart boolean")
+
+
+def public_vocabulary() -> str:
+    """The path of a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def samples_of(docs: DataFrame, vocabulary: str, *, most_samples: int = 8000, most_identifiers: int = 30_000, most_texts: int = 1000) -> DataFrame:
+    """Labelled samples (token, secret, apart): ``most_samples`` random strings, as many different values of fixed patterns, by hash, the different words of
+    about ``most_texts`` documents without any, and identifiers made from the words of ``vocabulary``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     any_fixed = reduce(Column.__or__, [_likely(k, text) & F.rlike(text, F.lit(p)) for k, p in {"assign": ASSIGN, **LONG}.items()])
     fixed = fixed_spans(F.col("text"))
     values = F.concat(F.transform(fixed["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), *(F.transform(fixed[k], lambda s: s["value"]) for k in LONG))
     secret = docs.select("text").where(any_fixed).select(F.explode(values).alias("token")).distinct()
     secret = secret.orderBy(F.xxhash64("token"), "token").limit(most_samples)
-    secret = secret.unionByName(random_strings(docs.sparkSession, most_samples)).withColumn("secret", F.lit(True))
+    secret = secret.unionByName(random_strings(docs.sparkSession, most_samples)).select("token", F.lit(True).alias("secret"), F.lit(False).alias("apart"))
     chance = most_texts / max(docs.count(), 1)
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"[A-Za-z0-9]{TOKEN}*[A-Za-z0-9]"), F.lit(0))
     few = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(chance * (1 << 20)) + 1)).where(~any_fixed)
-    return secret.unionByName(few.select(F.explode(words).alias("token"), F.lit(False).alias("secret")))
+    seen = few.select(F.explode(words).alias("token")).distinct().select("token", F.lit(False).alias("secret"), F.lit(False).alias("apart"))
+    named = identifiers(docs.sparkSession, words_of(vocabulary), most_identifiers).select("token", F.lit(False).alias("secret"), "apart")
+    return secret.unionByName(seen).unionByName(named)
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = scanned(docs, train(samples_of(docs)))
+    out = scanned(docs, train(samples_of(docs, public_vocabulary())), deviations=2.5)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "random")

@@ -1,7 +1,11 @@
 import hashlib
+import importlib.util
+import io
 import random
 import re
 import string
+import sys
+import tokenize
 
 import numpy as np
 
@@ -62,7 +66,7 @@ def test_odd_rows_and_empty_tables(spark):
 
 
 def plain_ratio(token, ratios):
-    token = token if re.search("[a-z0-9]", token) else token.lower()
+    token = "".join(p if re.search("[a-z]", p) else p.lower() for p in re.split("([+/_=.-])", token))
     return sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(token, token[1:], strict=False)) / (len(token) - 1)
 
 
@@ -96,6 +100,34 @@ def test_precision_and_recall_on_planted_keys(spark):
     assert len(letters) >= 0.9 * 20 * 7  # letters alone, from 8 characters
 
 
+def outside():
+    """Ordinary names that no sample has: those of the standard library and the words of a licence-like prose."""
+    names = set()
+    for module in sorted(sys.stdlib_module_names):
+        spec = None if module.startswith("_") or module in ("antigravity", "this") else importlib.util.find_spec(module)
+        if spec and spec.origin and spec.origin.endswith(".py"):
+            with open(spec.origin, encoding="utf-8", errors="ignore") as f:
+                names |= {t.string for t in tokenize.generate_tokens(io.StringIO(f.read()).readline) if t.type == tokenize.NAME}
+    return sorted(n for n in names if re.fullmatch(S.CANDIDATE, n))
+
+
+def test_identifiers_outside_the_samples_and_random_strings(spark):
+    docs = spark.createDataFrame([(i, fixtures.prose(i)) for i in range(200)], "doc_id long, text string")
+    m = S.train(S.samples_of(docs, S.public_vocabulary()))
+    names = outside()
+    assert len(names) > 3000
+    forms = ["mail2.example.com", "4111111111111111", "2024-11-05", "Keyboard", "Summarize", "expected", "markdown", "workspace", "src/components/chat/AnswerMarkdown.tsx", "BYTECODE_SUFFIXES", "user_name_2", "README.md", "HTMLInputElement", "internationalization"]
+    r = random.Random(6)
+    alphabets = [string.ascii_letters, string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    keys = {n: ["".join(r.choices(a, k=n)) for a in alphabets for _ in range(100)] for n in (12, 16, 20, 30, 40)}
+    rows = [(i, t) for i, t in enumerate([" ".join(names), " ".join(forms), *(" ".join(k) for k in keys.values())])]
+    got = {x["doc_id"]: [s["value"] for s in x["spans"] if s["kind"] == "random"] for x in S.scanned(spark.createDataFrame(rows, "doc_id long, text string"), m, deviations=2.5).collect()}
+    assert len(got[0]) < 0.01 * len(names), (len(got[0]), len(names), got[0][:20])
+    assert got[1] == []
+    for i, n in enumerate(keys):
+        assert len(got[2 + i]) >= (0.9 if n < 16 else 0.97) * len(keys[n]), (n, len(got[2 + i]))
+
+
 def test_running_sums(spark):
     from pyspark.sql import functions as F
 
