@@ -122,14 +122,21 @@ SELECT doc_id, CAST(len(list_filter(words, lambda w: length(w) > 6)) AS INT) AS
 
 
 def suggested(docs: DataFrame, limit: int = 4) -> DataFrame:
-    """doc_id, place (from 1), term, question: the most frequent terms of each document of ``docs`` (doc_id, text) as questions.
+    """doc_id, place (from 1), term, question: the terms that mark each document of ``docs`` (doc_id, lang, text) most, as questions.
 
-    Terms are four letters or more, by count and then by the alphabet. No documents, or none with terms: no rows.
+    Terms are runs of four letters or more of any script, in small letters. A term's weight is how often the document has it times the logarithm of the
+    documents of the language over those that have it, so that words that all have say nothing (weight 0) and stand last. By weight (nine places), then by
+    the term. No documents, or none with terms: no rows; a null language is one language; rows of equal doc_id are one document.
     """
-    terms = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("term"))
-    counts = terms.groupBy("doc_id", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))
-    best = counts.withColumn("place", place).where(F.col("place") <= limit)
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    terms = docs.select("doc_id", lang, F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
+    counts = terms.groupBy("doc_id", "lang", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+    having = counts.groupBy("lang", "term").agg(F.count("*").alias("having"))
+    whole = docs.select("doc_id", lang).distinct().groupBy("lang").agg(F.count("*").alias("docs"))
+    weighted = counts.join(having, ["lang", "term"]).join(whole, "lang")
+    weight = F.round(F.col("n") * F.log(F.col("docs") / F.col("having")), 9)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(weight.desc(), "term"))
+    best = weighted.withColumn("place", place).where(F.col("place") <= limit)
     return best.select("doc_id", "place", "term", F.concat(F.lit("What is said about "), "term", F.lit("?")).alias("question"))
 
 
@@ -138,8 +145,10 @@ def term_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggested(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-TERM_SUGGESTIONS_SQL = """
-WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS term FROM documents),
-n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS place FROM n)
+TERM_SUGGESTIONS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, lower(unnest(regexp_extract_all(text, '\p{L}{4,}'))) AS term FROM documents),
+n AS (SELECT doc_id, lang, term, count(*) AS n FROM t GROUP BY ALL),
+w AS (SELECT *, count(*) OVER (PARTITION BY lang, term) AS having_it FROM n),
+l AS (SELECT coalesce(lang, '') AS lang, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(n * ln(docs / having_it), 9) DESC, term) AS place FROM w JOIN l USING (lang))
 SELECT doc_id, CAST(place AS INT) AS place, term, 'What is said about ' || term || '?' AS question FROM r WHERE place <= 4"""

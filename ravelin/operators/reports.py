@@ -75,11 +75,6 @@ def html(answers: DataFrame, title: str = "Research Report") -> DataFrame:
     return answers.select("answer_id", page.alias("html"))
 
 
-def document_card(items: DataFrame) -> DataFrame:
-    """The text that is downloaded for a library item (filename, type, bytes, library_status)."""
-    return items.select("filename", F.format_string("Name: %s\nType: %s\nBytes: %d\nStatus: %s\n", "filename", "type", "bytes", "library_status").alias("card"))
-
-
 def pdf_bytes(lines: list[str]) -> bytes:
     """A PDF 1.4 file of lines that are escaped already: pages of ``LINES`` lines, each with its number, and the offsets of all objects."""
     pages = [lines[i : i + LINES] for i in range(0, max(len(lines), 1), LINES)]

@@ -84,13 +84,28 @@ SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_user,
   arg_max(text, turn) FILTER (role = 'assistant') AS last_assistant FROM conversations GROUP BY conv_id"""
 
 
+def transcripts(messages: DataFrame, *, block: int = 1024) -> DataFrame:
+    """conv_id, transcript (Markdown, messages numbered by turn), n_messages for each conversation of ``messages`` (conv_id, turn, role, text).
+
+    Messages are numbered and joined in blocks of ``block`` turns, and a conversation's blocks then, so that no group holds all messages of a long
+    one; its transcript is one value, as that is the result. Null roles and texts are empty; a null conv_id is one conversation; messages of equal turn are in the order of
+    role and text; those without a turn come first.
+    """
+    rows = messages.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")), (F.col("turn") - F.pmod("turn", F.lit(block))).alias("block"))
+    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    placed = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).withColumn("n", F.col("before") + F.row_number().over(within))
+    line = F.concat(F.lit("### "), F.col("n").cast("string"), F.lit(". "), F.initcap("role"), F.lit("\n\n"), F.col("text"))
+    joined = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("value")))), lambda x: x["value"]), "\n\n")
+    parts = placed.groupBy("conv_id", "block").agg(joined("n", line).alias("part"), F.count("*").alias("size"), F.min("n").alias("first"))
+    return parts.groupBy("conv_id").agg(joined("first", F.col("part")).alias("transcript"), F.sum("size").alias("n_messages"))
+
+
 def transcript_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one Markdown transcript with numbered messages."""
-    line = F.concat(F.lit("### "), F.col("n").cast("string"), F.lit(". "), F.initcap("role"), F.lit("\n\n"), F.col("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = _read(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).select("conv_id", "n", line.alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("transcript"), F.count("*").alias("n_messages"))
+    return transcripts(_read(spark, sf_dir, "conversations"))
 
 
 TRANSCRIPT_EXPORT_SQL = """

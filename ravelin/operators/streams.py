@@ -43,18 +43,25 @@ def classified(lines: DataFrame) -> DataFrame:
     return rows.select("_row.*", "kind", F.when(F.col("kind") == "token", added).alias("added"), F.when(F.col("kind") == "metadata", core).alias("metadata"))
 
 
-def folded(lines: DataFrame) -> DataFrame:
+def folded(lines: DataFrame, *, block: int = 1024) -> DataFrame:
     """request_id, text, n_tokens, and metadata: the keys of all its objects, the last value of each, as a map of JSON strings.
 
-    A line that was delivered twice (same request_id and seq) counts once.
+    A line that was delivered twice (same request_id and seq) counts once. Lines are folded in blocks of ``block`` seqs, and a request's
+    blocks then, so that the lines of a long stream never meet in one group; its text and the last values do, as they are its result.
     """
-    c = classified(lines.dropDuplicates(["request_id", "seq"]))
+    c = classified(lines.dropDuplicates(["request_id", "seq"])).withColumn("block", F.col("seq") - F.pmod("seq", F.lit(block)))
+    merge = lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(m, k)), m)
+    merged = lambda maps: F.aggregate(maps, F.create_map().cast("map<string,string>"), merge)
     pieces = F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("seq", "added"))))
     objects = F.array_sort(F.collect_list(F.when(F.col("kind") == "metadata", F.struct("seq", "metadata"))))
-    g = c.groupBy("request_id").agg(pieces.alias("p"), objects.alias("o"))
-    maps = F.transform("o", lambda x: F.from_json(x["metadata"], "map<string,string>"))
-    merge = lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(m, k)), m)
-    return g.select("request_id", F.array_join(F.transform("p", lambda x: x["added"]), "").alias("text"), F.size("p").alias("n_tokens"), F.aggregate(maps, F.create_map().cast("map<string,string>"), merge).alias("metadata"))
+    parts = c.groupBy("request_id", "block").agg(pieces.alias("p"), objects.alias("o")).select(
+        "request_id", "block", F.array_join(F.transform("p", lambda x: x["added"]), "").alias("text"), F.size("p").alias("n"), merged(F.transform("o", lambda x: F.from_json(x["metadata"], "map<string,string>"))).alias("metadata"),
+    )
+    # a map can't be sorted by, so blocks are put in order by their numbers alone
+    ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("block", F.to_json(name).alias("v")))), lambda x: F.from_json(x["v"], "map<string,string>"))
+    texts = F.array_sort(F.collect_list(F.struct("block", "text")))
+    g = parts.groupBy("request_id").agg(texts.alias("texts"), F.sum("n").cast("int").alias("n_tokens"), ordered("metadata").alias("maps"))
+    return g.select("request_id", F.array_join(F.transform("texts", lambda x: x["text"]), "").alias("text"), "n_tokens", merged(F.col("maps")).alias("metadata"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

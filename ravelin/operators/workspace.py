@@ -46,17 +46,18 @@ def _voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     names = F.array(*map(F.lit, ("Samantha", "Fred", "Google US English", "Ava (Premium)", "Anna", "Pipe Organ", "Daniel", "Thomas")))
     langs = F.array(*map(F.lit, ("en-US", "en-GB", "de-DE", "en-AU", "fr-FR")))
-    return p.select(F.pmod(k, F.lit(97)).alias("device"), k.alias("pos"), F.element_at(names, (k * 7 % 8 + 1).cast("int")).alias("name"), F.element_at(langs, (k * 3 % 5 + 1).cast("int")).alias("lang"))
+    name = F.when((k % 97 == 5) & (k > 300), "Pipe Organ").otherwise(F.element_at(names, (k * 7 % 8 + 1).cast("int")))
+    return p.select(F.pmod(k, F.lit(97)).alias("device"), k.alias("pos"), name.alias("name"), F.element_at(langs, (k * 3 % 5 + 1).cast("int")).alias("lang"))
 
 
 def voice_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16, O7 on voices made from part: a device for every 97th."""
-    return best_voice(_voices(spark, sf_dir).where("pos % 97 <> 5 or pos < 300"), "device")
+    return best_voice(_voices(spark, sf_dir), "device")
 
 
 VOICE_PICK_SQL = f"""
-WITH v AS (SELECT p_partkey % 97 AS device, p_partkey AS pos, (['Samantha', 'Fred', 'Google US English', 'Ava (Premium)', 'Anna', 'Pipe Organ', 'Daniel', 'Thomas'])[p_partkey * 7 % 8 + 1] AS name,
-    (['en-US', 'en-GB', 'de-DE', 'en-AU', 'fr-FR'])[p_partkey * 3 % 5 + 1] AS lang FROM part WHERE p_partkey % 97 <> 5 OR p_partkey < 300),
+WITH v AS (SELECT p_partkey % 97 AS device, p_partkey AS pos, CASE WHEN p_partkey % 97 = 5 AND p_partkey > 300 THEN 'Pipe Organ' ELSE (['Samantha', 'Fred', 'Google US English', 'Ava (Premium)', 'Anna', 'Pipe Organ', 'Daniel', 'Thomas'])[p_partkey * 7 % 8 + 1] END AS name,
+    (['en-US', 'en-GB', 'de-DE', 'en-AU', 'fr-FR'])[p_partkey * 3 % 5 + 1] AS lang FROM part),
 n AS (SELECT *, starts_with(lower(lang), 'en') AND NOT regexp_matches(lower(name), '{"|".join(NOVELTY)}') AS ok FROM v),
 r AS (SELECT *, CASE WHEN bool_or(ok) OVER (PARTITION BY device) AND NOT ok THEN 99 WHEN regexp_matches(lower(name), '{"|".join(BETTER)}') THEN 0
   WHEN contains(lower(name), 'samantha') THEN 1 WHEN contains(lower(name), 'google us english') THEN 3 WHEN contains(lower(name), 'daniel') THEN 4 WHEN contains(lower(name), 'ava') THEN 6

@@ -40,6 +40,11 @@ def test_last_match(spark):
 
 
 def test_suggestions(spark):
-    rows = spark.createDataFrame([(1, "Beta alpha beta, gamma delta omega abc"), (2, ""), (3, None)], "doc_id long, text string")
-    assert [(r["doc_id"], r["place"], r["term"]) for r in chunks.suggested(rows).orderBy("doc_id", "place").collect()] == [(1, 1, "beta"), (1, 2, "alpha"), (1, 3, "delta"), (1, 4, "gamma")]
+    docs = [(1, "en", "Beta alpha beta, which gamma delta omega abc"), (2, "en", "which alpha"), (3, "en", "which Tree"), (4, "de", "Größe größe über which"), (5, "de", "über"), (6, None, "only ones"), (7, "en", ""), (8, "en", None)]
+    rows = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    got = {}
+    for r in chunks.suggested(rows).orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append(r["term"])
+    # 1: beta twice; then what it alone has; alpha, which two of five have, is behind them. 6: what all documents of a language have, by the alphabet
+    assert got == {1: ["beta", "delta", "gamma", "omega"], 2: ["alpha", "which"], 3: ["tree", "which"], 4: ["größe", "which", "über"], 5: ["über"], 6: ["ones", "only"]}
     assert chunks.suggested(rows.limit(0)).count() == 0

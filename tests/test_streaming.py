@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from ravelin.functions import text
-from ravelin.operators import chunks, streams
+from ravelin.operators import chunks, sessions, streams
 from ravelin.streaming import stateful
 from tests.conftest import DATA
 
@@ -73,6 +73,19 @@ def test_answers_without_an_end_expire(spark, tmp_path):
     assert sorted(tuple(r)[:3] + (r["complete"],) for r in got) == [(1, "• a\n", 1, False), (2, "", 0, True), (3, "", 0, False), (4, "xlate\n", 2, True)]
 
 
+def test_long_streams_and_conversations_are_folded_in_blocks(spark):
+    r = random.Random(2)
+    rows = [(k, s, r.choice([f'data: {{"token": "t{s} "}}', f"plain {s}", ": keepalive", f'{{"citations": [{s}], "k{s % 3}": {s}}}'])) for k, n in ((1, 700), (2, 3), (None, 50)) for s in r.sample(range(3 * n), n)]
+    df = spark.createDataFrame(rows + rows[::7], LINES).repartition(5)
+    whole = {x["request_id"]: (x["text"], x["n_tokens"], x["metadata"]) for x in streams.folded(df, block=1 << 40).collect()}
+    assert {x["request_id"]: (x["text"], x["n_tokens"], x["metadata"]) for x in streams.folded(df, block=8).collect()} == whole and len(whole) == 3
+    said = [(k, t, role, f"text {t}") for k, n in ((1, 500), (None, 9)) for t in r.sample(range(4 * n), n) for role in ["user"]] + [(1, None, None, None)]
+    messages = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(5)
+    one = {x["conv_id"]: (x["transcript"], x["n_messages"]) for x in sessions.transcripts(messages, block=1 << 40).collect()}
+    assert {x["conv_id"]: (x["transcript"], x["n_messages"]) for x in sessions.transcripts(messages, block=4).collect()} == one
+    assert one[1][1] == 501 and one[1][0].startswith("### 1. \n\n\n\n### 2. User\n\ntext ") and one[None][0].count("### ") == 9
+
+
 def test_progress(spark, tmp_path):
     rows = [(1, 0, "parsing", 10.0, None), (1, 1, "error", 20.0, None), (1, 2, "embedding", 100.0, None), (1, 3, "ready", 100.0, None), (2, 0, "ready", 1.0, None), (2, 1, "ready", 2.0, None)]
     events = spark.createDataFrame(rows, "doc_id long, seq long, phase string, percent double, status string")
