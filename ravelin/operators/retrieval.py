@@ -1,8 +1,7 @@
 """Retrieval: exact vector top-k, BM25, rank fusion, neighbourhoods in a graph, and chunks of documents.
 
-Vector queries are taken in blocks of ``BLOCK``; a block goes to all tasks, which multiply it with the vectors of a
-batch and send on the best k of each query, so no join makes a row for each pair. A lexical query meets the documents
-that have one of its words. Per query only the best k of each part of the rows move on (two windows, the first salted).
+Vectors are read once, in groups that all queries pass by, so no join makes a row for each pair. A lexical query meets
+the documents that have one of its words. Per query only the best k of each part of the rows move on (two windows, the first salted).
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = r"\W+"
-#: Queries that are compared with a batch of vectors at a time.
-BLOCK = 2048
+#: What a text with a table has.
+TABLE = r"(?m)^\s*\|.*\|\s*$|<table|\S \| \S"
+#: Queries, and rows of a group, that are compared at a time.
+BLOCK, ROWS = 512, 4096
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,40 +46,58 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _best_of_group(names: np.ndarray, wanted: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row's id, score) of the ``k`` rows with the highest scores for each query, ties to the lesser id; ``ids`` ascend."""
+    found, near = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+    for at in range(0, len(ids), ROWS):
+        scores = np.round(wanted @ rows[at : at + ROWS].T, 6)
+        scores[names[:, None] == ids[at : at + ROWS]] = -2.0
+        # what was found before has lesser ids, so a stable order keeps ties right
+        found = np.concatenate([found, np.broadcast_to(ids[at : at + ROWS], scores.shape)], 1)
+        near = np.concatenate([near, scores], 1)
+        first = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        found, near = np.take_along_axis(found, first, 1), np.take_along_axis(near, first, 1)
+    some = near > -2
+    return np.broadcast_to(names[:, None], near.shape)[some], found[some], near[some] + 0.0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, group_rows: int = 1 << 17) -> DataFrame:
     """query_id, vec_id, score (cosine, six places), rank of the ``k`` of ``vectors`` (vec_id, embedding) nearest to each of ``queries``, itself aside.
 
-    All vectors have one width; rows with a null are left out.
+    All vectors have one width; rows with a null are left out. Rows are dealt into groups of about ``group_rows`` by a hash of their ids and every group
+    gets the queries, which come after its rows in a partition and pass by in blocks: the vectors are read and shuffled once, whatever the number of
+    queries, and a task holds one group and one block. Tasks send on the best ``k`` of each query.
     """
     spark = vectors.sparkSession
     vectors, queries = (x.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding") for x in (vectors, queries))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    out = []
-    for i in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()  # about BLOCK rows
-        if not asked.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding").combine_chunks())))
-
-        def of(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, wanted = sent.value
-            for b in batches:
-                if not b.num_rows:
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // group_rows), 1)
+    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("asks"), "vec_id", "embedding")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            group, asks = b.column("group").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((group[1:] != group[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                if start == end:
                     continue
-                b = b.sort_by("vec_id")  # of equal scores the least id comes first
-                ids = b.column("vec_id").to_numpy()
-                scores = np.round(wanted @ _matrix(b.column("embedding")).T, 6)
-                scores[names[:, None] == ids] = -2.0
-                best_ones = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.arange(len(names))[:, None]
-                near = scores[rows, best_ones].ravel()
-                kept = near > -2
-                yield pa.record_batch([pa.array(np.repeat(names, best_ones.shape[1])[kept]), pa.array(ids[best_ones].ravel()[kept]), pa.array(near[kept] + 0.0)], ["query_id", "vec_id", "score"])
-
-        out.append(vectors.mapInArrow(of, "query_id long, vec_id long, score double"))
-    if not out:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return best(reduce(DataFrame.unionByName, out), "query_id", "vec_id", k)
+                if group[start] != now:
+                    now, held = group[start], []
+                ids, rows = b.column("vec_id")[start:end].to_numpy(), _matrix(b.column("embedding")[start:end])
+                if not asks[start]:
+                    held.append((ids, rows))
+                    continue
+                if len(held) > 1 or (held and len(held[0]) == 2):  # the group is whole: its rows in the order of ids
+                    every = np.concatenate([x[0] for x in held])
+                    order = np.argsort(every, kind="stable")
+                    held = [(every[order], np.concatenate([x[1] for x in held])[order], None)]
+                for at in range(0, len(ids) if held else 0, BLOCK):
+                    out = _best_of_group(ids[at : at + BLOCK], rows[at : at + BLOCK], held[0][0], held[0][1], k)
+                    yield pa.record_batch([pa.array(x) for x in out], ["query_id", "vec_id", "score"])
+
+    both = dealt.unionByName(sent).repartitionById(groups, "group").sortWithinPartitions("group", "asks")
+    return best(both.mapInArrow(of, "query_id long, vec_id long, score double"), "query_id", "vec_id", k)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
@@ -146,10 +165,22 @@ def overlap(lists: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(tokens(F.col(c)))
     j = lists.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(words("asked"), words("body"))), F.size(words("asked"))), F.lit(0.0))
-    table = F.col("body").rlike(r"(?m)^\s*\|.*\|\s*$|<table|\S \| \S")
+    table = F.col("body").rlike(TABLE)
     return j.withColumn("score", F.round(share * F.when(table, 1.1).otherwise(1.0), 6)).drop("body", "asked")
 
 
+def reranked(lists: DataFrame, scores: DataFrame, docs: DataFrame, table_boost: float = 1.1) -> DataFrame:
+    """``lists`` (query_id, doc_id) with the score that a model gave each pair (``scores``: query_id, doc_id, score), more by ``table_boost`` for documents with a table.
+
+    Pairs without a score have 0. Of several scores of a pair the highest counts.
+    """
+    given = scores.groupBy("query_id", "doc_id").agg(F.max("score").alias("given"))
+    tables = docs.select("doc_id", F.col("text").rlike(TABLE).alias("table"))
+    j = lists.select("query_id", "doc_id").join(given, ["query_id", "doc_id"], "left").join(tables, "doc_id", "left")
+    boost = F.when(F.coalesce("table", F.lit(False)), table_boost).otherwise(1.0)
+    return j.select("query_id", "doc_id", F.round(F.coalesce("given", F.lit(0.0)) * boost, 6).alias("score"))
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3 of BM25 and of the reranked order of the same candidates."""
     docs, queries = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
