@@ -145,11 +145,30 @@ def developer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return developer_json(_answers(spark, sf_dir), "2024-05-06T00:00:00Z")
 
 
+DEVELOPER_EXPORT_SQL = r"""
+WITH d AS (SELECT doc_id AS k, source, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents)
+SELECT k AS answer_id, '{"export_version":"1.0.0","exported_at":"2024-05-06T00:00:00Z","query":' || to_json(CASE WHEN k % 4 > 0 THEN 'What of ' || source || '?' ELSE '' END) || ',"grounded_answer":' || to_json(t)
+  || ',"metadata":{"traceability_score":null,"quality_gate_decision":"' || CASE WHEN k % 7 > 0 THEN 'accept_with_warning' ELSE 'accept' END || '","execution_time_seconds":null,"routing_strategy":' || CASE WHEN k % 3 = 0 THEN '"hybrid"' ELSE 'null' END || '},"citations":['
+  || CASE WHEN k % 2 = 0 THEN '{"citation_index":' || k % 5 + 1 || ',"file":' || to_json(source || '.pdf') || ',"page":' || CASE WHEN k % 3 > 0 THEN CAST(k % 30 AS VARCHAR) ELSE 'null' END || ',"text":' || to_json(t) || ',"chunk_id":"","similarity":null}' ELSE '' END
+  || '],"verified_claims":[{"claim_id":"c' || k || '","text":"It grew.","supported":' || (k % 2 = 0) || ',"status":"' || CASE WHEN k % 2 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END || '"}]}' AS json FROM d"""
+
+
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K10."""
     return html(_answers(spark, sf_dir))
 
 
+#: Bold and code by the places of their marks.
+HTML_REPORT_SQL = r"""
+WITH d AS (SELECT doc_id AS k, source, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents),
+e AS (SELECT k, source, array_to_string(list_transform(string_split(t, ''), lambda c: CASE c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' WHEN '"' THEN '&quot;' WHEN chr(39) THEN '&#039;' ELSE c END), '') AS t FROM d),
+b AS (SELECT k, source, string_split(t, '**') AS b FROM e),
+c AS (SELECT k, source, string_split(array_to_string(list_transform(b, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN i = len(b) THEN '**' || x ELSE '<strong>' || x || '</strong>' END), ''), '`') AS c FROM b),
+f AS (SELECT k, source, array_to_string(list_transform(c, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN i = len(c) THEN '`' || x ELSE '<code>' || x || '</code>' END), '') AS t FROM c)
+SELECT k AS answer_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Research Report</title></head><body><h1>' || CASE WHEN k % 4 > 0 THEN 'What of ' || source || '?' ELSE '' END || '</h1><p>' || t || '</p><ol>'
+  || CASE WHEN k % 2 = 0 THEN '<li value="' || k % 5 + 1 || '">' || source || '.pdf' || CASE WHEN k % 3 > 0 THEN ', page ' || k % 30 ELSE '' END || '</li>' ELSE '' END || '</ol></body></html>' AS html FROM f"""
+
+
 def pdf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, pages and checksum of each file."""
     made = pdf(_answers(spark, sf_dir))

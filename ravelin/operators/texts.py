@@ -213,3 +213,11 @@ def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Escaped text in lines of 80; the sum of the lines' lengths and blanks is that of the words."""
     d = _documents(spark, sf_dir)
     return d.select("doc_id", F.posexplode(text.wrapped(text.pdf_escaped(F.col("text")), 80)).alias("line", "content"))
+
+
+#: Characters one by one, and words put on the last line as long as it is short enough.
+WORD_WRAP_SQL = r"""
+WITH e AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('\', '(', ')') THEN '\' || c WHEN ord(c) BETWEEN 32 AND 126 THEN c ELSE coalesce(CAST(map_extract_value(MAP {"""  + ", ".join(f"'{a}': '{b.replace(chr(39), chr(39) * 2)}'" for a, b in text.PDF_FOLDS) + r"""}, c) AS VARCHAR), ' ') END), '') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM e),
+l AS (SELECT doc_id, string_split(CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w, lambda a, x: a || CASE WHEN length(split_part(a, chr(10), -1)) + 1 + length(x) <= 80 THEN ' ' ELSE chr(10) END || x) END, chr(10)) AS l FROM w)
+SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line, unnest(l) AS content FROM l"""
