@@ -128,16 +128,19 @@ def citation_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(_raw(spark, sf_dir))
 
 
+#: The raw citations as the generator makes them; name, page, index and the rest are read from their fields.
 CITATION_NORMALIZE_SQL = r"""
 WITH r AS (SELECT doc_id AS k, CAST(doc_id % 9 + 1 AS INT) AS position, (['object', 'string', NULL, 'object'])[doc_id % 4 + 1] AS kind, source, text FROM documents),
-a AS (SELECT *, coalesce(kind, 'null') = 'object' AS obj, coalesce(CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN k % 5 END, CASE WHEN k % 3 = 1 AND k % 7 > 0 THEN k % 7 END, position) AS oi FROM r),
-b AS (SELECT *, CASE WHEN obj THEN oi ELSE position END AS idx,
-  CASE WHEN obj THEN trim(CASE WHEN k % 8 > 3 THEN 'f' || k || '.pdf' ELSE 'meta-' || source END) WHEN kind = 'string' THEN 'File ' || k || '.pdf' ELSE 'Audited Document' END AS file,
-  CASE WHEN k % 5 > 0 AND k % 40 > 0 THEN k % 40 END AS c, CASE WHEN k % 16 = 0 AND k % 12 > 0 THEN k % 12 END AS f FROM a)
-SELECT k AS answer_id, position, CAST(idx AS INT) AS out_index, CASE WHEN obj THEN CASE WHEN k % 5 > 0 THEN 'doc_p0' || k % 40 || '_c' ELSE 'chk-' || idx END ELSE 'cit-' || position END AS out_chunk,
-  file AS out_document, file AS out_file, CAST(CASE WHEN obj THEN coalesce(CASE WHEN c > 1 THEN c END, CASE WHEN f > 1 THEN f END, c, f) WHEN kind = 'string' THEN nullif(k % 30, 0) END AS INT) AS out_page, '' AS out_heading,
-  CASE WHEN obj THEN CASE WHEN k % 6 = 0 THEN source || ' ' || text ELSE text END ELSE '' END AS out_text,
-  CASE WHEN obj THEN CASE WHEN k % 10 > 0 THEN (k % 100) / 100.0::DOUBLE ELSE 0.9::DOUBLE END WHEN kind = 'string' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS out_similarity FROM b"""
+w AS (SELECT k, position, kind, CASE WHEN kind = 'string' THEN ' File ' || k || '.pdf (Page ' || k % 30 || ') ' END AS raw, CASE WHEN kind = 'object' AND k % 3 = 0 THEN k % 5 END AS citation_index, CASE WHEN kind = 'object' AND k % 3 = 1 THEN k % 7 END AS index,
+  CASE WHEN kind = 'object' AND k % 5 > 0 THEN 'doc_p0' || k % 40 || '_c' END AS chunk_id, CASE WHEN k % 2 = 0 THEN '' END AS pdf_filename, CASE WHEN k % 8 > 3 THEN ' f' || k || '.pdf ' END AS filename, CASE WHEN k % 16 = 0 THEN CAST(k % 12 AS VARCHAR) END AS page,
+  CASE WHEN k % 6 = 0 THEN '' ELSE text END AS plain_text, source || ' ' || text AS snippet, CASE WHEN k % 10 > 0 THEN (k % 100) / 100.0::DOUBLE END AS similarity, 'meta-' || source AS meta FROM r),
+n AS (SELECT *, coalesce(kind = 'object', false) AS obj, list_filter([citation_index, index, position], lambda x: x > 0)[1] AS own_index,
+  list_filter([trim(pdf_filename), trim(filename), trim(meta)], lambda x: x <> '')[1] AS own_name, try_cast(split_part(split_part(chunk_id, '_p', 2), '_', 1) AS INT) AS chunk_page, try_cast(page AS INT) AS field_page,
+  split_part(trim(raw), ' (', 1) AS said_name, try_cast(split_part(split_part(raw, '(Page ', 2), ')', 1) AS INT) AS said_page FROM w),
+p AS (SELECT *, list_filter([chunk_page, field_page], lambda x: x > 0) AS pages, CASE WHEN obj THEN own_index ELSE position END AS idx, CASE WHEN obj THEN own_name WHEN kind = 'string' THEN said_name ELSE 'Audited Document' END AS name FROM n)
+SELECT k AS answer_id, position, CAST(idx AS INT) AS out_index, CASE WHEN NOT obj THEN 'cit-' || position ELSE coalesce(chunk_id, 'chk-' || idx) END AS out_chunk, name AS out_document, name AS out_file,
+  CAST(CASE WHEN obj THEN coalesce(list_filter(pages, lambda x: x > 1)[1], pages[1]) WHEN kind = 'string' AND said_page > 0 THEN said_page END AS INT) AS out_page, '' AS out_heading,
+  CASE WHEN NOT obj THEN '' WHEN plain_text <> '' THEN plain_text ELSE snippet END AS out_text, CASE WHEN obj THEN coalesce(similarity, 0.9::DOUBLE) WHEN kind = 'string' THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS out_similarity FROM p"""
 
 
 def markers(answers: DataFrame) -> DataFrame:
