@@ -36,7 +36,8 @@ from ravelin.llm.shared import packed, stored, table
 
 WINDOW = 32
 STEP = WINDOW // 2
-RANK = 192
+#: Dimensions of the latent space of a block of up to ``RANK_WORDS`` words; more by the root of the words.
+RANK, RANK_WORDS = 192, 1 << 14
 ANSWERS = 6
 SHORT = 5
 #: Terms counted in a dense table of a piece's passages, the most frequent of the benchmark; the rest are gathered one by one.
@@ -64,6 +65,11 @@ class Block:
         self.order = np.argsort(self.terms)
         self.sorted = self.terms[self.order]
 
+    @property
+    def rank(self) -> int:
+        """Dimensions of the latent space: more words need more to be told apart."""
+        return int(RANK * max(1.0, sum(map(len, self.words)) / RANK_WORDS) ** 0.5)
+
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The number of the term of each hash, -1 if it is no term."""
         n = self.look[(h & self.low).astype(np.int64)]
@@ -128,8 +134,8 @@ def windows(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, np.minimum(a + 1, np.repeat(edges[1:] - 1, count))
 
 
-def gaussian(n: int, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n, RANK)).astype(np.float32)
+def gaussian(n: int, rank: int, seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((n, rank)).astype(np.float32)
 
 
 def energy(numbers: np.ndarray, first: np.ndarray, test: np.ndarray, z: np.ndarray) -> None:
@@ -167,14 +173,14 @@ def latent(z: np.ndarray, test: np.ndarray) -> np.ndarray:
 
 def corpus_statistics(docs: DataFrame, block: Block) -> tuple[np.ndarray, int, np.ndarray]:
     """(occurrences of each term, words, A'(A test)) of all documents."""
-    t = len(block.terms)
+    t, rank = len(block.terms), block.rank
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(block)
     per = 256  # terms in a row of what tasks give
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, test = sent.value, gaussian(t)
-        z, seen, words = np.zeros((t, RANK)), np.zeros(t, np.int64), 0
+        b, test = sent.value, gaussian(t, rank)
+        z, seen, words = np.zeros((t, rank)), np.zeros(t, np.int64), 0
         for batch in batches:
             for _, _, data, off in V.pieces(batch.column(0), PIECE):
                 h, first = words_of(data, off)
@@ -197,9 +203,9 @@ def corpus_statistics(docs: DataFrame, block: Block) -> tuple[np.ndarray, int, n
     half = salted.groupBy("part", "salt").applyInArrow(add, "part int, sums binary, salt int")
     got = half.drop("salt").groupBy("part").applyInArrow(add, "part int, sums binary").orderBy("part").toArrow()
     if not got.num_rows:
-        return np.zeros(t, np.int64), 0, np.zeros((t, RANK))
-    both = np.concatenate([np.frombuffer(x.as_buffer()).reshape(-1, RANK + 2) for x in got.column("sums")])
-    return both[:, RANK].astype(np.int64), int(both[0, RANK + 1]), both[:, :RANK]
+        return np.zeros(t, np.int64), 0, np.zeros((t, rank))
+    both = np.concatenate([np.frombuffer(x.as_buffer()).reshape(-1, rank + 2) for x in got.column("sums")])
+    return both[:, rank].astype(np.int64), int(both[0, rank + 1]), both[:, :rank]
 
 
 def near_passages(numbers: np.ndarray, half: np.ndarray, count: int, x: np.ndarray, y: np.ndarray, rows: np.ndarray, target: np.ndarray, size: np.ndarray, other: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +288,7 @@ def share_found(around: np.ndarray, words: np.ndarray, answers: np.ndarray, lcs:
     return share if share >= lcs else 0.0
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.5, lcs: float = 0.6, answer: float = 0.6, block_words: int = 1 << 16) -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.36, lcs: float = 0.6, answer: float = 0.6, block_words: int = 1 << 16) -> DataFrame:
     """doc_id, item_id, cosine, lcs (both of the best passage) for each document and item that match.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text.
@@ -304,11 +310,11 @@ def _matched_block(docs: DataFrame, block: Block, cosine: float, lcs: float, ans
     if not t:
         return docs.sparkSession.createDataFrame([], MATCHES)
     seen, words, z = corpus_statistics(docs, block)
-    test = gaussian(t)
+    test = gaussian(t, block.rank)
     idf = np.log((1 + words) / (1 + seen))
     edges = np.concatenate([[0], np.cumsum([len(w) for w in block.words])]).astype(np.int64)
     numbers = np.concatenate(block.words) if block.words else np.zeros(0, np.int64)
-    own = np.zeros((t, RANK))
+    own = np.zeros((t, block.rank))
     energy(numbers, edges, test, own)
     # counts become TF-IDF: A D has D A'A D, and A'(A D)(D^-1 test) is what was summed; D^-1 test is the test matrix then
     z, own = idf[:, None] * z, idf[:, None] * own

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ravelin.llm import decontamination as D
 from tests.llm import fixtures
@@ -91,6 +92,26 @@ def test_all_documents_and_items_by_brute_force(spark):
         assert lcs(w, by_id[d]) >= share * len(w) - 1e-9 and share >= (0.6 if len(w) >= D.SHORT else 1)
 
 
+def test_recall_in_a_full_block(spark):
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(20_000)]
+    weights = [1 / (i + 10) for i in range(20_000)]
+    items = [(i, r.choices(words, weights, k=32)) for i in range(2000)]  # 64,000 words: nearly one block of 65,536
+    docs, wanted = [], set()
+    for i in range(160):
+        own = items[i * 12][1]
+        kept = set(r.sample(range(32), 20))
+        quote = [w if j in kept else f"other{r.random()}" for j, w in enumerate(own)]
+        docs.append((i, " ".join([*r.choices(words, weights, k=r.randint(0, 70)), *quote, *r.choices(words, weights, k=r.randint(0, 70))])))
+        wanted.add((i, i * 12))
+    docs += [(1000 + i, " ".join(r.choices(words, weights, k=250))) for i in range(500)]
+    found = D.matched(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), answer=0.0).collect()
+    got = {(x["doc_id"], x["item_id"]) for x in found}
+    assert len(got & wanted) >= 0.9 * len(wanted), len(got & wanted)
+    assert not any(d >= 1000 for d, _ in got)
+    assert D.block_of(list(range(2000)), pa.array([" ".join(w) for _, w in items])).rank > 1.9 * D.RANK
+
+
 def test_terms_that_share_their_low_bits():
     h = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) | np.uint64(0)
     h[:50] = (h[:50] >> np.uint64(40) << np.uint64(40)) + np.uint64(7)
