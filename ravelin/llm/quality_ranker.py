@@ -148,14 +148,15 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 20_000, **
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_labelled)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_labelled rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # most_labelled ids at most
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(of, "doc_id long, quality int, x array<double>").toArrow()
+    every = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(of, "doc_id long, quality int, x array<double>")
+    got = every.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()  # most_labelled rows at most: of documents with one id, that with the least features
     got = got.sort_by("doc_id")  # the order of the rows does not depend on the tasks
     x = got.column("x").combine_chunks().values.to_numpy().reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
     return fit(x, got.column("quality").to_numpy() == 1, **options)

@@ -67,3 +67,12 @@ def plain_features(text):
 def test_features_are_those_of_a_plain_scan():
     texts = ["", "a", "A b. C! a b. c a b", "x\ny\n\n y  \t z", "é ÉÈ 😀 wörd", "$$$ ### a_b {x} \x01", *(fixtures.prose(i) for i in range(5)), fixtures.prose(9) * 40]
     assert np.allclose(Q.features(pa.array(texts)), [plain_features(t) for t in texts])
+
+
+def test_an_id_that_many_documents_have_is_learned_from_once(spark):
+    docs = fixtures.rows(60) + [(3, fixtures.prose(900 + i), "en", "s", None) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    few = [r for r in docs if r[0] != 3]
+    same = Q.train(spark.createDataFrame(docs, fixtures.SCHEMA), labels)
+    again = Q.train(spark.createDataFrame(docs[::-1], fixtures.SCHEMA).repartition(5), labels)
+    assert np.allclose(same.weights, again.weights) and len(few) == 59
