@@ -18,7 +18,7 @@ these, tasks keep k for each query before they come together. The vectors are sh
 group. A group that is lost is made again from the input.
 
 Vectors that are null, zero or hold null or non-finite components take no part; nor do vectors of another width than
-that of the row with the least id. Among equal vectors only the k + 1 with the least ids can be among the k nearest of a
+most rows have (of widths that equally many have, the greatest). Among equal vectors only the k + 1 with the least ids can be among the k nearest of a
 query, itself aside, so a vector that a third of all rows have costs each group no more than that. Rows with the
 query's id are its own rows. Null ids are the greatest id; a query with null id is left out. Queries that are equal rows
 are one query, those of equal id and different vectors have their own k rows each. An empty table gives no rows. Other
@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, bound: float
     """query_id, rank, vec_id, score: the ``k`` rows of ``vectors`` (vec_id, embedding) nearest to each of ``queries``, Euclidean."""
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col("embedding"))).select(F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), "embedding")
-    first = rows.orderBy("vec_id", "embedding").select(F.size("embedding").alias("width")).limit(1).collect()
+    first = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     kind = vectors.schema["embedding"].dataType.simpleString()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not first:
@@ -201,7 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, bound: float
     ids, x = drawn.column("vec_id").to_numpy(), matrix(drawn.column("embedding").combine_chunks())
     centre, turn = x.astype(np.float64).mean(0), rotation(width, seed)
 
-    n = rows.count()
+    n = first[0]["count"]
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * width * 4 / (group_mb * 1e6)))
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)).cast("int").alias("group"), "vec_id", F.lit(0).cast("long").alias("key"), "embedding", F.lit(None).cast("double").alias("limit"))
     asked = asked.mapInArrow(partial(_limits, ids=ids, x=x, k=k), f"vec_id long, key long, embedding {kind}, limit double")

@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="ravelin-")
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)  # without a scheme it is on the default file system, for Spark and for tasks
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

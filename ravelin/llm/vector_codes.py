@@ -17,8 +17,8 @@ of a part's width; their sums are that many rows for the whole table, which the
 Codebooks (a few kilobytes) go to the tasks with the code. A lost executor costs its tasks of the round.
 
 Rows without a vector, or with a component that is null, not finite or 2**60 or more in magnitude, are left out; so are
-vectors whose width is no positive multiple of ``parts`` or is another than that of the first row in the order of ids.
-Null ids come last in that order, rows of equal id in the order of their vectors; repeated rows count as often as they
+vectors whose width is no positive multiple of ``parts`` or is another than most of the others have (of widths that
+equally many have, the greatest). Null ids come last in the order of ids, rows of equal id in the order of their vectors; repeated rows count as often as they
 stand. With fewer rows than ``entries`` the codebooks are that much shorter. A squared distance that does not fit into
 a long is null. An empty table gives no rows.
 """
@@ -138,7 +138,7 @@ def _coded(batches: Iterator[pa.RecordBatch], codebooks: Codebooks, scale: int)
 def kept(vectors: DataFrame, *, parts: int = 8) -> DataFrame:
     """The rows of ``vectors`` that take part, those of one width."""
     rows = vectors.where(usable(F.col("embedding"), parts))
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").select(F.size("embedding").alias("width")).limit(1).collect()
+    first = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     return rows.where(F.size("embedding") == (first[0]["width"] if first else 0))
 
 
