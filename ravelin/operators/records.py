@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import text
+from ravelin.sources import readers
 
 # Gigabytes of disk and memory of a model by a part of its name, and of all others.
 MODEL_SIZES = (("3b", 2.0, 4.0), ("7b", 4.7, 8.0), ("", 4.9, 16.0))
@@ -90,3 +91,14 @@ def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 SESSION_IDS_SQL = """
 WITH h AS (SELECT conv_id, turn, md5(conv_id || chr(31) || turn) AS h FROM conversations)
 SELECT conv_id, turn, h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-' || ('89ab')[(position(h[17] IN '0123456789abcdef') - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS id FROM h"""
+
+
+def table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that can be asked, as views: name, columns, rows."""
+    found = readers.views(spark, sf_dir)
+    return spark.sql(" UNION ALL ".join(f"SELECT '{name}' AS name, '{' '.join(sorted(df.columns))}' AS columns, count(*) AS n_rows FROM {name}" for name, df in found.items()))
+
+
+TABLE_LIST_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, (SELECT string_agg(column_name, ' ' ORDER BY column_name) FROM (DESCRIBE {name})) AS columns, (SELECT count(*) FROM {name}) AS n_rows" for name in readers.TABLES
+)

@@ -27,7 +27,7 @@ QUERIES = {
     "ravelin.operators.inline": ("inline_parts",),
     "ravelin.operators.scans": ("scanned_documents",),
     "ravelin.operators.logs": ("saved_configs",),
-    "ravelin.operators.records": ("document_links", "metadata_cards", "listed_models", "session_ids"),
+    "ravelin.operators.records": ("document_links", "metadata_cards", "listed_models", "session_ids", "table_list"),
     "ravelin.operators.service": ("reply_synthesis", "citation_fallback", "citation_tokens", "query_requests", "query_problems", "error_kinds", "upload_reports", "session_list", "stored_items", "saved_settings", "model_list", "pull_progress", "abort_ids", "drawer_actions", "archive_moves", "snapshot_kept", "latest_status", "persistence", "link_purge", "delete_guard", "name_matches", "suggestion_lists", "display_labels", "device_labels"),
 }
 

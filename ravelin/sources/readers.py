@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,18 @@ SCHEMAS = {
 DEFAULTS = {"citation": {"heading": "", "plain_text": "", "similarity": 0.0}, "document": {"pages": 0, "size_mb": 0.0, "chunks_count": 0, "status": "ready"}, "query_request": {"hops": 2, "top_k": 4, "mode": "fast"}}
 
 
+#: The tables that a folder may have.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def views(spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+    """The tables of a folder by name, each also a temporary view of that name, so that SQL can be run on them."""
+    found = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+    return found
+
+
 def json_rows(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """Lines of JSON as an entity's columns with defaults; ``corrupt`` has a line that is no such object."""
     raw = spark.read.schema(f"{SCHEMAS[entity]}, corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
