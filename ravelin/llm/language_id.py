@@ -10,7 +10,8 @@ prediction counts as rejected.
 As the layer is linear, averaging and layer are one table (bucket, language) when texts are predicted: every subword
 of the whole text is looked up in it.
 
-Null texts and texts without a letter are ``und`` with score 0, as is every text if there is no labelled document.
+Null texts and texts without a letter are ``und`` with score 0, as is every text if there is no labelled document. Own
+columns named lang_pred, score or accepted are replaced. Of more than ``most_labelled`` languages the most frequent are learned.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ strengths of the labelled documents, and the score puts that quantile at ``cut``
 
 Labels are learned from a bounded sample of labelled rows (``most_labelled``, taken by the hash of doc_id);
 every document is scored by its whole text. Null and empty texts have the features of an empty text. Without
-both labels in the sample there are no pairs: the weights are 0 and every score is 0.5.
+both labels in the sample there are no pairs: the weights are 0 and every score is 0.5. An own column with the name
+quality_score is replaced. Of documents with one id that with the least features is learned from; all are scored.
 """
 
 from __future__ import annotations
