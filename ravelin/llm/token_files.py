@@ -36,8 +36,9 @@ from ravelin.llm import vectext as V
 from ravelin.llm.shared import drop_path, new_path, open_fs, stored, table
 
 MAGIC = b"RVLN\x01\0\0\0"
-#: Words, and bytes of words, whose ids a worker keeps, twice over; what is not among them is encoded again.
-MEMO, MEMO_BYTES = 500_000, 16 << 20
+#: Words, and bytes of words, whose ids a worker keeps, twice over; what is not among them is encoded again. A word is kept when it
+#: comes a second time, by the bits of a table of ``SEEN`` bytes.
+MEMO, MEMO_BYTES, SEEN = 500_000, 24 << 20, 1 << 21
 #: Two texts on either side of such a place are encoded as they are alone: a blank or a single line feed between characters that are no white space.
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: For each control byte, the bytes of its four ids.
@@ -92,6 +93,7 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the words in young
+        self.seen = bytearray(SEEN)
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,36 +113,45 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Words without a mark are those after a blank, those with a line feed at the start follow it, those with a zero begin a text."""
-        new = []
-        self.held += sum(map(len, words))
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words: those without a mark are those after a blank, those with a line feed at the start follow it, those with a zero begin a text."""
+        out, new = {}, []
         for w in words:
             ids = self.old.get(w)
             if ids is None:
                 new.append(w)
             else:
-                self.young[w] = ids
+                out[w] = ids
+        again = set(out)
         plain = [w for w in new if w[0] not in "\n\0"]
-        self.young.update(zip(plain, self.after_blanks(plain), strict=True))
+        out.update(zip(plain, self.after_blanks(plain), strict=True))
         first = [w for w in new if w[0] in "\n\0"]
         feed = self.alone(["\n"])[0]
         for w, ids in zip(first, self.alone([w[1:] for w in first]), strict=True):
-            self.young[w] = feed + ids if w[0] == "\n" else ids
+            out[w] = feed + ids if w[0] == "\n" else ids
+        for w in new:
+            at = hash(w) % (8 * SEEN)
+            if self.seen[at >> 3] >> (at & 7) & 1:
+                again.add(w)
+            else:
+                self.seen[at >> 3] |= 1 << (at & 7)
+        self.young.update((w, out[w]) for w in again)
+        self.held += sum(map(len, again))
+        return out
 
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.young) > MEMO or self.held > MEMO_BYTES:
-            self.young, self.old, self.held = {}, self.young, 0
+            self.young, self.old, self.held, self.seen = {}, self.young, 0, bytearray(SEEN)
         words: list[list[str] | None] = []
         for x in texts:
             words.append(("\0" + x).replace("\n", " \n").split(" ") if _plain(x) else None)
         get = self.young.get
         ids = [x and list(map(get, x)) for x in words]
         gaps = [y and None in y and [i for i, k in enumerate(y) if k is None] for y in ids]
-        self.learn({x[i] for x, g in zip(words, gaps, strict=True) if g for i in g})
+        found = self.learned({x[i] for x, g in zip(words, gaps, strict=True) if g for i in g})
         for x, y, g in zip(words, ids, gaps, strict=True):
             for i in g or ():
-                y[i] = get(x[i])
+                y[i] = found[x[i]]
         odd = [_CUT.split(x) if x and y is None else [] for x, y in zip(texts, words, strict=True)]
         parts = iter(self.alone([p for x in odd for p in x]))
         return [b"".join([*(y or [next(parts) for _ in o]), end]) for y, o in zip(ids, odd, strict=True)]
