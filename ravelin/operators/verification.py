@@ -14,7 +14,7 @@ def claims(answers: DataFrame, citations: DataFrame, overlap: float = 0.5) -> Da
     CITATION_INVALID if an index has no citation; NUMERICAL_MISMATCH if a number is in no cited text; without a
     citation UNSUPPORTED; else SUPPORTED if ``overlap`` of the claim's words are in the cited texts, else UNSUPPORTED.
     """
-    said = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    said = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     c = answers.select("answer_id", F.posexplode(said).alias("claim", "text"))
     marks = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), F.lit(1))), lambda n: n.cast("int"))
     plain = F.regexp_replace("text", r"\[\d+\]", " ")
