@@ -1,4 +1,4 @@
-"""Event time: tumbling, sliding and session windows, and points in intervals.
+"""Event time: tumbling, sliding and session windows, points in intervals as pairs, and sums over such pairs without them.
 
 ``tumbling``, ``sliding`` and ``sessions`` are one grouping each and run on tables and, behind a watermark, on streams
 (``ravelin.streaming.event_time``). ``table_sessions`` gives the rows of ``sessions`` for a table in which one key may have a
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.operators.ordered import positioned
 from ravelin.sources.tables import written
 
 SECOND = 1_000_000
@@ -46,13 +47,13 @@ def sessions(events: DataFrame, gap: str, key: str, *, at: str = "ts", value: st
 
 def _islands(gap: int):
     """For mapInArrow over rows in order of key and time: the sessions of a partition, the first and the last marked."""
-    names = ["_part", "_seq", "_hash", "key", "first", "last", "n", "total", "least", "most"]
+    names = ["_part", "_seq", "_hash", "key", "first", "last", "n", "known", "total", "least", "most"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seq = None, 0  # the session that the next batch may go on with
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int64(), pa.int64(), kind, *[pa.int64()] * 6]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), kind, *[pa.int64()] * 7]
             return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
         for b in batches:
@@ -67,10 +68,10 @@ def _islands(gap: int):
             total, least, most, some = np.add.reduceat(here, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.add.reduceat(known.astype(np.int64), starts)
             part, rows = b.column("_part")[0].as_py(), []
             for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
-                now = [part, seq, int(keys[s]), b.column("key")[int(s)].as_py(), int(at[s]), int(at[e - 1]), int(e - s), *((int(total[i]), int(least[i]), int(most[i])) if some[i] else (None, None, None))]
+                now = [part, seq, int(keys[s]), b.column("key")[int(s)].as_py(), int(at[s]), int(at[e - 1]), int(e - s), int(some[i]), *((int(total[i]), int(least[i]), int(most[i])) if some[i] else (None, None, None))]
                 if held is not None and held[2] == now[2] and now[4] - held[5] <= gap:
-                    held[5], held[6] = now[5], held[6] + now[6]
-                    held[7:] = [f([x for x in pair if x is not None], default=None) if f is not sum else (None if pair == (None, None) else sum(x or 0 for x in pair)) for f, pair in zip((sum, min, max), zip(held[7:], now[7:], strict=True), strict=True)]
+                    held[5], held[6], held[7] = now[5], held[6] + now[6], held[7] + now[7]
+                    held[8:] = [f([x for x in pair if x is not None], default=None) if f is not sum else (None if pair == (None, None) else sum(x or 0 for x in pair)) for f, pair in zip((sum, min, max), zip(held[8:], now[8:], strict=True), strict=True)]
                 else:
                     if held is not None:
                         rows.append(tuple(held))
@@ -84,16 +85,17 @@ def _islands(gap: int):
     return of
 
 
-def table_sessions(events: DataFrame, gap: int, key: str, *, at: str = "ts", value: str = "cents") -> DataFrame:
+def table_sessions(events: DataFrame, gap: int, key: str, *, at: str = "ts", value: str = "cents", known: bool = False) -> DataFrame:
     """The rows of ``sessions`` for a table, whatever share of it a key has: ``key``, first, last (microseconds), n, total, least, most. ``gap`` is in microseconds.
 
-    A null key is one key; events without a time are in no session; null values are not added. Keys are told apart by a 64-bit hash. No rows: none.
+    A null key is one key; events without a time are in no session; null values are not added, and ``known``, if asked for, counts the others. Keys are told apart by a 64-bit hash. No rows: none.
     """
     spark, kind = events.sparkSession, events.schema[key].dataType.simpleString()
     rows = events.where(F.col(at).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(key).alias("_hash"), micros(at).alias("at"), F.col(value).cast("long").alias("value"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = rows.repartitionByRange(n, "_hash", "at").sortWithinPartitions("_hash", "at").withColumn("_part", F.spark_partition_id())
-    found = written(ranged.mapInArrow(_islands(gap), f"_part int, _seq long, _hash long, key {kind}, first long, last long, n long, total long, least long, most long"), "sessions")
+    found = written(ranged.mapInArrow(_islands(gap), f"_part int, _seq long, _hash long, key {kind}, first long, last long, n long, known long, total long, least long, most long"), "sessions")
+    counts = ["n", *(["known"] if known else [])]
     edge = found.groupBy("_part").agg(F.min_by(F.struct("_hash", "first", "last"), "_seq").alias("head"), F.max_by(F.struct("_hash", "first", "last"), "_seq").alias("tail"), F.max("_seq").alias("size"))
     root, tail, links = None, None, []
     for r in sorted(edge.collect(), key=lambda r: r["_part"]):  # a row for each partition
@@ -104,11 +106,11 @@ def table_sessions(events: DataFrame, gap: int, key: str, *, at: str = "ts", val
             root = (r["_part"], r["size"])
         tail = r["tail"]
     if not links:
-        return found.select(F.col("key").alias(key), "first", "last", "n", "total", "least", "most")
+        return found.select(F.col("key").alias(key), "first", "last", *counts, "total", "least", "most")
     to = spark.createDataFrame(links, "_part int, _seq long, to_part int, to_seq long")  # at most one for each partition
     joined = found.join(F.broadcast(to), ["_part", "_seq"], "left")
     ids = joined.withColumns({"_part": F.coalesce("to_part", "_part"), "_seq": F.coalesce("to_seq", "_seq")})
-    whole = ids.groupBy("_part", "_seq").agg(F.first("key").alias(key), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+    whole = ids.groupBy("_part", "_seq").agg(F.first("key").alias(key), F.min("first").alias("first"), F.max("last").alias("last"), *(F.sum(c).alias(c) for c in counts), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
     return whole.drop("_part", "_seq")
 
 
@@ -143,6 +145,47 @@ def in_intervals(points: DataFrame, intervals: DataFrame, *, at: str, start: str
     return pairs.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop(*bins, "_piece")
 
 
+def _met(value: str) -> list[Column]:
+    """Of rows: their number, that of known values, and the sum of these."""
+    return [F.count("*").alias("n"), F.count(value).alias("known"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total")]
+
+
+def summed_inside(points: DataFrame, intervals: DataFrame, *, at: str, start: str, end: str, value: str) -> DataFrame:
+    """``intervals`` with what the points (long ``at``) in each are together: n, known (those with a ``value``) and total (0 without any).
+
+    What pairs would add up to, without the pairs: points and ends of intervals in one order, running sums over all points, and an interval has those
+    at its end less those at its start (the end excluded). Work and rows grow with points and intervals, however many points are in one. Intervals with a null in
+    a time, or that end before or where they start, are left out; points without a time are in none.
+    """
+    sums = ["n", "known", "total"]
+    held = intervals.where(F.col(end) > F.col(start)).select(F.struct(*(F.col(f"`{c}`") for c in intervals.columns)).alias("row"), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    bounds = F.explode(F.array(F.struct(F.col("_start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("_end").alias("pos"), F.lit(1).alias("sign"))))
+    ends = held.select("row", bounds.alias("b")).select("row", "b.*", *(F.lit(0).cast("long").alias(s) for s in sums))
+    there = points.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("pos")).agg(*_met(value))
+    rows = ends.unionByName(there.withColumn("sign", F.lit(2)), allowMissingColumns=True)  # bounds before the points at the same place
+    placed = positioned(rows, ["pos"], ties=["sign"], running=sums, name="inside")
+    both = placed.where("sign < 2").groupBy("row").agg(F.count_if(F.col("sign") == 1).alias("equal"), *(F.sum(F.col("sign") * F.col(f"running_{s}")).alias(s) for s in sums))
+    each = both.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("equal"))))  # equal intervals were added up
+    return each.select("row.*", *(F.call_function("div", s, "equal").alias(s) for s in sums))
+
+
+def summed_over(points: DataFrame, intervals: DataFrame, *, at: str, start: str, end: str, value: str, on: Sequence[str] = ()) -> DataFrame:
+    """Each of the distinct points (``on`` and long ``at``) with what the intervals that it is in are together: n, known (those with a ``value``) and total (0 without any).
+
+    As ``summed_inside`` the other way round: an interval comes in at its start and goes out at its end, and a point has the sums of what came and went up to
+    it. Over all of one ``on`` they are 0, so that one running sum goes through all. Nulls as in ``in_intervals``.
+    """
+    sums, keys = ["n", "known", "total"], [*on, "pos"]
+    held = intervals.where(F.col(end) > F.col(start)).dropna(subset=[start, end, *on])
+    came = F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("sign")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("sign"))))
+    steps = held.select(*on, F.col(value).alias("_value"), came.alias("b")).select(*on, "b.*", "_value")
+    steps = steps.groupBy(*keys).agg(F.sum("sign").alias("n"), F.sum(F.when(F.col("_value").isNotNull(), F.col("sign")).otherwise(0)).alias("known"), F.coalesce(F.sum(F.col("sign") * F.col("_value")), F.lit(0)).cast("long").alias("total"))
+    asked = points.where(F.col(at).isNotNull()).select(*on, F.col(at).alias("pos")).dropna().distinct()
+    rows = steps.withColumn("_point", F.lit(0)).unionByName(asked.select("*", *(F.lit(0).cast("long").alias(s) for s in sums), F.lit(1).alias("_point")))
+    placed = positioned(rows, keys, ties=["_point"], running=sums, name="over")
+    return placed.where("_point = 1").select(*on, F.col("pos").alias(at), *(F.col(f"running_{s}").alias(s) for s in sums))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
 
@@ -187,10 +230,12 @@ SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n, CAST(sum(cents)
 
 def events_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each session, how many events other users had during it, and their cents."""
-    points = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("other"), micros("ts").alias("t"), "cents")
-    held = table_sessions(_events(spark, sf_dir), 6 * 3600 * SECOND, "user_id").select("user_id", "first", (F.col("last") + 1).alias("until"))
-    pairs = in_intervals(points, held, at="t", start="first", end="until").where("other <> user_id")
-    return pairs.groupBy("user_id", "first").agg(F.count("*").alias("n_others"), F.sum("cents").alias("cents"))
+    events = _events(spark, sf_dir).where(F.col("user_id").isNotNull())  # of a user that is not known nothing can be said of others
+    held = table_sessions(events, 6 * 3600 * SECOND, "user_id", known=True)
+    own = held.select("user_id", "first", (F.col("last") + 1).alias("until"), *(F.col(c).alias(f"own_{c}") for c in ("n", "known", "total")))
+    inside = summed_inside(events.select(micros("ts").alias("t"), "cents"), own, at="t", start="first", end="until", value="cents")
+    cents = F.when(F.col("known") > F.col("own_known"), F.col("total") - F.coalesce("own_total", F.lit(0)))
+    return inside.where(F.col("n") > F.col("own_n")).select("user_id", "first", (F.col("n") - F.col("own_n")).alias("n_others"), cents.alias("cents"))
 
 
 EVENTS_IN_SESSIONS_SQL = f"""

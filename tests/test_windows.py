@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,47 @@ def test_points_in_intervals_of_any_length(spark, most):
     assert timing.in_intervals(p, s.limit(0).withColumnRenamed("kind", "other"), at="at", start="start", end="end").count() == 0
 
 
+def test_sums_over_points_in_intervals_without_pairs(spark):
+    r = random.Random(8)
+    points = [(r.choice(["a", "b", None]), r.randint(-50, 50) if r.random() < 0.95 else None, r.randint(-9, 9) if r.random() < 0.8 else None) for _ in range(300)]
+    spans = [(r.choice(["a", "b", None]), s := r.choice([None, *range(-60, 60)]), None if s is None else s + r.choice([-5, 0, 1, 2, 20, 70]), r.randint(-9, 9) if r.random() < 0.8 else None) for _ in range(200)]
+    spans += spans[:5]  # equal intervals stay apart
+    p, s = table(spark, points, "kind string, at long, v long", 5), table(spark, spans, "kind string, start long, end long, w long", 5)
+    valid = [x for x in spans if None not in x[1:3] and x[1] < x[2]]
+    whole = lambda values: (len(values), sum(v is not None for v in values), sum(v or 0 for v in values))
+    got = Counter(map(tuple, timing.summed_inside(p, s, at="at", start="start", end="end", value="v").collect()))
+    assert got == Counter((*x, *whole([v for _, t, v in points if t is not None and x[1] <= t < x[2]])) for x in valid)
+    got = Counter(map(tuple, timing.summed_over(p, s, at="at", start="start", end="end", value="w", on=["kind"]).collect()))
+    assert got == Counter((k, t, *whole([w for k2, a, b, w in valid if k2 == k and a <= t < b])) for k, t in {x[:2] for x in points} if k is not None and t is not None)
+    got = Counter(map(tuple, timing.summed_over(p, s, at="at", start="start", end="end", value="w").collect()))
+    assert got == Counter((t, *whole([w for _, a, b, w in valid if a <= t < b])) for t in {x[1] for x in points} if t is not None)
+    assert timing.summed_inside(p.limit(0), s.limit(0), at="at", start="start", end="end", value="v").count() == timing.summed_over(p.limit(0), s.limit(0), at="at", start="start", end="end", value="w").count() == 0
+
+
+@pytest.mark.parametrize("name", ["events_in_sessions"])
+def test_sums_over_intervals_make_no_pairs(spark, name):
+    """No join of points and intervals: the rows of the largest step are no more than those read."""
+    plan = getattr(timing, name)(spark, DATA)._jdf.queryExecution().toString()
+    assert "_bin" not in plan and "_piece" not in plan
+
+
+def test_events_and_orders_with_nulls(spark, tmp_path):
+    at = lambda h: START + dt.timedelta(hours=h)
+    events = [(1, at(0), 1, 5.0), (2, at(1), 1, None), (3, at(0.5), 2, None), (4, at(1), None, 7.0), (5, None, 2, 1.0), (6, at(1), 3, None), (7, at(0.2), 4, 2.5), (8, at(40), 5, 1.0)]
+    table(spark, events, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    table(spark, [(1, 9), (2, None)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(1, 1, at(0), 2.0), (2, 1, at(24), None), (3, 1, at(96), 1.0), (4, 2, at(0), 1.0), (5, 1, at(400), None), (6, 1, at(300), 4.0)]
+    table(spark, orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, at(48)), (1, at(24)), (2, at(96)), (3, at(96)), (4, at(48)), (5, at(500)), (6, None)]
+    table(spark, lines, "l_orderkey long, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("events_in_sessions", "orders_open"):
+        got = Counter(map(tuple, getattr(timing, name)(spark, str(tmp_path)).collect()))
+        con = duckdb.connect()
+        for t in ("events", "customer", "orders", "lineitem"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert got and got == Counter(con.sql(getattr(timing, f"{name.upper()}_SQL")).fetchall())
+
+
 def test_interval_join_has_no_nested_loop(spark):
     plan = timing.orders_open(spark, DATA)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
