@@ -251,9 +251,9 @@ def orders_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = read("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     orders = read("orders").join(owners, "o_custkey").withColumn("ordered", micros("o_orderdate"))
     days = orders.select("c_nationkey", F.col("ordered").alias("day")).distinct()
-    held = orders.join(shipped, "o_orderkey").select("c_nationkey", "o_orderkey", "ordered", "shipped", "o_totalprice")
-    pairs = in_intervals(days, held, at="day", start="ordered", end="shipped", on=["c_nationkey"], finest=86_400 * SECOND)
-    return pairs.groupBy("c_nationkey", "day").agg(F.count("*").alias("n_open"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    held = orders.join(shipped, "o_orderkey").select("c_nationkey", "ordered", "shipped", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    open_on = summed_over(days, held, at="day", start="ordered", end="shipped", value="cents", on=["c_nationkey"])
+    return open_on.where("n > 0").select("c_nationkey", "day", F.col("n").alias("n_open"), F.when(F.col("known") > 0, F.col("total")).alias("cents"))
 
 
 ORDERS_OPEN_SQL = """

@@ -124,7 +124,7 @@ def test_sums_over_points_in_intervals_without_pairs(spark):
     assert timing.summed_inside(p.limit(0), s.limit(0), at="at", start="start", end="end", value="v").count() == timing.summed_over(p.limit(0), s.limit(0), at="at", start="start", end="end", value="w").count() == 0
 
 
-@pytest.mark.parametrize("name", ["events_in_sessions"])
+@pytest.mark.parametrize("name", ["events_in_sessions", "orders_open"])
 def test_sums_over_intervals_make_no_pairs(spark, name):
     """No join of points and intervals: the rows of the largest step are no more than those read."""
     plan = getattr(timing, name)(spark, DATA)._jdf.queryExecution().toString()
