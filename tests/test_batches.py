@@ -35,3 +35,9 @@ def test_answers_are_cleaned_in_pieces(spark, monkeypatch, tmp_path):
     rows, sizes = _largest(spark, answers.clean_answers, monkeypatch, tmp_path)
     assert [(r["answer_id"], r["clean_text"], r["citations"]) for r in rows] == [(i, ("word " * 200).strip() if i % 50 else "", []) for i in range(2000)]
     assert len(sizes) > 100 and max(sizes) <= 20_000
+
+
+def test_blocks_are_found_in_pieces(spark, monkeypatch, tmp_path):
+    rows, sizes = _largest(spark, answers.exploded_blocks, monkeypatch, tmp_path)
+    assert [tuple(r) for r in rows] == [(i, 0, "paragraph", None, None, None, ("word " * 200).strip()) for i in range(2000) if i % 50]
+    assert len(sizes) > 100 and max(sizes) <= 20_000
