@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import html_escaped, inline_html
+from ravelin.operators.batches import in_pieces
 
 # Fixed values of the PDF's layout: the page in points, lines on a page, columns of a line.
 WIDTH, HEIGHT, MARGIN, LEADING = 612, 792, 54, 14
@@ -99,11 +99,13 @@ def pdf(answers: DataFrame, title: str = "Research Report") -> DataFrame:
     body = F.flatten(F.transform(F.split("text", "\n"), lambda x: wrapped(x, COLUMNS)))
     lines = F.transform(F.concat(F.array(F.lit(title), F.lit("")), body, F.array(F.lit("")), F.flatten(F.transform("citations", quote))), pdf_escaped)
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"answer_id": f["answer_id"], "pdf": [pdf_bytes(list(x)) for x in f["lines"]]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, "lines"):
+            files = [pdf_bytes(x.split("\n")) for x in b.column("lines").to_pylist()]
+            yield pa.record_batch([b.column("answer_id"), pa.array(files, pa.binary())], ["answer_id", "pdf"])
 
-    return answers.select("answer_id", lines.alias("lines")).mapInPandas(of, "answer_id long, pdf binary")
+    # escaped lines hold no line feed, and as one text for each file they are in pieces by their bytes
+    return answers.select(F.col("answer_id").cast("long").alias("answer_id"), F.array_join(lines, "\n").alias("lines")).mapInArrow(of, "answer_id long, pdf binary")
 
 
 def page_count(pdf_file: bytes) -> int:
@@ -172,9 +174,5 @@ SELECT k AS answer_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>
 def pdf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, pages and checksum of each file."""
     made = pdf(_answers(spark, sf_dir))
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"answer_id": f["answer_id"], "n_bytes": [len(x) for x in f["pdf"]], "n_pages": [page_count(x) for x in f["pdf"]], "crc": [zlib.crc32(x) for x in f["pdf"]]})
-
-    return made.mapInPandas(of, "answer_id long, n_bytes long, n_pages long, crc long")
+    pages = F.regexp_extract(F.decode("pdf", "ISO-8859-1"), r"/Count (\d+)", 1)
+    return made.select("answer_id", F.octet_length("pdf").cast("long").alias("n_bytes"), pages.cast("long").alias("n_pages"), F.crc32("pdf").alias("crc"))
