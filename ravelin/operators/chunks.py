@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions.text import let
 from ravelin.operators import streams
+from ravelin.sources.tables import written
 
 
 def lines_of(chunks: DataFrame, *, block: int = 1024) -> DataFrame:
@@ -121,22 +123,46 @@ SELECT doc_id, CAST(len(list_filter(words, lambda w: length(w) > 6)) AS INT) AS
   list_filter(words, lambda w: length(w) BETWEEN 1 AND 3)[-1] AS last_short, list_contains(words, 'die') AS has_word FROM w"""
 
 
-def suggested(docs: DataFrame, limit: int = 4) -> DataFrame:
+def _runs(terms: Column) -> Column:
+    """Array of (term, n) of an array of terms: sorted, each where its run begins and as often as it is long."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - x).cast("long").alias("n"))))
+
+    return let(F.array_sort(terms), of)
+
+
+def suggested(docs: DataFrame, limit: int = 4, most: int = 50_000) -> DataFrame:
     """doc_id, place (from 1), term, question: the terms that mark each document of ``docs`` (doc_id, lang, text) most, as questions.
 
     Terms are runs of four letters or more of any script, in small letters. A term's weight is how often the document has it times the logarithm of the
     documents of the language over those that have it, so that words that all have say nothing (weight 0) and stand last. By weight (nine places), then by
     the term. No documents, or none with terms: no rows; a null language is one language; rows of equal doc_id are one document.
+
+    Terms are counted in the row; only rows that share a doc_id are brought together. How many documents have a term goes to all tasks for the ``most``
+    terms that most documents have, or fewer, so that of these a document's best alone are moved; all other terms meet their numbers by a join.
     """
     lang = F.coalesce("lang", F.lit("")).alias("lang")
-    terms = docs.select("doc_id", lang, F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
-    counts = terms.groupBy("doc_id", "lang", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
-    having = counts.groupBy("lang", "term").agg(F.count("*").alias("having"))
+    several = written(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "several-rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    terms = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0)), lambda w: F.lower(w))
+    alone = docs.join(several, same, "left_anti").select("doc_id", lang, F.inline(_runs(terms)))
+    shared = docs.join(several, same, "left_semi").select("doc_id", lang, F.explode(terms).alias("term"))
+    counts = alone.unionByName(shared.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("n")))
+    having = written(counts.groupBy("lang", "term").agg(F.count("*").alias("having")), "having")
+    level, n_terms = 64, 0
+    for r in having.groupBy(F.floor(F.log2("having")).alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # at most 64
+        if n_terms + r["n"] > most:
+            break
+        level, n_terms = r["level"], n_terms + r["n"]
+    common = F.floor(F.log2("having")) >= level
+    met = counts.join(F.broadcast(having.where(common)), ["lang", "term"], "left")
+    found = met.where("having IS NOT NULL").unionByName(met.where("having IS NULL").drop("having").join(having.where(~common), ["lang", "term"]))
     whole = docs.select("doc_id", lang).distinct().groupBy("lang").agg(F.count("*").alias("docs"))
-    weighted = counts.join(having, ["lang", "term"]).join(whole, "lang")
     weight = F.round(F.col("n") * F.log(F.col("docs") / F.col("having")), 9)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(weight.desc(), "term"))
-    best = weighted.withColumn("place", place).where(F.col("place") <= limit)
+    best = found.join(F.broadcast(whole), "lang").withColumn("place", place).where(F.col("place") <= limit)  # a row for each language
     return best.select("doc_id", "place", "term", F.concat(F.lit("What is said about "), "term", F.lit("?")).alias("question"))
 
 

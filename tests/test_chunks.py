@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import chunks
@@ -48,3 +52,35 @@ def test_suggestions(spark):
     # 1: beta twice; then what it alone has; alpha, which two of five have, is behind them. 6: what all documents of a language have, by the alphabet
     assert got == {1: ["beta", "delta", "gamma", "omega"], 2: ["alpha", "which"], 3: ["tree", "which"], 4: ["größe", "which", "über"], 5: ["über"], 6: ["ones", "only"]}
     assert chunks.suggested(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3, 50_000])
+def test_terms_that_mark_documents_whatever_goes_to_all_tasks(spark, most):
+    r = random.Random(most)
+    words = ["alpha", "Beta", "gämma", "delta", "omega", "sigma", "kappa", "abc", "1234"] + [f"rare{c}" * 2 for c in "abcdefgh"]
+    rows = [(r.choice([None, *range(1, 25)]), r.choice(["en", "de", None]), r.choice([None, "", " ".join(r.choices(words, k=12))])) for _ in range(40)] + [(100 + i, "en", " ".join(r.choices(words, k=20))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    n, members = Counter(), {(d, lang or "") for d, lang, _ in rows}
+    for d, lang, text in rows:
+        n.update((d, lang or "", w.lower()) for w in re.findall(r"[^\W\d_]{4,}", text or ""))
+    having, docs = Counter((lang, w) for _, lang, w in n), Counter(lang for d, lang in members if d is not None)
+    docs.update(lang for d, lang in members if d is None)
+    wanted, by = set(), defaultdict(list)
+    for (d, lang, w), k in n.items():
+        by[d].append((-round(k * math.log(docs[lang] / having[lang, w]), 9), w))
+    for d, ranked in by.items():
+        wanted |= {(d, i + 1, round(-weight, 6)) for i, (weight, _) in enumerate(sorted(ranked)[:4])}
+    got = chunks.suggested(df, most=most).collect()
+    assert len(got) == len(wanted)
+    weights = defaultdict(set)
+    for (d, lang, w), k in n.items():
+        weights[d, w].add(round(k * math.log(docs[lang] / having[lang, w]), 6))
+    assert all(any((x["doc_id"], x["place"], v) in wanted for v in weights[x["doc_id"], x["term"]]) for x in got)
+    assert chunks.suggested(df.limit(0)).count() == 0
+
+
+def test_terms_of_documents_are_counted_where_they_are(spark):
+    """Of documents with one row, no term goes through a shuffle by document but the best."""
+    docs = spark.createDataFrame([(i, "en", f"word{i} other") for i in range(50)], "doc_id long, lang string, text string")
+    plan = str(chunks.suggested(docs)._jdf.queryExecution().executedPlan())
+    assert plan.count("WindowGroupLimit") == 2 and "LeftAnti" in plan and "BroadcastHashJoin" in plan
