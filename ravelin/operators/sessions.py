@@ -172,9 +172,15 @@ SELECT coalesce(r.id, l.id) AS id, CASE WHEN r.id IS NULL THEN l.title ELSE r.ti
 FROM r FULL JOIN l ON r.id = l.id"""
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to as many tasks as ``spark.sql.shuffle.partitions`` says: what a task then sorts is a share of the rows, where before a
+    shuffle it would be all of a file's split, and after one as much as adaptive execution puts together."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), key)
+
+
 def upserted(stored: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """``stored`` with the latest change of each key in place of its row (ties: the greatest row); changed rows come first (front = 0)."""
-    newest = changes.groupBy(key).agg(F.max(F.struct(order, *(c for c in changes.columns if c not in (key, order)))).alias("row")).select(key, "row.*")
+    newest = _dealt(changes, key).groupBy(key).agg(F.max(F.struct(order, *(c for c in changes.columns if c not in (key, order)))).alias("row")).select(key, "row.*")
     kept = stored.join(newest.select(key), key, "left_anti")
     return newest.withColumn("front", F.lit(0)).unionByName(kept.withColumn("front", F.lit(1)))
 
@@ -183,7 +189,7 @@ def patched(stored: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """K2: columns of ``patch`` that are not null replace those of ``stored``."""
     p = patch.select(key, *(F.col(c).alias(f"new_{c}") for c in patch.columns if c != key))
     changed = set(patch.columns) - {key}
-    return stored.join(p, key, "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c) for c in stored.columns))
+    return _dealt(stored, key).join(p, key, "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in changed else F.col(c) for c in stored.columns))
 
 
 def removed(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
