@@ -19,16 +19,19 @@ broadcast.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,23 @@ from ravelin.llm.shared import drop_path, new_path, open_fs, stored, table
 
 MAGIC = b"RVLN\x01\0\0\0"
 #: Words, and bytes of words, whose ids a worker keeps, twice over; what is not among them is encoded again. A word is kept when it
-#: comes a second time, by the bits of a table of ``SEEN`` bytes.
+#: comes in a second piece of text, by the bits of a table of ``SEEN`` bytes.
 MEMO, MEMO_BYTES, SEEN = 500_000, 24 << 20, 1 << 21
+#: Bytes of text whose words are told apart at a time.
+PIECE = 4 << 20
+#: What a byte is to the GPT-2 pattern: letter, digit, other, white space; UNSURE are the bytes of characters that are not looked up here.
+UNSURE, LETTER, DIGIT, OTHER, BLANK = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]], KIND[48:58], KIND[[9, 10, 13, 32]], KIND[128:] = LETTER, DIGIT, BLANK, UNSURE
+#: Texts with other characters that may be white space are encoded by the library alone, parted at ``_CUT``.
+_ODD = r"[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}\x{3000}\x{feff}]"
 #: Two texts on either side of such a place are encoded as they are alone: a blank or a single line feed between characters that are no white space.
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: A word of letters is one unit of the pattern, and so is a word of ASCII without an apostrophe, as words are cut here.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+#: The characters that stand for bytes in a byte-level vocabulary.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 #: For each control byte, the bytes of its four ids.
 LENGTHS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).astype(np.int64) + 1
 
@@ -71,11 +87,28 @@ def decode(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-def _plain(x: str) -> bool:
-    """Only single blanks and single line feeds part the words of ``x``, and none stands at its ends."""
-    if not x or "\0" in x or "  " in x or "\n\n" in x or " \n" in x or "\n " in x or x[0].isspace() or x[-1].isspace():
-        return False
-    return len("".join(x.split())) == len(x) - x.count(" ") - x.count("\n")
+def words_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The places where the GPT-2 pattern surely begins a new unit in texts without odd white space: the starts of words, and the end.
+
+    These are the beginnings of texts; where letters, digits and others change, except after an apostrophe; and, in white space, its first
+    character, its last one before another character, and what follows it, to which a single blank belongs.
+    """
+    kind = KIND[data]
+    two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))  # U+00C0 to U+017F
+    two = two[(data[two] != 0xC3) | (data[two + 1] & 0xDF != 0x97)]  # letters all but the signs of multiplication and division
+    kind[two] = kind[two + 1] = LETTER
+    first = np.zeros(len(data) + 1, bool)
+    first[off] = True
+    before, after = kind[:-1], kind[1:]
+    new = (before != after) & (before != UNSURE) & (after != UNSURE) | (after == BLANK) & (before == UNSURE)
+    new &= ~((data[:-1] == 0x27) & (after == LETTER))
+    space = np.flatnonzero(before == BLANK)
+    last = space[(after[space] != BLANK) & ~first[space + 1]]  # the last white space before another character
+    new[last] = data[last] != 0x20
+    again = last[last > 0] - 1
+    new[again[kind[again] == BLANK]] = True
+    first[1:-1] |= new
+    return np.flatnonzero(first)
 
 
 class Encoder:
@@ -87,9 +120,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.sizes[i] = len(token)  # a character for each byte, in a byte-level vocabulary
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        told = json.loads(self.tokenizer.to_str())
+        pre, model = told["pre_tokenizer"] or {}, told["model"]
+        #: A byte-level vocabulary and the GPT-2 pattern; else texts go to the library whole.
+        self.by_words = (
+            (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space"), model["type"]) == ("ByteLevel", True, False, "BPE")
+            and not any((told["normalizer"], told["truncation"], told["padding"], model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix")))
+            and all(x["special"] for x in told["added_tokens"])
+        )
+        self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0  # bytes of the words in young
@@ -98,63 +138,75 @@ class Encoder:
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def after_blanks(self, words: list[str], run: int = 2000) -> list[bytes]:
-        """Ids of each word with a blank before it; the words of a run are encoded as one text, and parted by their bytes."""
-        out: list[bytes] = []
-        for i in range(0, len(words), run):
-            some = words[i : i + run]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in some])
-            at = np.searchsorted(ends, wanted)
-            if len(ends) != at[-1] + 1 or (ends[at] != wanted).any():  # no byte-level vocabulary
-                out += self.alone([" " + w for w in some])
-                continue
-            raw, cut = ids.tobytes(), ((at + 1) * self.kind.itemsize).tolist()
-            out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
-        return out
-
-    def learned(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words: those without a mark are those after a blank, those with a line feed at the start follow it, those with a zero begin a text."""
-        out, new = {}, []
-        for w in words:
+    def unit(self, word: str) -> bytes | None:
+        """Ids of a word that is one unit of the pattern, None if it may have several."""
+        if word.isascii():
+            if "'" in word:
+                return None
+            word = word.replace(" ", "\u0120") if word.isprintable() else word.translate(BYTES)
+        elif _LETTERS.fullmatch(word):
+            word = word.encode().decode("latin-1").translate(BYTES)
+        else:
+            return None
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, each as they are where a unit of the pattern begins."""
+        if len(self.young) > MEMO or self.held > MEMO_BYTES:
+            self.young, self.old, self.held, self.seen = {}, self.young, 0, bytearray(SEEN)
+        out = list(map(self.young.get, words))
+        rest = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
             ids = self.old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                out[w] = ids
-        again = set(out)
-        plain = [w for w in new if w[0] not in "\n\0"]
-        out.update(zip(plain, self.after_blanks(plain), strict=True))
-        first = [w for w in new if w[0] in "\n\0"]
-        feed = self.alone(["\n"])[0]
-        for w, ids in zip(first, self.alone([w[1:] for w in first]), strict=True):
-            out[w] = feed + ids if w[0] == "\n" else ids
-        for w in new:
-            at = hash(w) % (8 * SEEN)
-            if self.seen[at >> 3] >> (at & 7) & 1:
-                again.add(w)
-            else:
+            keep = ids is not None
+            if not keep:
+                ids = self.unit(w)
+                at = hash(w) % (8 * SEEN)
+                keep = self.seen[at >> 3] >> (at & 7) & 1
                 self.seen[at >> 3] |= 1 << (at & 7)
-        self.young.update((w, out[w]) for w in again)
-        self.held += sum(map(len, again))
+            if ids is None:
+                rest.append((i, keep))
+                continue
+            out[i] = ids
+            if keep:
+                self.young[w] = ids
+                self.held += len(w)
+        for (i, keep), ids in zip(rest, self.alone([words[i] for i, _ in rest]), strict=True):
+            out[i] = ids
+            if keep:
+                self.young[words[i]] = ids
+                self.held += len(words[i])
         return out
 
     def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
-        if len(self.young) > MEMO or self.held > MEMO_BYTES:
-            self.young, self.old, self.held, self.seen = {}, self.young, 0, bytearray(SEEN)
-        words: list[list[str] | None] = []
-        for x in texts:
-            words.append(("\0" + x).replace("\n", " \n").split(" ") if _plain(x) else None)
-        get = self.young.get
-        ids = [x and list(map(get, x)) for x in words]
-        gaps = [y and None in y and [i for i, k in enumerate(y) if k is None] for y in ids]
-        found = self.learned({x[i] for x, g in zip(words, gaps, strict=True) if g for i in g})
-        for x, y, g in zip(words, ids, gaps, strict=True):
-            for i in g or ():
-                y[i] = found[x[i]]
-        odd = [_CUT.split(x) if x and y is None else [] for x, y in zip(texts, words, strict=True)]
-        parts = iter(self.alone([p for x in odd for p in x]))
-        return [b"".join([*(y or [next(parts) for _ in o]), end]) for y, o in zip(ids, odd, strict=True)]
+        return self.ids(pa.array(texts, pa.string()), end).to_pylist()
+
+    def ids(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text, with ``end`` behind them."""
+        odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _ODD), False)) if self.by_words else np.arange(len(texts))
+        whole = [x or "" for x in texts.take(pa.array(odd)).to_pylist()]
+        if len(odd):
+            even = np.ones(len(texts), bool)
+            even[odd] = False
+            texts = pc.if_else(pa.array(even), texts, "")
+        data, off = V.buffers(texts)
+        starts = words_of(data, off) if len(data) else np.zeros(1, np.int64)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        known = self.learned(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        parts = [_CUT.split(x) if self.by_words else [x] for x in whole]
+        ids = iter(self.alone([p for x in parts for p in x]))
+        known += [b"".join(next(ids) for _ in x) for x in parts]
+        # what stands for each text: its words or, if it is odd, all of its ids at once, and the end
+        first = np.searchsorted(starts, off)
+        at = np.insert(words.indices.to_numpy(), first[odd], len(known) - len(odd) + np.arange(len(odd)))
+        extra = np.zeros(len(off), np.int64)
+        extra[odd + 1] = 1
+        edges = first + np.cumsum(extra)
+        at = np.insert(at, edges[1:], len(known))
+        out = pa.array([*known, end], pa.binary()).take(pa.array(at))
+        ends = np.frombuffer(out.buffers()[1], np.int32)[edges + np.arange(len(edges))]
+        return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends), out.buffers()[2]])
 
 
 @lru_cache(maxsize=1)
@@ -164,17 +216,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenized(docs: DataFrame, *, tokenizer: str, end_id: int, batch: int = 400) -> DataFrame:
+def tokenized(docs: DataFrame, *, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id and ids (the end id included; little-endian unsigned integers of 16 bits, or 32 for a vocabulary above 65,536) of each row of ``docs`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all = encoder(tokenizer)
         end = np.array([end_id], encode_all.kind).tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, batch):
-                part = b.slice(i, batch)
-                ids = encode_all([x or "" for x in part.column("text").to_pylist()], end)
-                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i, j, _, _ in V.pieces(b.column("text"), PIECE):
+                part = b.slice(i, j - i)
+                yield pa.record_batch([part.column("doc_id"), encode_all.ids(part.column("text"), end)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, ids binary")
 

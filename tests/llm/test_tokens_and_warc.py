@@ -29,6 +29,46 @@ def test_words_apart_have_the_ids_of_the_text(plain, texts):
     assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aZ1'.,$ \n\r\t\x0b\x01é×ſƀ\u0301½²日Ж\u2009\u3000", "  ", "\n \n", "'re", "'sample", "''"]), max_size=30).map("".join), max_size=6))
+def test_units_of_the_pattern(plain, texts):
+    encode = T.encoder(PATH)
+    got = [np.frombuffer(x, encode.kind).tolist() for x in encode(texts, b"")]
+    assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+class Counted:
+    """A tokenizer or its model, with the characters that it was given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **options)
+
+    def tokenize(self, word):
+        self.given += len(word)
+        return self.inner.tokenize(word)
+
+
+def test_a_word_is_encoded_once_for_all_marks_behind_it():
+    encode = T.Encoder(PATH)
+    encode.tokenizer, encode.model = Counted(encode.tokenizer), Counted(encode.tokenizer.model)
+    words = [f"{a}{b}{c}ing" for a in "bdfgklmn" for b in "aeiou" for c in "prst"]
+    encode([" " + " ".join(w + mark for w in words for mark in ("", ".", ",", "!!", "&&&", "\n"))], b"")
+    assert encode.tokenizer.given + encode.model.given < 1.5 * sum(len(w) + 1 for w in words)
+
+
+def test_vocabularies_with_tokens_across_words(tmp_path):
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens(["under morning"])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["light under morning walks", "under mornings\n\nunder morning", ""]
+    encode = T.Encoder(str(tmp_path / "t.json"))
+    assert [np.frombuffer(x, encode.kind).tolist() for x in encode(texts, b"")] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=9))
 def test_coding_round_trip(docs):
