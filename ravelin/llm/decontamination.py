@@ -114,15 +114,32 @@ def counts_of_common(numbers: np.ndarray, of: np.ndarray, count: int, terms: int
     return np.bincount(of[some] * c + numbers[some], minlength=count * c).reshape(count, c).astype(np.float32)
 
 
+def segment_sums(rows: np.ndarray, at: np.ndarray, of: np.ndarray, steps: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, sums): the sums of ``rows[at]`` over the runs of equal ``of``, in any order.
+
+    The first items of all segments are added at once, then the second ones, and so on; ``np.add.reduceat`` goes through columns one by one.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    n = np.diff(starts, append=len(of))
+    order = np.argsort(-n, kind="stable")
+    starts, n = starts[order], n[order]
+    out = rows[at[starts]]
+    more = np.searchsorted(-n, -np.arange(1, min(int(n[0]), steps)), "left").tolist()  # segments of more than k items
+    for k, m in enumerate(more, 1):
+        out[:m] += rows[at[starts[:m] + k]]
+    for i in range(int(np.searchsorted(-n, -steps, "left"))):
+        out[i] += rows[at[starts[i] + steps : starts[i] + n[i]]].sum(axis=0)
+    return of[starts], out
+
+
 def half_sums(numbers: np.ndarray, half: np.ndarray, count: int, rows: np.ndarray) -> np.ndarray:
     """For each half passage the sum of the rows of its terms; words that are no term add nothing."""
     common = counts_of_common(numbers, half, count, len(rows))
     out = common @ rows[: common.shape[1]]
     some = np.flatnonzero(numbers >= common.shape[1])
     if len(some):
-        of = half[some]
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out[of[starts]] += np.add.reduceat(rows[numbers[some]], starts, axis=0)
+        of, sums = segment_sums(rows, numbers[some], half[some])
+        out[of] += sums
     return out
 
 
@@ -153,9 +170,8 @@ def energy(numbers: np.ndarray, first: np.ndarray, test: np.ndarray, z: np.ndarr
     if len(some):
         t = numbers[some]
         order = np.argsort(t.astype(np.uint16) if len(z) < 1 << 16 else t, kind="stable")
-        t = t[order]
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        z[t[starts]] += np.add.reduceat(y[whole[some][order]], starts, axis=0)
+        of, sums = segment_sums(y, whole[some][order], t[order])
+        z[of] += sums
 
 
 def latent(z: np.ndarray, test: np.ndarray) -> np.ndarray:
@@ -215,12 +231,13 @@ def near_passages(numbers: np.ndarray, half: np.ndarray, count: int, x: np.ndarr
     """
     sums = half_sums(numbers, half, count, rows)
     rest = np.bincount(half[numbers < 0], minlength=count) * other**2
-    two = (y > x)[:, None]
-    p = sums[x] + np.where(two, sums[y], 0)
-    length = np.sqrt(np.einsum("ij,ij->i", p, p) + rest[x] + np.where(two[:, 0], rest[y], 0)).astype(np.float32)
+    two = np.flatnonzero(y > x)
+    p = sums[x]
+    p[two] += sums[y[two]]
+    length = np.sqrt(np.einsum("ij,ij->i", p, p) + rest[x] + np.where(y > x, rest[y], 0)).astype(np.float32)
     dot = p @ target.T
     length = np.maximum(length, np.float32(1e-9))
-    near, to = np.nonzero((dot >= np.float32(least) * size) | (dot >= np.float32(least) * length[:, None]))
+    near, to = np.divmod(np.flatnonzero((dot >= np.float32(least) * size) | (dot >= np.float32(least) * length[:, None])), len(size))
     return near, to, dot[near, to] / np.minimum(length[near], size[to])
 
 
@@ -265,16 +282,16 @@ class Answers:
 
     def there(self, numbers: np.ndarray, half: np.ndarray, count: int, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether the halves lo up to (not with) hi have the answer words that each of ``items`` needs."""
-        n = int(self.place.max(initial=0)) + 1
         at = self.number[numbers]
         some = (numbers >= 0) & (at >= 0)
-        before = np.zeros((count + 1, n), np.int32)
-        before[half[some] + 1, at[some]] = 1
-        np.cumsum(before, axis=0, out=before)
+        wide = count + 1
+        keys = np.append(np.unique(at[some] * wide + half[some]), np.iinfo(np.int64).max)  # by answer word, the halves that have it
         found = np.zeros(len(items), np.int64)
+        left = np.arange(len(items))  # those that may still come to what is needed
         for k in range(ANSWERS):
-            p = self.place[items, k]
-            found += before[hi, p] > before[lo, p]
+            p = self.place[items[left], k] * wide
+            found[left] += keys[np.searchsorted(keys, p + lo[left])] < p + hi[left]
+            left = left[found[left] + (ANSWERS - 1 - k) >= self.needed[items[left]]]
         return found >= self.needed[items]
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,33 @@ def test_common_length():
     for _ in range(200):
         a, b = ([r.randint(-1, 6) for _ in range(r.randint(0, 20))] for _ in range(2))
         assert D.common_length(np.array(a, int), np.array(b, int)) == lcs(a, b)
+
+
+def test_sums_of_segments():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-50, 50, (300, 7)).astype(np.float32)
+    for lengths in ([1], [200], [3, 1, 90, 2, 2, 33, 32, 31], rng.integers(1, 40, 60)):
+        of = np.repeat(np.arange(len(lengths)) * 2 + 1, lengths)
+        at = rng.integers(0, 300, len(of))
+        segments, sums = D.segment_sums(rows, at, of)
+        assert sorted(segments.tolist()) == np.unique(of).tolist()
+        assert all((x == rows[at[of == i]].sum(axis=0)).all() for i, x in zip(segments, sums, strict=True))
+
+
+def test_answer_words_of_a_long_text():
+    rng = np.random.default_rng(4)
+    items = [rng.choice(2000, 30, replace=False) for _ in range(150)]
+    wanted = D.Answers.of(items, rng.random(2000), 0.6)
+    numbers = rng.integers(-1, 2000, 320_000)
+    half = np.arange(len(numbers)) // D.STEP
+    which, lo = rng.integers(0, 150, 400), rng.integers(0, 19_900, 400)
+    hi = lo + rng.integers(1, 90, 400)
+    tracemalloc.start()
+    got = wanted.there(numbers, half, 20_000, which, lo, hi)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20  # a table of all halves and answer words would have more
+    for i, a, b, there in zip(which, lo, hi, got, strict=True):
+        around = set(wanted.number[numbers[a * D.STEP : b * D.STEP][numbers[a * D.STEP : b * D.STEP] >= 0]].tolist()) - {-1}
+        assert there == (len(around & set(wanted.place[i].tolist())) >= wanted.needed[i])
+    assert 0 < got.sum() < 400
